@@ -215,12 +215,13 @@ def compare_keys(labels: DataFrame, reference_task: str | None = None) -> DataFr
     # every other task that exists is compared with every reference key, so absent shards show up as well
     tasks = labels.filter(~is_reference).select("task").distinct()
     names = tasks.agg(F.sort_array(F.collect_set("task"))).scalar()
-    expected = reference.withColumn("task", F.explode(names))
-    others = counted.filter(~is_reference).select("task", *keys, F.col("n").alias("n_task"))
-    same = [expected[c].eqNullSafe(others[c]) for c in ("task", *keys)]
+    wanted = ["task", *keys]
+    expected = reference.withColumn("task", F.explode(names)).select(*(F.col(c).alias(f"r_{c}") for c in wanted), "n_reference")
+    others = counted.filter(~is_reference).select(*(F.col(c).alias(f"t_{c}") for c in wanted), F.col("n").alias("n_task"))
+    same = [F.col(f"r_{c}").eqNullSafe(F.col(f"t_{c}")) for c in wanted]
     joined = expected.join(others, same, "full_outer")
     return joined.select(
-        *(F.coalesce(expected[c], others[c]).alias(c) for c in ("task", *keys)),
+        *(F.coalesce(f"r_{c}", f"t_{c}").alias(c) for c in wanted),
         F.coalesce("n_reference", F.lit(0)).alias("n_reference"),
         F.coalesce("n_task", F.lit(0)).alias("n_task"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from eventloom.functions.numbers import clamp
 from eventloom.functions.text import extract_or_null, strip
 
 # The prompt and the header at which a history may be cut.
@@ -180,8 +181,8 @@ def parse_answers(dataset: DataFrame, column: str = "model_output") -> DataFrame
     """Add the parsed answer, probability, thinking and explanation; what is absent is null."""
     text = F.col(column)
     digits = extract_or_null(text, PROBABILITY)
-    # more digits than a decimal holds is certainly above the upper limit
-    number = F.when(F.length(digits) > 30, F.lit(100)).otherwise(F.least(digits.try_cast("decimal(38,0)"), F.lit(100)))
+    # more digits than a bigint holds is above the upper limit
+    number = F.when(F.length(digits) > 18, F.lit(100)).otherwise(clamp(digits.try_cast("bigint"), 0, 100))
     return dataset.withColumns({
         "parsed_answer": F.lower(extract_or_null(text, ANSWER)) == "yes",
         "parsed_probability": number.cast("int"),
