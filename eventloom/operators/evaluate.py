@@ -173,10 +173,10 @@ def resample(scored: DataFrame, n_replicates: int, seed: int, schema: str, summa
     """
     line = lay_out(cells(scored), [], ["-prob"])
     slice_id = F.col(SLICE).cast("long") if line.sliced else F.lit(0).cast("long")
-    blocks = F.array(*(F.lit(i) for i in range(BLOCKS)))
+    blocks = F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))
     spread = line.df.select("prob", "pos", "neg", slice_id.alias("slice"), F.explode(blocks).alias("block"))
     shares = _shares(line, n_replicates, seed).filter("n_pos > 0 and n_neg > 0")
-    shares = shares.withColumn("block", F.col("replicate") % BLOCKS)
+    shares = shares.withColumn("block", (F.col("replicate") % BLOCKS).cast("long"))
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(table: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:

@@ -65,12 +65,21 @@ if __name__ == "__main__":
     from __spark_entry__ import oracle_sql, queries
     from eventloom.session import get_session
 
-    folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    only = set(sys.argv[2:])
+    # usage: oracle.py [folder] [--max-rows N] [names...]; a small N forces the sliced layout everywhere
+    arguments = sys.argv[1:]
+    limit = None
+    if "--max-rows" in arguments:
+        at = arguments.index("--max-rows")
+        limit = arguments[at + 1]
+        del arguments[at : at + 2]
+    folder = arguments[0] if arguments else "/root/testdata/sf0.01"
+    only = set(arguments[1:])
     spark = get_session(
         master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false"
     )
     spark.sparkContext.setLogLevel("OFF")
+    if limit:
+        spark.conf.set("spark.eventloom.maxRowsPerKey", limit)
     con, sql = connect(folder), oracle_sql()
     bad = 0
     for name, fn in queries().items():
