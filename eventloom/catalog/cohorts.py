@@ -8,7 +8,7 @@ from eventloom.catalog.registry import query, view
 from eventloom.catalog.tables import PARTITIONED, partitioned_labels
 from eventloom.operators import cohort, narrative
 from eventloom.plans.cohorts import COHORTS, CRITICAL_OUTCOME, READMISSION_30D
-from eventloom.plans.timeline import Run, lay_out
+from eventloom.plans.timeline import Run, lay_out, written
 
 ARRIVAL = "code = 'EMERGENCY_DEPARTMENT_REGISTRATION//ARRIVAL_TRANSPORT'"
 LEAVING = "regexp_matches(code, 'EMERGENCY_DEPARTMENT_DISCHARGE//DISCHARGE_LOCATION//.*')"
@@ -48,6 +48,11 @@ def labels(spark, folder, task: str):
     return cohort.label_cohort(view(spark, folder, "hospital"), COHORTS[task])
 
 
+def stored_labels(spark, folder, task: str):
+    """Labels as a stored table, as later steps read them more than once."""
+    return written(labels(spark, folder, task), "labels")
+
+
 @query(f"SELECT * FROM {HOSPITALISATION}")
 def cohort_hospitalisation(spark, folder):
     return labels(spark, folder, "hospitalisation")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.catalog.cohorts import HOSPITALISATION, labels
+from eventloom.catalog.cohorts import HOSPITALISATION, stored_labels
 from eventloom.catalog.events import TEXT_EVENTS, clean_hospital
 from eventloom.catalog.registry import query, table, view
 from eventloom.operators import narrative, prompts
@@ -40,14 +40,14 @@ def whole_histories(spark, folder):
 @query(f"SELECT * FROM {NARRATIVES}")
 def narratives(spark, folder):
     """Flagship: every labelled subject's history up to the prediction time."""
-    return history.text_dataset(clean_hospital(spark, folder), labels(spark, folder, "hospitalisation"))
+    return history.text_dataset(clean_hospital(spark, folder), stored_labels(spark, folder, "hospitalisation"))
 
 
 @query(f"""SELECT l.subject_id, l.prediction_time, (e.event_seq - 1) // 10 AS page, string_agg(e.line, '' ORDER BY e.event_seq) AS text
     FROM {HOSPITALISATION} l JOIN {LINES} e ON e.subject_id = l.subject_id AND e.time <= l.prediction_time GROUP BY ALL""")
 def narrative_pages(spark, folder):
     events = history.text_events(clean_hospital(spark, folder))
-    pages = narrative.narrative_pages(events, labels(spark, folder, "hospitalisation"), lines_per_page=10)
+    pages = narrative.narrative_pages(events, stored_labels(spark, folder, "hospitalisation"), lines_per_page=10)
     return pages.select("subject_id", "prediction_time", "page", "text")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import unicode_regex
-from eventloom.plans.timeline import Run, has_hot_key, lay_out, max_rows_per_key, written
+from eventloom.plans.timeline import Run, lay_out, slices_needed, written
 
 UNITS = {"h": 3600, "hour": 3600, "hours": 3600, "d": 86400, "day": 86400, "days": 86400, "m": 60, "min": 60, "minutes": 60}
 
@@ -51,20 +51,20 @@ class History:
     """Predicate counts per subject and time, with the layout decided once for all lookups."""
 
     counts: DataFrame
-    sliced: bool
+    slices: int
 
     @classmethod
     def of(cls, counts: DataFrame) -> History:
         """The counts are read once per lookup, so they are written first: the events are scanned a single time."""
         counts = written(counts, "predicates")
-        return cls(counts, has_hot_key(counts, ["subject_id"], max_rows_per_key(counts.sparkSession)))
+        return cls(counts, slices_needed(counts, ["subject_id"]))
 
     def _union(self, values: dict[str, Column], probes: DataFrame):
         """Event rows (`__kind` 0) and probe rows of a subject in time order."""
         events = self.counts.select("subject_id", F.col("time").alias("__time"), F.lit(0).alias("__kind"), *(
             v.alias(k) for k, v in values.items()))
         both = events.unionByName(probes, allowMissingColumns=True)
-        return lay_out(both, ["subject_id"], ["__time", "__kind"], self.sliced)
+        return lay_out(both, ["subject_id"], ["__time", "__kind"], self.slices)
 
     def next_time(self, points: DataFrame, start: str, predicate: str, name: str) -> DataFrame:
         """Add the first time strictly after `start` at which the predicate holds; null if there is none."""
@@ -186,7 +186,7 @@ def label_cohorts(events: DataFrame, specs: Mapping[str, Mapping]) -> DataFrame:
     tables = []
     for task, spec in specs.items():
         columns = [F.col(f"{task}__{name}").alias(name) for name in spec["predicates"]]
-        history = History(shared.counts.select("subject_id", "time", *columns), shared.sliced)
+        history = History(shared.counts.select("subject_id", "time", *columns), shared.slices)
         points = history.counts.filter(F.col(spec["trigger"]) > 0).select("subject_id", F.col("time").alias("trigger"))
         tables.append(_label(history, points, spec).select(F.lit(task).alias("task"), "*"))
     out = tables[0]

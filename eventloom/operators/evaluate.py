@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.plans.timeline import SLICE, Run, Timeline, lay_out
+from eventloom.plans.timeline import SLICE, Run, Timeline, lay_out, written
 
 METRICS = ("AUROC", "AUPRC", "Brier")
 
@@ -38,9 +38,10 @@ def normalise_probabilities(df: DataFrame, label: str = "boolean_value", probabi
 
 
 def cells(scored: DataFrame) -> DataFrame:
-    """Positives and negatives per distinct probability."""
+    """Positives and negatives per distinct probability, written once so that the scores are read a single time."""
     positive = F.col("label").cast("bigint")
-    return scored.groupBy("prob").agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
+    counts = scored.groupBy("prob").agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
+    return written(counts, "cells")
 
 
 def thresholds(scored: DataFrame) -> Timeline:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import numbers, times
-from eventloom.plans.timeline import Run, lay_out
+from eventloom.plans.timeline import Run, lay_out, written
 
 UNKNOWN = "UNK"
 SPECIAL_KEYS = {"code", "time", "time_format", "numeric_value", "text_value"}
@@ -54,31 +54,40 @@ def time_column(df: DataFrame, spec: Mapping) -> Column:
     return times.parse_time(F.col(name).cast("string"), list(formats))
 
 
-def extract_one(df: DataFrame, spec: Mapping, subject_id: str = "subject_id") -> DataFrame:
-    """One event specification: a projection, and a filter on usable times unless the event is static."""
-
-    def value(key: str) -> Column | None:
-        if spec.get(key) is None:
-            return None
-        return F.col(column_name(spec[key]) or spec[key])
-
-    number, text = value("numeric_value"), value("text_value")
-    if number is None:
-        number = F.lit(None).cast("double")
-    else:
-        name = column_name(spec["numeric_value"]) or spec["numeric_value"]
-        number = numbers.as_double(df, name)
-    text = F.lit(None).cast("string") if text is None else text.cast("string")
-    extras = [F.col(column_name(source) or source).alias(name) for name, source in spec.items() if name not in SPECIAL_KEYS]
-    events = df.select(
-        F.col(subject_id).cast("bigint").alias("subject_id"),
+def event_struct(df: DataFrame, spec: Mapping, extras: Mapping[str, str]) -> Column:
+    """One event of a row; `extras` are the pass-through columns of all events of the table with their types."""
+
+    def source(key: str) -> str | None:
+        return None if spec.get(key) is None else column_name(spec[key]) or spec[key]
+
+    number, text = source("numeric_value"), source("text_value")
+    passed = []
+    for name, kind in extras.items():
+        value = F.col(source(name)) if name in spec else F.lit(None).cast(kind)
+        passed.append(value.alias(name))
+    return F.struct(
         time_column(df, spec).alias("time"),
         code_column(spec["code"]).alias("code"),
-        number.alias("numeric_value"),
-        text.alias("text_value"),
-        *extras,
+        (F.lit(None).cast("double") if number is None else numbers.as_double(df, number)).alias("numeric_value"),
+        (F.lit(None) if text is None else F.col(text)).cast("string").alias("text_value"),
+        *passed,
+        F.lit(spec.get("time") is None).alias("__static"),
     )
-    return events if spec.get("time") is None else events.filter(F.col("time").isNotNull())
+
+
+def extract_table(df: DataFrame, events: Mapping[str, Mapping], subject_id: str = "subject_id") -> DataFrame:
+    """All events of one table. A row yields an array of events that is flattened in place, so the table, with
+    whatever joins prepared it, is computed once however many events it has. Events with an unusable time are dropped.
+    """
+    extras = {}
+    for spec in events.values():
+        for name, source in spec.items():
+            if name not in SPECIAL_KEYS:
+                extras[name] = df.schema[column_name(source) or source].dataType.simpleString()
+    entries = F.array(*(event_struct(df, spec, extras) for spec in events.values()))
+    subject = F.col(subject_id).cast("bigint").alias("subject_id")
+    rows = df.select(subject, F.inline(entries))
+    return rows.filter(F.col("time").isNotNull() | F.col("__static")).drop("__static")
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
@@ -88,14 +97,11 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
 def extract_events(
     tables: Mapping[str, DataFrame], config: Mapping[str, Mapping[str, Mapping]], dedup: bool = False
 ) -> DataFrame:
-    """All events of all configured tables that are present. Scans are independent; nothing is shuffled unless `dedup`."""
+    """All events of all configured tables that are present; one scan per table, nothing shuffled unless `dedup`."""
     config = dict(config)
     subject = config.pop("subject_id_col", "subject_id")
-    frames = []
-    for table, events in config.items():
-        if table not in tables:
-            continue
-        frames += [extract_one(tables[table], spec, subject) for spec in events.values()]
+    present = [name for name in config if name in tables]
+    frames = [extract_table(tables[name], config[name], subject) for name in present]
     if not frames:
         raise ValueError("no configured table is present")
     events = union_by_name(frames)
@@ -113,7 +119,7 @@ def split_subjects(
     Subjects are ordered by a seeded hash; cumulative fractions of that order give the splits. The order is global, so
     it is computed over slices when there are many subjects.
     """
-    subjects = df.select("subject_id").distinct()
+    subjects = written(df.select("subject_id").distinct(), "subjects")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("subject_id").cast("string")))
     ranked = lay_out(subjects.withColumn("__hash", key), [], ["__hash", "subject_id"]).numbered("__rank").rows()
     total = subjects.agg(F.count(F.lit(1)).alias("n")).scalar()

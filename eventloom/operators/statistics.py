@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.text import first_part, starts_with_any
 from eventloom.operators.extract import union_by_name
-from eventloom.plans.timeline import Run, Timeline, lay_out
+from eventloom.plans.timeline import Run, Timeline, lay_out, written
 
 MINUTE, HOUR, DAY = 60, 3600, 86400
 
@@ -48,6 +48,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities:
     keeps a group of any size spread over tasks. A quantile is read off the one or two rows whose ranks it needs.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = written(counts, "counts")
     totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
     line = lay_out(counts, by, [value]).run(__upto=Run("sum", F.col("__n")))
     line = line.attach(totals) if by else line.pipe(lambda d: d.withColumn("__total", totals.scalar()))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 SLICE = "__slice"
 MAX_ROWS_CONF = "spark.eventloom.maxRowsPerKey"
+SLICE_ROWS_CONF = "spark.eventloom.rowsPerSlice"
 DEFAULT_MAX_ROWS = 1_000_000
 
 
@@ -55,12 +56,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def has_hot_key(df: DataFrame, by: Sequence[str], limit: int) -> bool:
-    """True when some key has more than `limit` rows. Reads only the key columns and combines before the shuffle."""
-    if not by:
-        return not df.select(F.lit(1).alias("one")).offset(limit).isEmpty()
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return not counts.filter(F.col("n") > limit).isEmpty()
+def slices_needed(df: DataFrame, by: Sequence[str]) -> int:
+    """0 when every key fits one task, else the number of slices for the whole table.
+
+    Reads only the key columns and counts before the shuffle; two numbers reach the driver.
+    """
+    spark = df.sparkSession
+    if by:
+        counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        largest, total = counts.agg(F.max("n"), F.sum("n")).first()
+    else:
+        largest = total = df.count()
+    if (largest or 0) <= max_rows_per_key(spark):
+        return 0
+    rows = int(spark.conf.get(SLICE_ROWS_CONF, str(DEFAULT_MAX_ROWS)))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-total // rows))
 
 
 def sort_keys(order: Sequence[str], reverse: bool = False) -> list[Column]:
@@ -209,20 +219,19 @@ def lay_out(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
-    sliced: bool | None = None,
+    slices: int | None = None,
     tie_breakers: Sequence[str] = (),
 ) -> Timeline:
-    """Arrange `df` for ordered computation per key; `sliced=None` decides from the size of the largest key.
+    """Arrange `df` for ordered computation per key.
 
-    `tie_breakers` are appended to the order so that equal rows may be spread over slices as well.
+    `slices=None` decides from the size of the largest key, 0 asks for whole keys. `tie_breakers` are appended to the
+    order so that equal rows may be spread over slices as well.
     """
     by, order = tuple(by), tuple(order) + tuple(tie_breakers)
-    spark = df.sparkSession
-    if sliced is None:
-        sliced = has_hot_key(df, by, max_rows_per_key(spark))
-    if not sliced:
+    if slices is None:
+        slices = slices_needed(df, by)
+    if not slices:
         return Timeline(df, by, order, False)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     keys = [*(F.col(c).asc_nulls_last() for c in by), *sort_keys(order)]
-    placed = df.repartitionByRange(n, *keys).withColumn(SLICE, F.spark_partition_id())
+    placed = df.repartitionByRange(slices, *keys).withColumn(SLICE, F.spark_partition_id())
     return Timeline(written(placed, "slices"), by, order, True)

@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from eventloom.plans.timeline import lay_out
 
+PARTITION_COLUMNS = ["task", "split", "shard"]
 LABEL_COLUMNS = ["boolean_value", "integer_value", "float_value", "categorical_value"]
 
 # Columns of the raw CSV tables with types other than text. Everything else is read as text, which
@@ -67,8 +68,9 @@ def read_partitioned(
 
     Hidden directories are skipped, and partition values stay text.
     """
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    df = spark.read.parquet(root)
+    found = spark.read.parquet(root).schema
+    named = [f if f.name not in PARTITION_COLUMNS else StructField(f.name, StringType()) for f in found]
+    df = spark.read.schema(StructType(named)).parquet(root)
     if tasks is not None:
         df = df.filter(F.col("task").isin(list(tasks)))
     if split is not None:
