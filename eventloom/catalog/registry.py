@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
+# props is {"k": <number>}
+DIGITS = "substring(props, 7, length(props) - 7)"
+K = f"CAST({DIGITS} AS INT)"
 EVENT = ["user_id AS subject_id", "ts AS time"]
 VALUES = ["value AS numeric_value", "props AS text_value"]
 
 VIEWS: dict[str, tuple[str, list[str]]] = {
     # web events as an event table
-    "ev": ("events", [*EVENT, "upper(event_type) || '//K' || regexp_extract(props, '([0-9]+)', 1) AS code", *VALUES, "event_id"]),
+    "ev": ("events", [*EVENT, f"upper(event_type) || '//K' || {DIGITS} AS code", *VALUES, "event_id"]),
     # the same events under the codes of a hospital record
     "hospital": (
         "events",
@@ -27,11 +29,11 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             *EVENT,
             "CASE event_type WHEN 'signup' THEN 'EMERGENCY_DEPARTMENT_REGISTRATION//ARRIVAL_TRANSPORT' "
             f"WHEN 'click' THEN 'EMERGENCY_DEPARTMENT_DISCHARGE//DISCHARGE_LOCATION//' || CASE WHEN {K} % 3 = 0 THEN 'ADMITTED' ELSE 'HOME' END "
-            "WHEN 'view' THEN 'ICU_ADMISSION//UNIT_' || regexp_extract(props, '([0-9]+)', 1) "
+            f"WHEN 'view' THEN 'ICU_ADMISSION//UNIT_' || {DIGITS} "
             f"WHEN 'purchase' THEN 'HOSPITAL_DISCHARGE//DISCHARGE_LOCATION//' || CASE WHEN {K} % 4 = 0 THEN 'DIED' ELSE 'HOME' END "
-            f"ELSE CASE WHEN {K} < 10 THEN 'BIRTH//BORN' ELSE 'HOSPITAL_DIAGNOSIS//ICD//10//' || regexp_extract(props, '([0-9]+)', 1) END END AS code",
+            f"ELSE CASE WHEN {K} < 10 THEN 'BIRTH//BORN' ELSE 'HOSPITAL_DIAGNOSIS//ICD//10//' || {DIGITS} END END AS code",
             "CASE WHEN event_type IN ('signup', 'view') THEN value END AS numeric_value",
-            "CASE WHEN event_type = 'error' THEN 'code  of kind_' || regexp_extract(props, '([0-9]+)', 1) WHEN event_type = 'signup' THEN 'ON FOOT' END AS text_value",
+            f"CASE WHEN event_type = 'error' THEN 'code  of kind_' || {DIGITS} WHEN event_type = 'signup' THEN 'ON FOOT' END AS text_value",
             "event_id",
         ],
     ),

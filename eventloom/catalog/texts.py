@@ -10,6 +10,7 @@ from eventloom.catalog.registry import query, table, view
 from eventloom.operators import narrative, prompts
 from eventloom.plans import history
 from eventloom.plans.cohorts import COHORTS
+from eventloom.plans.timeline import written
 
 LINES = f"""(SELECT *, CASE WHEN a THEN '## Age ' || y || ' years ' || d || ' days\n' ELSE '' END || CASE WHEN a OR t THEN '### ' || tod || '\n' ELSE '' END
     || CASE WHEN a OR t OR p THEN '#### ' || prefix || '\n' ELSE '' END || code || '\n' AS line FROM (SELECT *,
@@ -43,6 +44,11 @@ def narratives(spark, folder):
     return history.text_dataset(clean_hospital(spark, folder), stored_labels(spark, folder, "hospitalisation"))
 
 
+def stored_narratives(spark, folder):
+    """The text data set as a stored table, as the prompt steps read it."""
+    return written(narratives(spark, folder), "narratives")
+
+
 @query(f"""SELECT l.subject_id, l.prediction_time, (e.event_seq - 1) // 10 AS page, string_agg(e.line, '' ORDER BY e.event_seq) AS text
     FROM {HOSPITALISATION} l JOIN {LINES} e ON e.subject_id = l.subject_id AND e.time <= l.prediction_time GROUP BY ALL""")
 def narrative_pages(spark, folder):
@@ -53,7 +59,7 @@ def narrative_pages(spark, folder):
 
 @query(f"SELECT subject_id, text || '\n\n# Task\nReadmission?' AS text, boolean_value AS label FROM {NARRATIVES}")
 def training_rows(spark, folder):
-    return narrative.training_rows(narratives(spark, folder), "\n\n# Task\nReadmission?")
+    return narrative.training_rows(stored_narratives(spark, folder), "\n\n# Task\nReadmission?")
 
 
 # --- prompts ------------------------------------------------------------------------------------------------------
@@ -119,7 +125,7 @@ CUT = f"""(SELECT *, ltrim(array_to_string(regexp_extract_all(text, '\\s*\\S+')[
     FROM (SELECT *, regexp_extract(suffix, '(?m)^## Age \\d+ years \\d+ days$') AS header FROM {CUT}) WHERE total <= 120 OR available > 0""")
 def narratives_cut_at_age_header(spark, folder):
     """Long histories start at an age header after the cut."""
-    described = narratives(spark, folder).withColumn("task_description", F.lit(COHORTS["hospitalisation"]["description"]))
+    described = stored_narratives(spark, folder).withColumn("task_description", F.lit(COHORTS["hospitalisation"]["description"]))
     limited = prompts.limit_history(described, 120)
     return limited.filter("available_tokens IS NULL OR available_tokens > 0").select("subject_id", "prediction_time", "text")
 

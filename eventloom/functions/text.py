@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEPARATOR = "//"
+MARK = "\x01"
+
+
+# Every character with the Unicode property White_Space (fixed values).
+WHITESPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f"
+    "\u205f\u3000"
+)
 
 
 def unicode_regex(pattern: str) -> str:
-    """Make \\s, \\d, \\w and \\b Unicode-aware, as configured patterns expect."""
-    return f"(?U){pattern}"
+    """Make \\s, \\d, \\w and \\b Unicode-aware where a pattern uses them, as configured patterns expect."""
+    return f"(?U){pattern}" if re.search(r"\\[sSdDwWbB]|\\p\{|\[\[:", pattern) else pattern
 
 
 def strip(col: Column) -> Column:
-    """Remove leading and trailing whitespace of any kind (`trim` removes only blanks)."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    """Remove leading and trailing whitespace of any kind (plain `trim` removes only blanks)."""
+    return F.trim(col, F.lit(WHITESPACE))
 
 
 def strip_end(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)\s+$", "")
+    return F.rtrim(col, F.lit(WHITESPACE))
 
 
 def title_case(col: Column, boundary: str = "nonalnum") -> Column:
@@ -33,9 +42,9 @@ def title_case(col: Column, boundary: str = "nonalnum") -> Column:
         return F.initcap(col)
     if boundary != "nonalnum":
         raise ValueError("boundary must be 'nonalnum' or 'whitespace'")
-    words = F.split(F.lower(col), r"(?<=[^\p{L}\p{N}])")
-    capital = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
-    return F.array_join(capital, "")
+    # initcap starts words after blanks only: put a marked blank after every other separator and take it out again
+    marked = F.regexp_replace(col, r"([^\p{L}\p{N} ])", f"$1{MARK} ")
+    return F.replace(F.initcap(marked), F.lit(f"{MARK} "), F.lit(""))
 
 
 def replace_all(col: Column, patterns: Iterable[tuple[str, str]]) -> Column:

@@ -205,16 +205,16 @@ def combine_labels(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("su
 def compare_keys(labels: DataFrame, reference_task: str | None = None) -> DataFrame:
     """How often each (split, shard, subject, time) occurs in the reference task and in every other task.
 
-    The keys are counted before any exchange of rows, then each task meets the reference in a full outer join.
+    The keys are counted before any exchange of rows and written once; each task then meets the reference in a full
+    outer join.
     """
     keys = ["split", "shard", "subject_id", "prediction_time"]
-    counted = labels.groupBy("task", *keys).agg(F.count(F.lit(1)).alias("n"))
-    first = F.lit(reference_task) if reference_task else labels.agg(F.min("task")).scalar()
+    counted = written(labels.groupBy("task", *keys).agg(F.count(F.lit(1)).alias("n")), "keys")
+    first = F.lit(reference_task) if reference_task else counted.agg(F.min("task")).scalar()
     is_reference = F.col("task") == first
     reference = counted.filter(is_reference).select(*keys, F.col("n").alias("n_reference"))
     # every other task that exists is compared with every reference key, so absent shards show up as well
-    tasks = labels.filter(~is_reference).select("task").distinct()
-    names = tasks.agg(F.sort_array(F.collect_set("task"))).scalar()
+    names = counted.filter(~is_reference).agg(F.sort_array(F.collect_set("task"))).scalar()
     wanted = ["task", *keys]
     expected = reference.withColumn("task", F.explode(names)).select(*(F.col(c).alias(f"r_{c}") for c in wanted), "n_reference")
     others = counted.filter(~is_reference).select(*(F.col(c).alias(f"t_{c}") for c in wanted), F.col("n").alias("n_task"))

@@ -146,6 +146,7 @@ def _shares(line: Timeline, n_replicates: int, seed: int) -> DataFrame:
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            tables = []
             for replicate, slices in zip(frame["id"], frame["totals"], strict=True):
                 ids = np.array([s["slice"] for s in slices], dtype=np.int64)
                 counts = np.array([[s["pos"], s["neg"]] for s in slices], dtype=np.int64).reshape(-1, 2)
@@ -156,10 +157,10 @@ def _shares(line: Timeline, n_replicates: int, seed: int) -> DataFrame:
                 drawn = rng.multinomial(total, counts.ravel() / total).reshape(-1, 2)
                 above = np.cumsum(drawn, axis=0) - drawn
                 both = drawn.sum(axis=0)
-                yield pd.DataFrame({
-                    "replicate": replicate, "slice": ids, "pos_here": drawn[:, 0], "neg_here": drawn[:, 1],
-                    "pos_above": above[:, 0], "neg_above": above[:, 1], "n_pos": both[0], "n_neg": both[1],
-                })
+                fixed = [np.full(len(ids), v) for v in (replicate, *both)]
+                tables.append(np.column_stack([fixed[0], ids, drawn, above, *fixed[1:]]))
+            if tables:
+                yield pd.DataFrame(np.concatenate(tables), columns=[part.split()[0] for part in SHARES.split(", ")])
 
     replicates = line.df.sparkSession.range(n_replicates).withColumn("totals", totals)
     return replicates.mapInPandas(draw, SHARES)
@@ -189,9 +190,12 @@ def resample(scored: DataFrame, n_replicates: int, seed: int, schema: str, summa
             rng = np.random.default_rng([seed, share["replicate"], share["slice"] + 1])
             drawn_pos = rng.multinomial(share["pos_here"], pos / pos.sum()) if share["pos_here"] else np.zeros_like(pos)
             drawn_neg = rng.multinomial(share["neg_here"], neg / neg.sum()) if share["neg_here"] else np.zeros_like(neg)
-            out.append(pd.DataFrame(summarise(prob, drawn_pos, drawn_neg, share)).assign(replicate=share["replicate"]))
+            part = {name: np.asarray(values) for name, values in summarise(prob, drawn_pos, drawn_neg, share).items()}
+            out.append(part | {"replicate": np.full(len(part[names[0]]), share["replicate"])})
         columns = ["replicate", *names]
-        return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+        if not out:
+            return pd.DataFrame(columns=columns)
+        return pd.DataFrame({c: np.concatenate([part[c] for part in out]) for c in columns})
 
     grouped = spread.groupBy("slice", "block").cogroup(shares.groupBy("slice", "block"))
     return grouped.applyInPandas(run, f"replicate long, {schema}")

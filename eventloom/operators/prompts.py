@@ -74,8 +74,7 @@ def last_tokens(text: Column, n: Column) -> Column:
 
 def from_age_header(text: Column) -> Column:
     """The text from its first age header on; unchanged without one."""
-    at = F.regexp_instr(text, F.lit("(?m)" + AGE_HEADER))
-    return F.when(at > 0, F.substr(text, at)).otherwise(text)
+    return F.regexp_replace(text, rf"(?ms)\A.*?(?={AGE_HEADER})", "")
 
 
 def limit_history(

@@ -75,18 +75,23 @@ def drop_by_regex(df: DataFrame, patterns: Sequence[Pattern], column: str = "cod
     """Drop rows in which any pattern is found and its exception is not; null values are dropped."""
     if not patterns:
         raise ValueError("patterns must not be empty")
-    col, drop = F.col(column), F.lit(False)
     for pattern in patterns:
-        if isinstance(pattern, str):
-            drop = drop | col.rlike(text.unicode_regex(pattern))
-            continue
-        if "regex" not in pattern:
+        if not isinstance(pattern, str) and "regex" not in pattern:
             raise ValueError("a pattern entry needs the key 'regex'")
-        hit = col.rlike(text.unicode_regex(pattern["regex"]))
-        if pattern.get("except_regex"):
-            hit = hit & ~col.rlike(text.unicode_regex(pattern["except_regex"]))
-        drop = drop | hit
-    return df.filter(~drop)
+
+    def dropped(col: Column) -> Column:
+        drop = F.lit(False)
+        for pattern in patterns:
+            pattern = {"regex": pattern} if isinstance(pattern, str) else pattern
+            hit = col.rlike(text.unicode_regex(pattern["regex"]))
+            if pattern.get("except_regex"):
+                hit = hit & ~col.rlike(text.unicode_regex(pattern["except_regex"]))
+            drop = drop | hit
+        return drop
+
+    # The optimizer moves the filter below the step that computed the column and would repeat that computation for every
+    # pattern; bound to a lambda variable it is evaluated once per row.
+    return df.filter(F.exists(F.array(column), lambda c: ~dropped(c)))
 
 
 def filter_by_text_value(df: DataFrame, prefix_to_text_values: Mapping[str, Sequence[str]] | None) -> DataFrame:
@@ -176,16 +181,21 @@ EVENT_ORDER = ("time", "__priority", "code", "numeric_value", "text_value")
 
 
 def order_events(
-    df: DataFrame, prefixes: Sequence[str], column: str = "code", tie_breakers: Sequence[str] = ()
+    df: DataFrame,
+    prefixes: Sequence[str],
+    column: str = "code",
+    tie_breakers: Sequence[str] = (),
+    slices: int | None = None,
 ) -> Timeline:
     """Order events per subject and number them in `event_seq`.
 
-    Keys: time, priority of the category, code, number, text; ascending, nulls last.
+    Keys: time, priority of the category, code, number, text; ascending, nulls last. `slices` is the layout when it is
+    known already.
     """
     if not prefixes:
         raise ValueError("prefixes must not be empty")
     ranked = df.withColumn("__priority", priority(F.col(column), prefixes))
-    timeline = lay_out(ranked, ["subject_id"], EVENT_ORDER, tie_breakers=tie_breakers).numbered("event_seq")
+    timeline = lay_out(ranked, ["subject_id"], EVENT_ORDER, slices, tie_breakers).numbered("event_seq")
     return Timeline(timeline.df.drop("__priority"), ("subject_id",), ("event_seq",), timeline.sliced)
 
 

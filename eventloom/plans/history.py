@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from eventloom.operators import transforms as t
 from eventloom.operators.narrative import labelled_subjects, narratives
-from eventloom.plans.timeline import Timeline
+from eventloom.plans.timeline import Timeline, slices_needed
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -82,7 +82,9 @@ def clean_events(
         lambda d: t.clean_string_columns(d, **CODE_CLEANING),
         lambda d: t.drop_by_regex(d, dropped),
     ]
-    return t.order_events(apply_stages(df, stages), order_prefixes, tie_breakers=tie_breakers)
+    # the sizes of the unfiltered subjects bound the filtered ones, and need no regex to be run
+    slices = slices_needed(df, ["subject_id"])
+    return t.order_events(apply_stages(df, stages), order_prefixes, tie_breakers=tie_breakers, slices=slices)
 
 
 def text_stages(

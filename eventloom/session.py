@@ -20,6 +20,6 @@ def get_session(app_name: str = "eventloom", master: str | None = None, **conf:
         builder = builder.master(master)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
-    for key, value in conf.items():
+    for key, value in conf.items():  # after the defaults, so that they can be overridden
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
