@@ -11,10 +11,10 @@ NUMERIC_TEXT = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
 def as_double(df: DataFrame, name: str) -> Column:
-    """The column as a double; a float is widened through text so that 37.6 stays 37.6."""
+    """The column as a double; a float is widened through text so that 37.6 stays 37.6. Text that is no number is null."""
     kind = df.schema[name].dataType
     col = F.col(name)
-    return col if isinstance(kind, DoubleType) else col.cast("string").cast("double")
+    return col if isinstance(kind, DoubleType) else col.cast("string").try_cast("double")
 
 
 def significant_text(value: Column, sig_figs: int = 3) -> Column:

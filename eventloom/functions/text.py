@@ -17,6 +17,7 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f"
     "\u205f\u3000"
 )
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def unicode_regex(pattern: str) -> str:
@@ -29,8 +30,13 @@ def strip(col: Column) -> Column:
     return F.trim(col, F.lit(WHITESPACE))
 
 
-def strip_end(col: Column) -> Column:
-    return F.rtrim(col, F.lit(WHITESPACE))
+def strip_text(col: Column) -> Column:
+    """`strip` for free text, where information separators count as whitespace too."""
+    return F.trim(col, F.lit(WHITESPACE + SEPARATORS))
+
+
+def strip_text_end(col: Column) -> Column:
+    return F.rtrim(col, F.lit(WHITESPACE + SEPARATORS))
 
 
 def title_case(col: Column, boundary: str = "nonalnum") -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.text import strip_end
+from eventloom.functions.text import strip_text_end
 from eventloom.plans.timeline import SLICE, Run, Timeline, lay_out
 from eventloom.sources.tables import LABEL_COLUMNS
 
@@ -72,7 +72,7 @@ def render_lines(timeline: Timeline, on_null: str = "skip") -> Timeline:
 
 
 def history_text(lines: Column) -> Column:
-    return F.concat(F.lit(TITLE), strip_end(F.array_join(lines, "")))
+    return F.concat(F.lit(TITLE), strip_text_end(F.array_join(lines, "")))
 
 
 def as_timeline(events: DataFrame | Timeline) -> Timeline:
@@ -94,7 +94,7 @@ def patient_texts(events: DataFrame | Timeline, on_null: str = "skip") -> DataFr
         pieces = F.sort_array(F.collect_list(F.struct(SLICE, "__text")))
         lines = lines.groupBy("subject_id").agg(pieces.alias("__pieces"))
         lines = lines.withColumn("__text", F.array_join(F.transform("__pieces", lambda e: e["__text"]), ""))
-    return lines.select("subject_id", F.concat(F.lit(TITLE), strip_end(F.col("__text"))).alias("text"))
+    return lines.select("subject_id", F.concat(F.lit(TITLE), strip_text_end(F.col("__text"))).alias("text"))
 
 
 def narratives(

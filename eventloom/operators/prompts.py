@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from eventloom.functions.numbers import clamp
-from eventloom.functions.text import extract_or_null, strip
+from eventloom.functions.text import extract_or_null, strip_text
 
 # The prompt and the header at which a history may be cut.
 TEMPLATE = """# Patient's Electronic Health Record
@@ -31,9 +31,9 @@ AGE_HEADER = r"^## Age \d+ years \d+ days$"
 
 # The patterns of an answer.
 THINKING = r"(?s)<think>(.*?)</think>"
-EXPLANATION = r"(?is)Explanation:\s*(.*?)(?=Answer:|Probability:|$)"
-ANSWER = r"(?i)Answer:\s*(Yes|No)"
-PROBABILITY = r"Probability:\s*(\d+)"
+EXPLANATION = r"(?isU)Explanation:\s*(.*?)(?=Answer:|Probability:|$)"
+ANSWER = r"(?iU)Answer:\s*(Yes|No)"
+PROBABILITY = r"(?U)Probability:\s*(\d+)"
 
 TOKEN = r"\s*\S+"
 
@@ -156,9 +156,12 @@ def score(
     columns: str = "model_output string",
     batch_size: int = 48,
     input_column: str = "prompt",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Run a user function over prompts in batches; it returns the new columns, given as a DDL string.
 
+    `partitions` spreads the prompts evenly over that many tasks, for a function far more costly than the shuffle.
+
     Partitions stream through the function and only `batch_size` prompts are handed over at a time. The function may be
     non-deterministic, so write the result before using it twice.
     """
@@ -173,7 +176,8 @@ def score(
                 result = batch_fn(part[input_column].tolist())
                 yield part.assign(**{name: list(result[name]) for name in names})
 
-    return longest_first(dataset).mapInPandas(run, schema)
+    spread = dataset.repartition(partitions) if partitions else dataset
+    return longest_first(spread).mapInPandas(run, schema)
 
 
 def parse_answers(dataset: DataFrame, column: str = "model_output") -> DataFrame:
@@ -185,8 +189,8 @@ def parse_answers(dataset: DataFrame, column: str = "model_output") -> DataFrame
     return dataset.withColumns({
         "parsed_answer": F.lower(extract_or_null(text, ANSWER)) == "yes",
         "parsed_probability": number.cast("int"),
-        "parsed_thinking": strip(extract_or_null(text, THINKING)),
-        "parsed_explanation": strip(extract_or_null(text, EXPLANATION)),
+        "parsed_thinking": strip_text(extract_or_null(text, THINKING)),
+        "parsed_explanation": strip_text(extract_or_null(text, EXPLANATION)),
     })
 
 

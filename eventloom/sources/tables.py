@@ -78,14 +78,20 @@ def read_partitioned(
     return df
 
 
-def write_partitioned(df: DataFrame, root: str, by: Sequence[str] = ("task", "split", "shard"), mode: str = "overwrite"):
-    """One directory per value of `by`. Only the partitions written to are replaced."""
+def write_partitioned(
+    df: DataFrame, root: str, by: Sequence[str] = PARTITION_COLUMNS, mode: str = "overwrite", rebalance: bool = True
+) -> None:
+    """One directory per value of `by`. Only the partitions written to are replaced.
+
+    Rows are gathered by directory first, with small ones merged and large ones split over several files by adaptive
+    execution. Pass `rebalance=False` for data that is already sorted by these columns.
+    """
     present = [c for c in by if c in df.columns]
-    writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*present).parquet(root)
+    gathered = df.hint("rebalance", *present) if rebalance else df
+    gathered.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*present).parquet(root)
 
 
-def discovered(df: DataFrame, by: Sequence[str] = ("task", "split", "shard")) -> DataFrame:
+def discovered(df: DataFrame, by: Sequence[str] = PARTITION_COLUMNS) -> DataFrame:
     """The combinations of task, split and shard that occur, with their row counts."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
 
