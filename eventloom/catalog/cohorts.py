@@ -101,7 +101,7 @@ def cohort_readmission_30d(spark, folder):
     return cohort.label_cohort(events, READMISSION_30D)
 
 
-@query("""SELECT subject_id, time, sum(CAST(code LIKE 'SIGNUP//%' AS BIGINT)) AS signup, sum(CAST(regexp_matches(code, '^(ERROR|VIEW)//K1') AND text_value = '{"k": 12}' AS BIGINT)) AS odd
+@query("""SELECT subject_id, time, count(*) FILTER (code LIKE 'SIGNUP//%') AS signup, count(*) FILTER (regexp_matches(code, '^(ERROR|VIEW)//K1') AND text_value = '{"k": 12}') AS odd
     FROM {ev} WHERE code LIKE 'SIGNUP//%' OR (regexp_matches(code, '^(ERROR|VIEW)//K1') AND text_value = '{"k": 12}') GROUP BY 1, 2""")
 def predicate_counts(spark, folder):
     predicates = {
@@ -139,7 +139,7 @@ def duration_window_counts(spark, folder):
     return found.count_between(counted, "trigger", "upto", "enter", "after_start", inclusive=(False, True))
 
 
-@query("""SELECT event_id, sum(CASE WHEN code LIKE 'ERROR//%' THEN 1 ELSE 0 END) OVER (PARTITION BY subject_id ORDER BY time, event_id) AS errors_so_far,
+@query("""SELECT event_id, count(*) FILTER (code LIKE 'ERROR//%') OVER (PARTITION BY subject_id ORDER BY time, event_id) AS errors_so_far,
     min(CASE WHEN code LIKE 'ERROR//%' THEN time END) OVER (PARTITION BY subject_id ORDER BY time, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_error FROM {ev}""")
 def running_counts_and_next_times(spark, folder):
     is_error = F.col("code").startswith("ERROR//")
@@ -184,7 +184,7 @@ def three_tasks(spark, folder):
 @query(f"""WITH n AS {NUMBERED}, pairs AS (SELECT t.task, r.split, r.shard, r.n AS nr, coalesce(x.n, 0) AS nt FROM n r CROSS JOIN (SELECT unnest(['c', 'd']) AS task) t
       LEFT JOIN n x ON x.task = t.task AND x.split = r.split AND x.shard = r.shard AND x.subject_id = r.subject_id AND x.prediction_time = r.prediction_time WHERE r.task = 'a')
     SELECT task, split, shard, CASE WHEN sum(nt) = 0 THEN 'missing' WHEN sum(greatest(nr - nt, 0)) = 0 THEN 'ok' ELSE 'mismatch' END AS status,
-      sum(nr) AS n_reference, sum(nt) AS n_task, sum(greatest(nr - nt, 0)) AS n_only_in_reference FROM pairs GROUP BY ALL""")
+      CAST(sum(nr) AS BIGINT) AS n_reference, CAST(sum(nt) AS BIGINT) AS n_task, CAST(sum(greatest(nr - nt, 0)) AS BIGINT) AS n_only_in_reference FROM pairs GROUP BY ALL""")
 def validate_labels(spark, folder):
     """Verdict per task and shard against the first task."""
     return cohort.validate_labels(three_tasks(spark, folder))

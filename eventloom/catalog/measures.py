@@ -69,7 +69,7 @@ def brier_score(spark, folder):
     return rounded(evaluate.brier(scored(spark, folder)), "value")
 
 
-@query(f"SELECT prob, pos, neg, tp, fp FROM {cumulative(SCORED)}")
+@query(f"SELECT prob, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp FROM {cumulative(SCORED)}")
 def threshold_running_sums(spark, folder):
     return evaluate.thresholds(scored(spark, folder)).rows().select("prob", "pos", "neg", "tp", "fp")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import strip_text_end
-from eventloom.plans.timeline import SLICE, Run, Timeline, lay_out
+from eventloom.plans.timeline import Run, Timeline, lay_out
 from eventloom.sources.tables import LABEL_COLUMNS
 
 # The formats of the text.
@@ -19,6 +19,8 @@ CATEGORY_HEADER = "#### {}\n"
 NO_TIME = "Time Unspecified"
 NO_AGE = -1
 
+LINES_PER_PAGE = 50_000  # bounds an array of lines of a subject whose key is sliced
+
 
 def filled(template: str, *values: Column) -> Column:
     """A template with its `{}` replaced; null when any value is null."""
@@ -80,21 +82,35 @@ def as_timeline(events: DataFrame | Timeline) -> Timeline:
     return events if isinstance(events, Timeline) else lay_out(events, ["subject_id"], ["event_seq"])
 
 
-def _line_arrays(timeline: Timeline) -> DataFrame:
-    """The ordered lines of every subject, or of every slice of a subject; each array is bounded by the layout."""
+def _line_arrays(timeline: Timeline, lines_per_page: int | None) -> DataFrame:
+    """The ordered lines of every subject, or of every page of a subject.
+
+    A page holds a fixed range of the subject's own numbering, so its array stays short whatever the history.
+    """
     entry = F.struct("event_seq", "time", "line")
-    return timeline.df.groupBy(*timeline.cluster).agg(F.sort_array(F.collect_list(entry)).alias("__lines"))
+    keys = ["subject_id"] if lines_per_page is None else ["subject_id", _page(lines_per_page)]
+    return timeline.df.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(entry)).alias("__lines"), F.min("time").alias("__from")
+    )
+
+
+def _page(lines_per_page: int) -> Column:
+    return F.floor((F.col("event_seq") - 1) / lines_per_page).cast("bigint").alias("page")
+
+
+def _text(lines: Column) -> Column:
+    return F.array_join(F.transform(lines, lambda e: e["line"]), "")
 
 
 def patient_texts(events: DataFrame | Timeline, on_null: str = "skip") -> DataFrame:
     """The whole history of every subject as one text."""
     timeline = render_lines(as_timeline(events), on_null)
-    lines = _line_arrays(timeline).withColumn("__text", F.array_join(F.transform("__lines", lambda e: e["line"]), ""))
-    if timeline.sliced:
-        pieces = F.sort_array(F.collect_list(F.struct(SLICE, "__text")))
-        lines = lines.groupBy("subject_id").agg(pieces.alias("__pieces"))
-        lines = lines.withColumn("__text", F.array_join(F.transform("__pieces", lambda e: e["__text"]), ""))
-    return lines.select("subject_id", F.concat(F.lit(TITLE), strip_text_end(F.col("__text"))).alias("text"))
+    lines = _line_arrays(timeline, LINES_PER_PAGE if timeline.sliced else None)
+    if not timeline.sliced:
+        return lines.select("subject_id", history_text(F.transform("__lines", lambda e: e["line"])).alias("text"))
+    pieces = F.sort_array(F.collect_list(F.struct("page", _text(F.col("__lines")).alias("t")))).alias("__pieces")
+    whole = lines.groupBy("subject_id").agg(pieces)
+    return whole.select("subject_id", history_text(F.transform("__pieces", lambda e: e["t"])).alias("text"))
 
 
 def narratives(
@@ -105,47 +121,45 @@ def narratives(
     Lines are rendered once per event. Cutting a history keeps a prefix of its lines, so headers stay right. Labels
     without any earlier event are left out. `keep` names further label columns (task, split, shard).
 
-    With whole keys, the lines of a subject meet its labels in one equi-join. With sliced keys, a label meets the
-    slices of its subject one by one, and the pieces are put together per label, which is the size of the result.
+    With whole keys, the lines of a subject meet its labels in one equi-join. With sliced keys, a label meets the pages of
+    its subject one by one, and the pieces are put together per label, which is the size of the result.
     """
     timeline = render_lines(as_timeline(events), on_null)
     columns = ["subject_id", "prediction_time", *LABEL_COLUMNS, *keep]
     labels = labels.select(*columns)
-    arrays = _line_arrays(timeline)
-    upto = F.filter("__lines", lambda e: e["time"] <= F.col("prediction_time"))
     out = ["subject_id", "prediction_time", "text", *LABEL_COLUMNS, *keep]
     if not timeline.sliced:
-        joined = labels.join(arrays, "subject_id", "inner").withColumn("__lines", upto).filter(F.size("__lines") > 0)
-        return joined.withColumn("text", history_text(F.transform("__lines", lambda e: e["line"]))).select(*out)
+        arrays = _line_arrays(timeline, None).drop("__from")
+        joined = labels.join(arrays, "subject_id", "inner").withColumn("__lines", _upto_prediction())
+        kept = joined.filter(F.size("__lines") > 0)
+        return kept.withColumn("text", history_text(F.transform("__lines", lambda e: e["line"]))).select(*out)
 
     # equal label rows become one row with a count, so that a label has an identity
     distinct = labels.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
-    starts = timeline.df.groupBy(*timeline.cluster).agg(F.min("time").alias("__from"))
-    wanted = distinct.join(starts, "subject_id", "inner").filter(F.col("__from") <= F.col("prediction_time"))
-    pieces = wanted.join(arrays, timeline.cluster, "inner").withColumn("__lines", upto)
-    text = F.array_join(F.transform("__lines", lambda e: e["line"]), "")
-    parts = pieces.select(*columns, "__copies", F.struct(SLICE, text.alias("t")).alias("__part"))
+    page = _page(LINES_PER_PAGE)
+    starts = timeline.df.groupBy("subject_id", page).agg(F.min("time").alias("__from"))
+    wanted = distinct.join(starts, "subject_id", "inner").filter(F.col("__from") <= F.col("prediction_time")).drop("__from")
+    pieces = wanted.join(_line_arrays(timeline, LINES_PER_PAGE), ["subject_id", "page"], "inner")
+    part = F.struct("page", _text(_upto_prediction()).alias("t")).alias("__part")
+    parts = pieces.select(*columns, "__copies", part)
     whole = parts.groupBy(*columns, "__copies").agg(F.sort_array(F.collect_list("__part")).alias("__parts"))
     texts = whole.withColumn("text", history_text(F.transform("__parts", lambda e: e["t"])))
     return texts.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*out)
 
 
-def narrative_pages(events: DataFrame | Timeline, labels: DataFrame, lines_per_page: int = 10_000) -> DataFrame:
-    """The same histories as (label, page, text) rows, for histories too long for one text value.
+def _upto_prediction() -> Column:
+    return F.filter("__lines", lambda e: e["time"] <= F.col("prediction_time"))
 
-    Pages hold a fixed number of lines of the subject's own numbering, so no row grows with the history.
-    """
-    timeline = render_lines(as_timeline(events))
-    page = F.floor((F.col("event_seq") - 1) / lines_per_page).cast("bigint")
-    entry = F.struct("event_seq", "time", "line")
-    paged = timeline.df.groupBy("subject_id", page.alias("page")).agg(
-        F.sort_array(F.collect_list(entry)).alias("__lines"), F.min("time").alias("__from")
-    )
+
+def narrative_pages(
+    events: DataFrame | Timeline, labels: DataFrame, lines_per_page: int = 10_000, on_null: str = "skip"
+) -> DataFrame:
+    """The same histories as (label, page, text) rows, for histories too long for one text value."""
+    paged = _line_arrays(render_lines(as_timeline(events), on_null), lines_per_page)
     columns = ["subject_id", "prediction_time", *LABEL_COLUMNS]
-    joined = labels.select(*columns).join(paged, "subject_id", "inner").filter(F.col("__from") <= F.col("prediction_time"))
-    upto = F.filter("__lines", lambda e: e["time"] <= F.col("prediction_time"))
-    text = F.array_join(F.transform(upto, lambda e: e["line"]), "")
-    return joined.select(*columns, "page", text.alias("text"))
+    joined = labels.select(*columns).join(paged, "subject_id", "inner")
+    begun = joined.filter(F.col("__from") <= F.col("prediction_time"))
+    return begun.select(*columns, "page", _text(_upto_prediction()).alias("text"))
 
 
 def events_before(events: DataFrame, labels: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 SLICE = "__slice"
 MAX_ROWS_CONF = "spark.eventloom.maxRowsPerKey"
 SLICE_ROWS_CONF = "spark.eventloom.rowsPerSlice"
-DEFAULT_MAX_ROWS = 1_000_000
+DEFAULT_MAX_ROWS = 200_000
+DEFAULT_SLICE_ROWS = 4_000_000
 
 
 def max_rows_per_key(spark: SparkSession) -> int:
@@ -69,7 +70,7 @@ def slices_needed(df: DataFrame, by: Sequence[str]) -> int:
         largest = total = df.count()
     if (largest or 0) <= max_rows_per_key(spark):
         return 0
-    rows = int(spark.conf.get(SLICE_ROWS_CONF, str(DEFAULT_MAX_ROWS)))
+    rows = int(spark.conf.get(SLICE_ROWS_CONF, str(DEFAULT_SLICE_ROWS)))
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-total // rows))
 
 
