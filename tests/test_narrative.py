@@ -12,6 +12,12 @@ LABELS = "subject_id long, prediction_time timestamp_ntz, boolean_value boolean,
 TITLE = "# Patient's Electronic Health Record\n\n"
 
 
+@pytest.fixture(autouse=True)
+def short_pages(monkeypatch):
+    """Sliced histories are put together from pages of two lines."""
+    monkeypatch.setattr(narrative, "LINES_PER_PAGE", 2)
+
+
 def at(hour, day=1):
     return datetime(2020, 1, day, hour)
 
