@@ -11,7 +11,7 @@ from eventloom.operators import extract
 from eventloom.operators import statistics as st
 from eventloom.operators import transforms as t
 from eventloom.plans import history
-from eventloom.plans.timeline import lay_out
+from eventloom.plans.timeline import lay_out, written
 
 PREFIX = "split_part(code, '//', 1)"
 REST = "array_to_string(string_split(code, '//')[2:], '//')"
@@ -245,8 +245,8 @@ def clean_event_table(spark, folder):
     FROM (SELECT subject_id, time, upper(regexp_replace(trim(code), '(\\s)+', '_', 'g')) AS code, numeric_value, text_value FROM hosp
     WHERE split_part(code, '//', 1) <> 'LABORATORY_RESULT' OR numeric_value IS NOT NULL)""")
 def raw_tables_to_ordered_events(spark, folder):
-    """Preparation, extraction, clean-up and ordering in one plan."""
-    return history.clean_events(hospital_events(spark, folder)).rows()
+    """Preparation and extraction into a stored event table, then clean-up and ordering."""
+    return history.clean_events(written(hospital_events(spark, folder), "events")).rows()
 
 
 def text_sql(source: str, age: str = "''") -> str:
