@@ -6,13 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe, decontaminate, jaccard, records, secret_scan, toxicity
+from eventloom.llm import ann, bpe, decontaminate, jaccard, licenses, lm, page_text, records, secret_scan, toxicity
 from eventloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 END = 2
 
 
+def score_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(read(spark, folder, "documents"))
+
+
+def extract_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.extract(read(spark, folder, "pages"))
+
+
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(read(spark, folder, "embeddings"))
+
+
+def find_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(read(spark, folder, "documents"))
+
+
 def find_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(read(spark, folder, "documents"))
 
@@ -45,10 +61,14 @@ def join_ngrams(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lm_scoring": score_language_model,
+    "op2_html_extraction": extract_main_text,
+    "op3_nearest_neighbours": nearest_vectors,
     "op4_secret_scans": find_secrets,
     "op5_toxicity": score_toxicity,
     "op6_benchmark_decontamination": find_benchmark,
     "op7_token_records": token_records,
+    "op8_license_scans": find_licenses,
     "op9_byte_bpe": byte_bpe,
     "op10_ngram_jaccard_join": join_ngrams,
 }
@@ -78,4 +98,4 @@ def _secrets_sql() -> str:
         FROM docs LEFT JOIN told USING (rid)"""
 
 
-SQL: dict[str, str] = {"op4_secret_scans": _secrets_sql()}
+SQL: dict[str, str] = {"op4_secret_scans": _secrets_sql(), "op8_license_scans": licenses.scan_sql()}
