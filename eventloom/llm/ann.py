@@ -47,17 +47,20 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def fit(rows: DataFrame, n: int, most: int = MOST_CENTROIDS) -> list[np.ndarray]:
     """The centroids of both halves."""
-    k = int(max(1, min(most, (n / 8) ** 0.5)))
+    length = len(rows.first().vec)
+    k = int(max(1, min(most, (n / 8) ** 0.5))) if length > 1 else 1
     part = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000))
     sample = rows.filter(part < 1_000_000 * SAMPLE_ROWS // n) if n > SAMPLE_ROWS else rows
     sample = written(sample.repartition(8), "ann-sample")
-    cut = len(sample.first().vec) // 2
+    cut = length // 2
     halves = [F.slice("vec", 1, cut), F.slice("vec", cut + 1, 1 << 30)]
     out = []
     for half in halves:
+        if k < 2:
+            out.append(np.array([sample.select(half.alias("half")).first().half]))
+            continue
         data = sample.select(array_to_vector(half).alias("features"))
-        centers = KMeans(k=k, maxIter=10, seed=11, initMode="random").fit(data).clusterCenters() if cut else [np.zeros(0)]
-        out.append(np.array(centers))
+        out.append(np.array(KMeans(k=k, maxIter=10, seed=11, initMode="random").fit(data).clusterCenters()))
     return out
 
 

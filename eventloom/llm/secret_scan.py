@@ -65,16 +65,16 @@ def ways(regex: str) -> list[list[str]] | None:
         for op, value in parsed:
             if op is C.LITERAL:
                 step = [[chr(value).lower()]]
-            elif op is C.IN and (letters := _letters(value)):
-                step = [[c] for c in letters]
+            elif op is C.IN and (letter := _letter(value)):
+                step = [[letter]]
             elif op is C.BRANCH:
                 step = [way for branch in value[1] for way in walk(branch)]
             elif op is C.SUBPATTERN:
                 step = walk(value[3])
-            elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[:2] == (0, 1):
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[:2] == (0, 1) and all(len(way) == 1 for way in walk(value[2])):
                 step = [[""], *walk(value[2])]
             elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[0] > 0:
-                step = [[*way, ""] for way in walk(value[2])] if len(walk(value[2])) == 1 else [["", ""]]
+                step = [[*way, ""] for way in walk(value[2])]  # the first time round
             else:
                 step = [["", ""]]
             out = join(out, step)
@@ -88,11 +88,10 @@ def ways(regex: str) -> list[list[str]] | None:
         return None
 
 
-def _letters(options) -> list[str]:
-    """The characters, in lower case, of a small class of literals; empty for other classes."""
-    if len(options) > 6 or any(op is not C.LITERAL for op, _ in options):
-        return []
-    return sorted({chr(v).lower() for _, v in options})
+def _letter(options) -> str:
+    """The one character, in lower case, that a class stands for; empty for other classes."""
+    found = {chr(v).lower() if op is C.LITERAL else "" for op, v in options}
+    return found.pop() if len(found) == 1 else ""
 
 
 def query(regex: str) -> list[list[str]]:
@@ -204,14 +203,18 @@ def redacted(docs: DataFrame, text_col: str = "text", count_col: str | None = "n
             F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at")
         )
 
-    whole = F.aggregate("spans", state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    def rest(acc: Column) -> Column:
+        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
+
+    whole = absent(rows, "__masked")
+    rows = rows.withColumn(whole, F.aggregate("spans", state, step, rest))
     changed = F.size("spans") > 0
     columns = []
     for name in docs.columns:
         own = F.col("`__own_spans`") if name == "spans" else F.col(f"`{name}`")
         if name == text_col:
-            own = F.when(changed, whole).otherwise(text)
+            own = F.when(changed, F.col(whole)).otherwise(text)
         elif name == count_col:
-            own = F.when(changed, F.char_length(whole).cast(docs.schema[name].dataType)).otherwise(own)
+            own = F.when(changed, F.char_length(F.col(whole)).cast(docs.schema[name].dataType)).otherwise(own)
         columns.append(own.alias(name))
     return rows.select(*columns)
