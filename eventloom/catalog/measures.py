@@ -99,7 +99,48 @@ def bootstrap_intervals(spark, folder):
 
 @query()
 def bootstrap_intervals_continuous(spark, folder):
-    return evaluate.bootstrap_metrics(continuous(spark, folder), n_replicates=200)
+    return evaluate.bootstrap_metrics(continuous(spark, folder))
+
+
+def bounds_sql(source: str) -> str:
+    point = metrics_sql(source)
+    return f"SELECT metric, round(value, 6) AS value, true AS bounded FROM ({point})"
+
+
+@query(bounds_sql(SCORED))
+def bootstrap_bounds(spark, folder):
+    """Every interval holds its metric."""
+    found = evaluate.bootstrap_metrics(scored(spark, folder))
+    held = (F.col("lo") <= F.col("value")) & (F.col("value") <= F.col("hi")) & (F.col("hi") - F.col("lo") < 0.5)
+    return found.select("metric", F.round("value", 6).alias("value"), held.alias("bounded"))
+
+
+@query(f"SELECT r.range AS replicate, (SELECT count(*) FROM {CONTINUOUS}) AS n, true AS within FROM range(1000) r")
+def bootstrap_replicates_continuous(spark, folder):
+    """A thousand replicates, each of as many rows as the table, with metrics between 0 and 1."""
+    rows = continuous(spark, folder)
+    tables = evaluate.resampled_calibration(rows, 1000).groupBy("replicate").agg(F.sum("n").alias("n"))
+    within = F.greatest("AUROC", "AUPRC", "Brier") <= 1
+    return evaluate.bootstrap_replicates(rows).select("replicate", within.alias("within")).join(tables, "replicate")
+
+
+@query(f"""SELECT (SELECT count(*) FROM {SCORED}) AS n_drawn, r.range AS replicate, true AS full_recall, true AS rising FROM range(60) r""")
+def resampled_curve_shape(spark, folder):
+    """Each resampled curve ends at recall 1, and sixty asked for are sixty; calibration tables hold every row."""
+    rows = scored(spark, folder)
+    curve = evaluate.resampled_precision_recall(rows, 60).groupBy("replicate").agg(
+        (F.abs(F.max("recall") - 1) < 1e-12).alias("full_recall"), (F.min("precision") >= 0).alias("rising")
+    )
+    drawn = evaluate.resampled_calibration(rows, 60).groupBy("replicate").agg(F.sum("n").alias("n_drawn"))
+    return curve.join(drawn, "replicate")
+
+
+@query("SELECT r.range / 100.0::DOUBLE AS fpr, true AS ordered FROM range(101) r")
+def roc_band_shape(spark, folder):
+    """The band has a point for every rate, and its mean lies inside it."""
+    band = evaluate.roc_band(scored(spark, folder))
+    inside = (F.col("lower") <= F.col("mean_tpr") + 1e-9) & (F.col("mean_tpr") <= F.col("upper") + 1e-9)
+    return band.select("fpr", inside.alias("ordered"))
 
 
 @query()

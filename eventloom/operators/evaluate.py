@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.plans.timeline import SLICE, Run, Timeline, lay_out, written
+from eventloom.plans.timeline import Run, Timeline, lay_out, written
 
 METRICS = ("AUROC", "AUPRC", "Brier")
 
@@ -131,25 +131,25 @@ def calibration_table(scored: DataFrame, n_bins: int = 10) -> DataFrame:
 # --- resampling ---------------------------------------------------------------------------------------------------
 
 Replicate = Callable[[np.ndarray, np.ndarray, np.ndarray, dict], dict[str, np.ndarray]]
-BLOCKS = 16
-SHARES = "replicate long, slice long, pos_here long, neg_here long, pos_above long, neg_above long, n_pos long, n_neg long"
+REPLICATES_PER_TASK = 64
+CELLS_PER_BLOCK = 50_000  # of equal probability; part of the definition of a draw, as seeds follow blocks
+SHARES = "replicate long, block long, pos_here long, neg_here long, pos_above long, neg_above long, n_pos long, n_neg long"
 
 
-def _shares(line: Timeline, n_replicates: int, seed: int) -> DataFrame:
-    """How many positives and negatives each replicate draws from each slice, and how many from the slices above.
+def _shares(table: DataFrame, n_replicates: int, seed: int) -> DataFrame:
+    """How many positives and negatives each replicate draws from each block, and how many from the blocks above.
 
-    The totals per slice form one array of at most one entry per slice.
+    The totals per block form one array with an entry for every CELLS_PER_BLOCK cells.
     """
-    slice_id = F.col(SLICE).cast("long") if line.sliced else F.lit(0).cast("long")
-    per_slice = line.df.groupBy(slice_id.alias("slice")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    totals = per_slice.agg(F.sort_array(F.collect_list(F.struct("slice", "pos", "neg")))).scalar()
+    per_block = table.groupBy("block").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    totals = per_block.agg(F.sort_array(F.collect_list(F.struct("block", "pos", "neg")))).scalar()
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             tables = []
-            for replicate, slices in zip(frame["id"], frame["totals"], strict=True):
-                ids = np.array([s["slice"] for s in slices], dtype=np.int64)
-                counts = np.array([[s["pos"], s["neg"]] for s in slices], dtype=np.int64).reshape(-1, 2)
+            for replicate, blocks in zip(frame["id"], frame["totals"], strict=True):
+                ids = np.array([b["block"] for b in blocks], dtype=np.int64)
+                counts = np.array([[b["pos"], b["neg"]] for b in blocks], dtype=np.int64).reshape(-1, 2)
                 total = counts.sum()
                 if total == 0:
                     continue
@@ -162,23 +162,25 @@ def _shares(line: Timeline, n_replicates: int, seed: int) -> DataFrame:
             if tables:
                 yield pd.DataFrame(np.concatenate(tables), columns=[part.split()[0] for part in SHARES.split(", ")])
 
-    replicates = line.df.sparkSession.range(n_replicates).withColumn("totals", totals)
+    replicates = table.sparkSession.range(n_replicates).withColumn("totals", totals)
     return replicates.mapInPandas(draw, SHARES)
 
 
 def resample(scored: DataFrame, n_replicates: int, seed: int, schema: str, summarise: Replicate) -> DataFrame:
-    """Apply `summarise(prob, pos, neg, shares)` to every replicate of every slice of cells.
+    """Apply `summarise(prob, pos, neg, shares)` to every replicate of every block of cells.
 
-    The arrays are the drawn counts of one slice in falling order of probability; `shares` has the counts drawn above
-    the slice and in total. Replicates with a single class are skipped. The result has `replicate` and the columns of
-    `schema`; sum or combine them over the slices of a replicate.
+    Cells are numbered in falling order of probability and CELLS_PER_BLOCK of them form a block, so a draw depends on the
+    data, the seed and the replicate, and on no setting of the cluster. The arrays are the drawn counts of one block in
+    falling order of probability; `shares` has the counts drawn above the block and in total. Replicates with a single
+    class are skipped. The result has `replicate` and the columns of `schema`; combine them over the blocks of a replicate.
     """
-    line = lay_out(cells(scored), [], ["-prob"])
-    slice_id = F.col(SLICE).cast("long") if line.sliced else F.lit(0).cast("long")
-    blocks = F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))
-    spread = line.df.select("prob", "pos", "neg", slice_id.alias("slice"), F.explode(blocks).alias("block"))
-    shares = _shares(line, n_replicates, seed).filter("n_pos > 0 and n_neg > 0")
-    shares = shares.withColumn("block", (F.col("replicate") % BLOCKS).cast("long"))
+    numbered = lay_out(cells(scored), [], ["-prob"]).numbered("__cell").rows()
+    block = F.floor((F.col("__cell") - 1) / CELLS_PER_BLOCK).cast("long")
+    table = written(numbered.select("prob", "pos", "neg", block.alias("block")), "cell-blocks")
+    tasks = -(-n_replicates // REPLICATES_PER_TASK)
+    spread = table.withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(tasks, 1) - 1).cast("long"))))
+    shares = _shares(table, n_replicates, seed).filter("n_pos > 0 and n_neg > 0")
+    shares = shares.withColumn("task", (F.col("replicate") % max(tasks, 1)).cast("long"))
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(table: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
@@ -187,7 +189,7 @@ def resample(scored: DataFrame, n_replicates: int, seed: int, schema: str, summa
         pos, neg = table["pos"].to_numpy(dtype=np.int64), table["neg"].to_numpy(dtype=np.int64)
         out = []
         for share in draws.sort_values("replicate").to_dict("records"):
-            rng = np.random.default_rng([seed, share["replicate"], share["slice"] + 1])
+            rng = np.random.default_rng([seed, share["replicate"], share["block"] + 1])
             drawn_pos = rng.multinomial(share["pos_here"], pos / pos.sum()) if share["pos_here"] else np.zeros_like(pos)
             drawn_neg = rng.multinomial(share["neg_here"], neg / neg.sum()) if share["neg_here"] else np.zeros_like(neg)
             part = {name: np.asarray(values) for name, values in summarise(prob, drawn_pos, drawn_neg, share).items()}
@@ -197,7 +199,7 @@ def resample(scored: DataFrame, n_replicates: int, seed: int, schema: str, summa
             return pd.DataFrame(columns=columns)
         return pd.DataFrame({c: np.concatenate([part[c] for part in out]) for c in columns})
 
-    grouped = spread.groupBy("slice", "block").cogroup(shares.groupBy("slice", "block"))
+    grouped = spread.groupBy("block", "task").cogroup(shares.groupBy("block", "task"))
     return grouped.applyInPandas(run, f"replicate long, {schema}")
 
 
@@ -247,7 +249,7 @@ def roc_band(scored: DataFrame, n_replicates: int = 100, n_points: int = 101, se
     """Mean of the resampled curves at evenly spaced rates, plus and minus two standard deviations, within [0, 1]."""
     grid = np.linspace(0, 1, n_points)
     parts = resample(scored, n_replicates, seed, "point long, tpr double", _curve_at(grid))
-    # two slices may meet at a grid point: the later one has the final rate
+    # two blocks may meet at a grid point: the later one has the final rate
     curves = parts.groupBy("replicate", "point").agg(F.max("tpr").alias("tpr"))
     curves = curves.withColumn("tpr", F.when(F.col("point") == 0, 0.0).otherwise(F.col("tpr")))
     mean, spread = F.avg("tpr"), 2 * F.stddev_pop("tpr")
@@ -265,9 +267,9 @@ def _recall_points(prob, pos, neg, share) -> dict[str, np.ndarray]:
 
 
 def resampled_precision_recall(scored: DataFrame, n_replicates: int = 50, seed: int = 42) -> DataFrame:
-    """The precision-recall curve of up to 50 resamples."""
+    """The precision-recall curve of every resample."""
     schema = "threshold double, precision double, recall double"
-    return resample(scored, min(n_replicates, 50), seed, schema, _recall_points)
+    return resample(scored, n_replicates, seed, schema, _recall_points)
 
 
 def _bin_parts(prob, pos, neg, share) -> dict[str, np.ndarray]:
@@ -282,8 +284,8 @@ def _bin_parts(prob, pos, neg, share) -> dict[str, np.ndarray]:
 
 
 def resampled_calibration(scored: DataFrame, n_replicates: int = 50, seed: int = 42) -> DataFrame:
-    """The calibration table of up to 50 resamples."""
-    parts = resample(scored, min(n_replicates, 50), seed, "bin long, n long, prob_sum double, pos long", _bin_parts)
+    """The calibration table of every resample."""
+    parts = resample(scored, n_replicates, seed, "bin long, n long, prob_sum double, pos long", _bin_parts)
     summed = parts.groupBy("replicate", "bin").agg(F.sum("n").alias("n"), F.sum("prob_sum").alias("s"), F.sum("pos").alias("k"))
     used = summed.filter("n > 0")
     return used.select("replicate", "bin", "n", (F.col("s") / F.col("n")).alias("prob_pred"), (F.col("k") / F.col("n")).alias("prob_true"))

@@ -47,8 +47,16 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities:
     Values are counted first, so repeated values cost one row. The running counts are computed over a timeline, which
     keeps a group of any size spread over tasks. A quantile is read off the one or two rows whose ranks it needs.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    counts = written(counts, "counts")
+    return counted_quantiles(value_counts(df, by, value), by, value, probabilities)
+
+
+def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """The number of rows (`__n`) of every group and value that is not null, written once."""
+    return written(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")), "counts")
+
+
+def counted_quantiles(counts: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """`exact_quantiles` from `value_counts`."""
     totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
     line = lay_out(counts, by, [value]).run(__upto=Run("sum", F.col("__n")))
     line = line.attach(totals) if by else line.pipe(lambda d: d.withColumn("__total", totals.scalar()))
@@ -80,9 +88,10 @@ def quantile_cuts(df: DataFrame, num_quantiles: int = 10, code_prefixes: Sequenc
     if code_prefixes is not None:
         values = values.filter(starts_with_any(F.col("code"), code_prefixes))
     probabilities = [i / num_quantiles for i in range(1, num_quantiles)]
-    cuts = exact_quantiles(values, ["code"], "numeric_value", probabilities)
+    counts = value_counts(values, ["code"], "numeric_value")
+    cuts = counted_quantiles(counts, ["code"], "numeric_value", probabilities)
     listed = cuts.groupBy("code").agg(F.sort_array(F.collect_list("quantile")).alias("cuts"))
-    spread = values.groupBy("code").agg((F.min("numeric_value") < F.max("numeric_value")).alias("__spread"))
+    spread = counts.groupBy("code").agg((F.min("numeric_value") < F.max("numeric_value")).alias("__spread"))
     joined = listed.join(spread, "code")
     return joined.select("code", F.when(F.col("__spread"), F.col("cuts")).otherwise(F.slice("cuts", 1, 0)).alias("cuts"))
 
@@ -148,10 +157,14 @@ def interval_statistics(timeline: Timeline, intervals: Mapping[str, int] = TIME_
     """Count, mean, extremes and quartiles of the gaps in each bucket."""
     gaps = with_gaps(timeline).rows().select("gap", bucket_name(F.col("gap"), intervals).alias("bucket"))
     gaps = gaps.filter(F.col("bucket").isNotNull())
-    simple = gaps.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean"), F.min("gap").alias("min"), F.max("gap").alias("max")
+    counts = value_counts(gaps, ["bucket"], "gap")
+    simple = counts.groupBy("bucket").agg(
+        F.sum("__n").alias("n"),
+        (F.sum(F.col("gap") * F.col("__n")) / F.sum("__n")).alias("mean"),
+        F.min("gap").alias("min"),
+        F.max("gap").alias("max"),
     )
-    quartiles = exact_quantiles(gaps, ["bucket"], "gap", [0.25, 0.5, 0.75])
+    quartiles = counted_quantiles(counts, ["bucket"], "gap", [0.25, 0.5, 0.75])
     wide = quartiles.groupBy("bucket").agg(*(
         F.max(F.when(F.abs(F.col("p") - p) < 1e-9, F.col("quantile"))).alias(name)
         for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from eventloom.operators import evaluate
+from eventloom.plans.timeline import DEFAULT_MAX_ROWS, MAX_ROWS_CONF
 
 
 def table(spark, labels, probs):
@@ -71,6 +72,22 @@ def test_bootstrap(spark, layout):
         assert (got[metric].lo, got[metric].hi) == pytest.approx((again[metric].lo, again[metric].hi))
 
 
+def test_draws_depend_on_data_and_seed_only(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 120)
+    df = table(spark, y, rng.random(120).round(2))
+    monkeypatch.setattr(evaluate, "CELLS_PER_BLOCK", 20)
+    results = []
+    for rows, partitions in ((200_000, 8), (2, 8), (2, 4)):
+        spark.conf.set(MAX_ROWS_CONF, str(rows))
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        results.append(sorted((r.metric, round(r.lo, 12), round(r.hi, 12)) for r in evaluate.bootstrap_metrics(df, 50).collect()))
+    spark.conf.set(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert results[0] == results[1] == results[2]
+    assert evaluate.resampled_calibration(df, 70).select("replicate").distinct().count() == 70
+
+
 def test_replicates_hold_every_row(spark, layout):
     rng = np.random.default_rng(3)
     df = table(spark, rng.integers(0, 2, 80), rng.random(80))
