@@ -33,7 +33,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             f"WHEN 'purchase' THEN 'HOSPITAL_DISCHARGE//DISCHARGE_LOCATION//' || CASE WHEN {K} % 4 = 0 THEN 'DIED' ELSE 'HOME' END "
             f"ELSE CASE WHEN {K} < 10 THEN 'BIRTH//BORN' ELSE 'HOSPITAL_DIAGNOSIS//ICD//10//' || {DIGITS} END END AS code",
             "CASE WHEN event_type IN ('signup', 'view') THEN value END AS numeric_value",
-            f"CASE WHEN event_type = 'error' THEN 'code  of kind_' || {DIGITS} WHEN event_type = 'signup' THEN 'ON FOOT' END AS text_value",
+            f"CASE WHEN event_type = 'error' AND {K} % 5 > 0 THEN 'code  of kind_' || {DIGITS} WHEN event_type = 'signup' THEN 'ON FOOT' END AS text_value",
             "event_id",
         ],
     ),

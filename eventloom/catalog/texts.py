@@ -16,7 +16,7 @@ LINES = f"""(SELECT *, CASE WHEN a THEN '## Age ' || y || ' years ' || d || ' da
     || CASE WHEN a OR t OR p THEN '#### ' || prefix || '\n' ELSE '' END || code || '\n' AS line FROM (SELECT *,
       coalesce(y <> lag(y) OVER w, true) OR coalesce(d <> lag(d) OVER w, true) AS a, coalesce(tod <> lag(tod) OVER w, true) AS t,
       coalesce(prefix <> lag(prefix) OVER w, true) AS p FROM (SELECT *, coalesce(age_year, -1) AS y, coalesce(age_day, -1) AS d,
-        coalesce(time_of_day, 'Time Unspecified') AS tod FROM {TEXT_EVENTS} WHERE time IS NOT NULL) WINDOW w AS (PARTITION BY subject_id ORDER BY event_seq)))"""
+        coalesce(time_of_day, 'Time Unspecified') AS tod FROM {TEXT_EVENTS} WHERE time IS NOT NULL AND code IS NOT NULL AND prefix IS NOT NULL) WINDOW w AS (PARTITION BY subject_id ORDER BY event_seq)))"""
 TITLE = "'# Patient''s Electronic Health Record\n\n'"
 NARRATIVES = f"""(SELECT l.subject_id, l.prediction_time, {TITLE} || rtrim(string_agg(e.line, '' ORDER BY e.event_seq), chr(10) || ' ') AS text,
     any_value(l.boolean_value) AS boolean_value, CAST(NULL AS BIGINT) AS integer_value, CAST(NULL AS DOUBLE) AS float_value, CAST(NULL AS VARCHAR) AS categorical_value

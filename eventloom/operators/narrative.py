@@ -22,6 +22,9 @@ NO_AGE = -1
 LINES_PER_PAGE = 50_000  # bounds an array of lines of a subject whose key is sliced
 
 
+NO_LINE = "code IS NULL OR prefix IS NULL"
+
+
 def filled(template: str, *values: Column) -> Column:
     """A template with its `{}` replaced; null when any value is null."""
     pieces = template.split("{}")
@@ -31,31 +34,30 @@ def filled(template: str, *values: Column) -> Column:
     return F.concat(*parts)
 
 
-def _changed(current: Column, previous: Column) -> Column:
-    """A missing value on either side counts as a change."""
-    return F.coalesce(current != previous, F.lit(True))
-
-
 def render_lines(timeline: Timeline, on_null: str = "skip") -> Timeline:
-    """Add `line` to every event that has a time.
+    """Add `line` to every event that has a time, a code and a category.
 
-    An event without a code or category has no line; `on_null='fail'` raises instead. Rows must have been filtered
-    before: the headers depend on the previous remaining row.
+    An event without a code or category is left out before headers are set, so it neither opens nor swallows one
+    (`without_line` selects such events); `on_null='fail'` raises instead. Rows must have been filtered before: the headers
+    depend on the previous remaining row.
     """
+    if on_null not in ("skip", "fail"):
+        raise ValueError("on_null must be 'skip' or 'fail'")
     shown = F.struct(
         F.coalesce("age_year", F.lit(NO_AGE)).alias("y"),
         F.coalesce("age_day", F.lit(NO_AGE)).alias("d"),
         F.coalesce("time_of_day", F.lit(NO_TIME)).alias("t"),
         F.col("prefix").alias("p"),
     )
-    timed = timeline.pipe(lambda df: df.filter(F.col("time").isNotNull()).withColumn("__now", shown))
+    shows = F.col("time").isNotNull() if on_null == "fail" else F.col("time").isNotNull() & ~F.expr(NO_LINE)
+    timed = timeline.pipe(lambda df: df.filter(shows).withColumn("__now", shown))
     seen = timed.run(__before=Run("lag", F.col("__now")))
 
     def now(field: str) -> Column:
         return F.col(f"__now.{field}")
 
     def changed(field: str) -> Column:
-        return _changed(now(field), F.col(f"__before.{field}"))
+        return ~now(field).eqNullSafe(F.col(f"__before.{field}")) | now(field).isNull()
 
     age = changed("y") | changed("d")
     section = age | changed("t")
@@ -68,11 +70,15 @@ def render_lines(timeline: Timeline, on_null: str = "skip") -> Timeline:
     )
     if on_null == "fail":
         line = F.coalesce(line, F.raise_error(F.lit("an event without code or category cannot be rendered")))
-    elif on_null != "skip":
-        raise ValueError("on_null must be 'skip' or 'fail'")
     return seen.pipe(lambda df: df.withColumn("line", line).drop("__now", "__before"))
 
 
+def without_line(events: DataFrame | Timeline) -> DataFrame:
+    """Events that have a time but no line, as they have no code or no category."""
+    rows = events.rows() if isinstance(events, Timeline) else events
+    return rows.filter(F.col("time").isNotNull() & F.expr(NO_LINE))
+
+
 def history_text(lines: Column) -> Column:
     return F.concat(F.lit(TITLE), strip_text_end(F.array_join(lines, "")))
 

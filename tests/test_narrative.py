@@ -41,6 +41,18 @@ def test_whole_history(spark, layout):
         narrative.patient_texts(df, on_null="fail").collect()
 
 
+def test_null_codes_at_the_start_of_a_section(spark, layout):
+    rows = [
+        (1, 1, at(1), "A", "Lab", 3, 4, "01:00"), (1, 2, at(1, 2), None, "Diag", 3, 5, "01:00"), (1, 3, at(1, 2), "B", "Diag", 3, 5, "01:00"),
+        (1, 4, at(2, 2), "C", None, 3, 5, "02:00"), (1, 5, at(2, 2), "D", "Diag", 3, 5, "02:00"),
+    ]
+    df = spark.createDataFrame(rows, RENDERED)
+    (row,) = narrative.patient_texts(df).collect()
+    wanted = "## Age 3 years 4 days\n### 01:00\n#### Lab\nA\n## Age 3 years 5 days\n### 01:00\n#### Diag\nB\n### 02:00\n#### Diag\nD"
+    assert row.text == TITLE + wanted
+    assert sorted(r.event_seq for r in narrative.without_line(df).collect()) == [2, 4]
+
+
 def test_narratives(spark, layout):
     df = spark.createDataFrame(ROWS, RENDERED)
     rows = [(1, at(2), True), (1, at(2), True), (1, at(23, 3), None), (1, at(0), False), (3, at(5), True), (2, at(5), False)]
