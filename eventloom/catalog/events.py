@@ -166,9 +166,10 @@ def filter_codes_exact(spark, folder):
     return t.filter_codes(view(spark, folder, "ord"), ["ORDER//5-LOW", "ORDER//2-HIGH"])
 
 
-@query("SELECT subject_id, itemid, valuenum FROM {labs} WHERE valuenum IS NOT NULL")
+@query("SELECT * FROM {ord} WHERE numeric_value IS NOT NULL OR text_value IS NOT NULL OR NOT starts_with(code, 'ORDER//')")
 def numeric_results_only(spark, folder):
-    return view(spark, folder, "labs").filter(F.col("valuenum").isNotNull()).select("subject_id", "itemid", "valuenum")
+    """Rows of one category without any value go."""
+    return t.filter_null_values(view(spark, folder, "ord"), ["ORDER"])
 
 
 @query("SELECT * FROM {ev} WHERE NOT (regexp_matches(code, '^VIEW//.*') AND NOT regexp_matches(code, '^VIEW//(K1|K2).*'))")

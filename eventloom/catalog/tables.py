@@ -33,6 +33,18 @@ def csv_text_scan(spark, folder):
     return io.read_all_text(spark, path, ["icd_code", "icd_version", "long_title"])
 
 
+QUOTED = "CASE doc_id % 4 WHEN 0 THEN 'a \"\"quoted\"\" \"title\", with comma' WHEN 1 THEN 'two' || chr(10) || 'lines, ' || source WHEN 2 THEN NULL ELSE '\"' END"
+
+
+@query(f"SELECT doc_id, {QUOTED} AS title, lang FROM documents")
+def csv_with_quotes(spark, folder):
+    """Quotes, commas and line breaks inside quoted fields, and null fields, through standard CSV."""
+    path = _scratch(spark, "quoted")
+    rows = table(spark, folder, "documents").selectExpr("doc_id", f"{QUOTED.replace('chr(10)', 'char(10)')} AS title", "lang")
+    rows.write.options(header=True, escape='"', compression="gzip").csv(path)
+    return io.read_csv(spark, path, types={"doc_id": "bigint"})
+
+
 @query("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01'")
 def pruned_parquet_scan(spark, folder):
     recent = F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp_ntz")
@@ -84,6 +96,17 @@ def cap_rows_per_shard(spark, folder):
     return io.cap_rows(rows, 5, by=("task", "shard"), order=("subject_id",))
 
 
+SPLIT = "CASE WHEN subject_id % 3 = 0 THEN 'tuning' ELSE 'train' END"
+
+
+@query(f"""SELECT task, split, shard, subject_id FROM (SELECT *, row_number() OVER (PARTITION BY task, split, shard ORDER BY subject_id) AS r
+    FROM (SELECT *, {SPLIT} AS split FROM {{dataset}})) WHERE r <= 2""")
+def cap_rows_per_split(spark, folder):
+    """Shards are numbered within a split, so equal numbers of two splits are two shards."""
+    rows = view(spark, folder, "dataset").selectExpr("task", f"{SPLIT} AS split", "shard", "subject_id")
+    return io.cap_rows(rows, 2, order=("subject_id",))
+
+
 # --- expressions used while preparing -----------------------------------------------------------------------------
 
 
@@ -142,12 +165,12 @@ def age_in_years(spark, folder):
 @query("SELECT g.*, a.dischtime FROM {groups} g LEFT JOIN {admissions} a USING (hadm_id)")
 def prepare_related_groups(spark, folder):
     """Time enrichment by id."""
-    return prepare.related_groups(view(spark, folder, "groups"), view(spark, folder, "admissions"))
+    return prepare.discharge_times(view(spark, folder, "groups"), view(spark, folder, "admissions"))
 
 
 @query("SELECT d.*, s.outtime FROM {ed_codes} d LEFT JOIN {stays} s USING (stay_id)")
 def prepare_stay_diagnoses(spark, folder):
-    return prepare.stay_diagnoses(view(spark, folder, "ed_codes"), view(spark, folder, "stays"))
+    return prepare.departure_times(view(spark, folder, "ed_codes"), view(spark, folder, "stays"))
 
 
 @query("""SELECT l.subject_id, l.itemid, l.charttime, l.valuenum, coalesce(l.valueuom, '') AS valueuom, i.fluid, i.label
@@ -225,11 +248,9 @@ def prepare_measurements(spark, folder):
 
 
 @query("""SELECT subject_id, chartdate, seq_num, result_name, result_value FROM {measurements}
-    WHERE (contains(result_name, 'Blood Pressure') AND contains(result_value, '/')) OR result_name IN ('BMI (kg/m2)', 'Height (Inches)', 'Weight (Lbs)')""")
+    WHERE (contains(result_name, 'Blood Pressure') AND len(string_split(result_value, '/')) = 2) OR result_name IN ('BMI (kg/m2)', 'Height (Inches)', 'Weight (Lbs)')""")
 def measurement_name_filter(spark, folder):
-    rows = view(spark, folder, "measurements")
-    pressure = F.col("result_name").contains(prepare.BLOOD_PRESSURE) & F.col("result_value").contains("/")
-    return rows.filter(pressure | F.col("result_name").isin(prepare.PLAIN_MEASUREMENTS))
+    return prepare.kept_measurements(view(spark, folder, "measurements"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, 'l_discount' AS result_name, l_discount AS result_num FROM lineitem

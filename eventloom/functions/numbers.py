@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 MAX_DECIMALS = 30
+SMALL_EXPONENT = -20  # from here on digits are shifted as text
 NUMERIC_TEXT = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -28,6 +29,7 @@ def significant_text(value: Column, sig_figs: int = 3) -> Column:
     scale = F.pow(F.lit(10.0), F.lit(sig_figs - 1) - figures_before_point)
     rounded = F.round(value * scale, 0) / scale
     decimal_text = F.regexp_replace(F.format_string(f"%.{MAX_DECIMALS}f", rounded), r"\.?0+$", "")
+    decimal_text = F.when(figures_before_point < SMALL_EXPONENT, _small_text(value, sig_figs)).otherwise(decimal_text)
     wide = F.coalesce(value.try_cast("decimal(38,0)").cast("string"), value.cast("string"))
     integer = F.coalesce(value.try_cast("long").cast("string"), wide)
     return (
@@ -38,6 +40,19 @@ def significant_text(value: Column, sig_figs: int = 3) -> Column:
     )
 
 
+def _small_text(value: Column, sig_figs: int) -> Column:
+    """Decimal text of a number close to zero: the wanted figures as an integer, behind as many zeros as the exponent says.
+
+    The number is first brought near one by a power of ten in two halves, as the whole power may exceed a double.
+    """
+    exponent = F.floor(F.log10(F.abs(value))).cast("int")
+    half = F.floor((F.lit(sig_figs - 1) - exponent) / 2).cast("int")
+    shifted = F.abs(value) * F.pow(F.lit(10.0), half) * F.pow(F.lit(10.0), F.lit(sig_figs - 1) - exponent - half)
+    figures = F.round(shifted, 0).cast("long").cast("string")
+    zeros = F.repeat(F.lit("0"), F.lit(sig_figs - 1) - exponent - F.length(figures))
+    return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), F.lit("0."), zeros, F.regexp_replace(figures, "0+$", ""))
+
+
 def lenient_float(col: Column) -> Column:
     """Text to float; anything that is not a plain number becomes null."""
     return F.when(col.rlike(NUMERIC_TEXT), col.try_cast("float"))

@@ -146,8 +146,13 @@ def with_prompts(dataset: DataFrame, max_prompt_length: int | None = None, templ
 
 
 def longest_first(dataset: DataFrame) -> DataFrame:
-    """Longest prompts first within each partition, so that batches hold prompts of similar length."""
-    return dataset.sortWithinPartitions(F.desc("prompt_length"))
+    """Longest prompts first within each partition, so that batches hold prompts of similar length.
+
+    Equal lengths are ordered by the prompt and then by a hash of the row, so that batches are the same in every run.
+    """
+    ties = [c for c in ("prompt",) if c in dataset.columns]
+    plain = [f.name for f in dataset.schema if f.dataType.typeName() not in ("map", "variant")]
+    return dataset.sortWithinPartitions(F.desc("prompt_length"), *ties, F.xxhash64(*plain))
 
 
 def score(
@@ -162,19 +167,27 @@ def score(
 
     `partitions` spreads the prompts evenly over that many tasks, for a function far more costly than the shuffle.
 
-    Partitions stream through the function and only `batch_size` prompts are handed over at a time. The function may be
-    non-deterministic, so write the result before using it twice.
+    Partitions stream through the function and exactly `batch_size` prompts are handed over at a time, save for the last
+    batch of a partition. The function may be non-deterministic, so write the result before using it twice.
     """
     added = StructType.fromDDL(columns)
     schema = StructType([*dataset.schema.fields, *added.fields])
     names = added.fieldNames()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def answered(part: pd.DataFrame) -> pd.DataFrame:
+            result = batch_fn(part[input_column].tolist())
+            return part.assign(**{name: list(result[name]) for name in names})
+
+        rest = None
         for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size]
-                result = batch_fn(part[input_column].tolist())
-                yield part.assign(**{name: list(result[name]) for name in names})
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            whole = len(frame) - len(frame) % batch_size
+            for start in range(0, whole, batch_size):
+                yield answered(frame.iloc[start : start + batch_size])
+            rest = frame.iloc[whole:]
+        if rest is not None and len(rest):
+            yield answered(rest)
 
     spread = dataset.repartition(partitions) if partitions else dataset
     return longest_first(spread).mapInPandas(run, schema)
@@ -183,9 +196,9 @@ def score(
 def parse_answers(dataset: DataFrame, column: str = "model_output") -> DataFrame:
     """Add the parsed answer, probability, thinking and explanation; what is absent is null."""
     text = F.col(column)
-    digits = extract_or_null(text, PROBABILITY)
-    # more digits than a bigint holds is above the upper limit
-    number = F.when(F.length(digits) > 18, F.lit(100)).otherwise(clamp(digits.try_cast("bigint"), 0, 100))
+    digits = F.regexp_replace(extract_or_null(text, PROBABILITY), "^0+(?=.)", "")
+    # without leading zeros, more than three digits are above the upper limit
+    number = F.when(F.length(digits) > 3, F.lit(100)).otherwise(clamp(digits.try_cast("bigint"), 0, 100))
     return dataset.withColumns({
         "parsed_answer": F.lower(extract_or_null(text, ANSWER)) == "yes",
         "parsed_probability": number.cast("int"),

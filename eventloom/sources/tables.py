@@ -19,6 +19,10 @@ NUMBERS = "subject_id hadm_id stay_id itemid seq_num anchor_age anchor_year".spl
 MEASURES = "temperature heartrate resprate o2sat sbp dbp acuity valuenum".split()
 
 
+# Quotes inside quoted text are doubled; quoted text may hold line breaks; a row that does not fit the columns is an error.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST"}
+
+
 def csv_schema(columns: Sequence[str], types: Mapping[str, str] | None = None) -> StructType:
     """Explicit schema: known ids as bigint, known measures as double, the rest as text unless `types` says so."""
     known = {c: "bigint" for c in NUMBERS} | {c: "double" for c in MEASURES} | dict(types or {})
@@ -27,24 +31,31 @@ def csv_schema(columns: Sequence[str], types: Mapping[str, str] | None = None) -
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the first line of the file or of one file of the folder."""
-    lines = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
-    return lines.columns
+    """Column names from the header of the file or of one file of the folder."""
+    return spark.read.options(**CSV_OPTIONS).csv(path).columns
 
 
 def read_csv(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None, types: Mapping[str, str] | None = None
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str] | None = None,
+    types: Mapping[str, str] | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """CSV (plain or .gz) without type inference. `columns` are the file's columns in order; read from the header if absent."""
+    """Standard CSV (plain or .gz) without type inference; an empty field without quotes is null.
+
+    `columns` are the file's columns in order, read from the header if absent. `multi_line=False` lets Spark split large
+    plain files whose quoted text has no line breaks.
+    """
     columns = columns or csv_header(spark, path)
-    return spark.read.schema(csv_schema(columns, types)).csv(path, header=True, enforceSchema=False)
+    options = CSV_OPTIONS | {"multiLine": multi_line, "enforceSchema": False}
+    return spark.read.schema(csv_schema(columns, types)).options(**options).csv(path)
 
 
-def read_all_text(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+def read_all_text(spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = True) -> DataFrame:
     """CSV with every column as text, for code lookups."""
     columns = columns or csv_header(spark, path)
-    schema = StructType([StructField(c, StringType()) for c in columns])
-    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
+    return read_csv(spark, path, columns, dict.fromkeys(columns, "string"), multi_line)
 
 
 def read_raw_tables(spark: SparkSession, root: str, names: Sequence[str], suffix: str = ".csv.gz") -> dict[str, DataFrame]:
@@ -97,10 +108,13 @@ def discovered(df: DataFrame, by: Sequence[str] = PARTITION_COLUMNS) -> DataFram
 
 
 def cap_rows(
-    df: DataFrame, n: int | None, by: Sequence[str] = ("task", "shard"), order=("subject_id", "prediction_time")
+    df: DataFrame, n: int | None, by: Sequence[str] = PARTITION_COLUMNS, order=("subject_id", "prediction_time")
 ) -> DataFrame:
-    """The first `n` rows of each shard in a fixed order; no cap when `n` is None."""
+    """The first `n` rows of each shard of each split in a fixed order; no cap when `n` is None or 0.
+
+    Columns of `by` that the table does not have are left out.
+    """
     if not n:
         return df
-    numbered = lay_out(df, by, order).numbered("__row")
+    numbered = lay_out(df, [c for c in by if c in df.columns], order).numbered("__row")
     return numbered.rows().filter(F.col("__row") <= n).drop("__row")

