@@ -9,6 +9,7 @@
    (uniform prior) that its similarity reaches the threshold falls below `tolerance`. A pair is compared only in the first
    band in which it meets, so it counts once.
 4. What is left is verified on the exact shingle sets; the texts are sent only to the units that need them.
+   Joins that move texts or bands are merge joins at every size: both sides grow with the table.
 5. Links are counted per class inside the units, and linked classes get one id by minimum-label propagation. Pairs are
    never written one by one.
 """
@@ -102,7 +103,7 @@ def _units(reps: DataFrame, block: int) -> DataFrame:
     """One row for each class and unit of work it belongs to."""
     members = reps.select("id", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = members.join(shared, ["band", "key"])
+    found = members.join(shared.hint("merge"), ["band", "key"])
     blocks = F.ceil(F.col("n") / block).cast("int")
     found = found.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
     pair = F.transform(
@@ -110,7 +111,7 @@ def _units(reps: DataFrame, block: int) -> DataFrame:
         lambda x: F.struct(F.least(x, F.col("block")).alias("one"), F.greatest(x, F.col("block")).alias("two")),
     )
     found = found.withColumn("pair", F.explode(pair)).select("band", "key", "pair.one", "pair.two", "block", "id")
-    return found.join(reps.select("id", "bands"), "id")
+    return found.join(reps.select("id", "bands").hint("merge"), "id")
 
 
 def _pairs(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -222,7 +223,7 @@ def _verified(found: DataFrame, texts: DataFrame, threshold: float, width: int)
             linked = [i for i, n in links.items() if n]
             yield pd.DataFrame({"id": linked, "root": [root(i) for i in linked], "links": [links[i] for i in linked]}, dtype="int64")
 
-    rows = spread(found.join(texts, "id"), *UNIT)
+    rows = spread(found.join(texts.hint("merge"), "id"), *UNIT)
     return rows.mapInPandas(run, "id bigint, root bigint, links bigint")
 
 
@@ -268,7 +269,7 @@ def link_classes(
     reps = first.select(F.col(_UID).alias("id"), F.col(_SKETCH).alias("bands"))
     found = written(_survivors(_units(reps, block), threshold, tolerance), "survivors")
     needed = found.select("id").distinct()
-    texts = rows.select(F.col(_UID).alias("id"), text_of(text_col).alias("text")).join(needed, "id", "left_semi")
+    texts = rows.select(F.col(_UID).alias("id"), text_of(text_col).alias("text")).join(needed.hint("merge"), "id", "left_semi")
     links = written(_verified(found, texts, threshold, width), "links")
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     linked = components(links).join(counts, "id")
