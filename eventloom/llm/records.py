@@ -23,7 +23,7 @@ import itertools
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -231,14 +231,29 @@ def index_of(parts: DataFrame, folder: str) -> DataFrame:
                     offsets = np.frombuffer(f.read(), "<u8").astype(np.int64)
                 yield pd.DataFrame({"part": part, "record": np.arange(len(offsets) - 1), "offset": offsets[:-1], "length": np.diff(offsets)})
 
-    return parts.filter("n_docs > 0").repartition("part").mapInPandas(run, "part int, record bigint, offset bigint, length bigint")
+    few = parts.filter("n_docs > 0")
+    return few.repartition(max(1, few.count()), "part").mapInPandas(run, "part int, record bigint, offset bigint, length bigint")
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Fetch the records that `index` names, in any order, and check them: part, record, doc_id, ids.
+def _fetch(file, rows: pd.DataFrame) -> Iterator[memoryview]:
+    """The framed records of one file; records that follow one another are read together."""
+    offsets, lengths = rows["offset"].to_numpy(), rows["length"].to_numpy()
+    breaks = np.flatnonzero(offsets[1:] != offsets[:-1] + lengths[:-1]) + 1
+    for few in np.split(np.arange(len(rows)), breaks):
+        file.seek(int(offsets[few[0]]))
+        data = memoryview(file.read(int(lengths[few].sum())))
+        at = 0
+        for n in lengths[few].tolist():
+            yield data[at : at + n]
+            at += n
 
-    Neighbouring records of a file within a task are read together.
+
+def read_records(index: DataFrame, folder: str, take: Callable[[np.ndarray], tuple] = lambda ids: (ids.astype(np.int32),), shape: str = "ids array<int>") -> DataFrame:
+    """Fetch the records that `index` names, in any order, and check them: part, record, doc_id, and what `take` makes of the ids.
+
+    By default that is the ids themselves; `shape` names and types the values of `take`.
     """
+    names = [field.split()[0] for field in shape.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path = _opened(folder)
@@ -247,33 +262,23 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 with store.open_input_file(f"{path}/part-{part:06d}.rec") as f:
                     for a in range(0, len(own), RECORDS_AT_ONCE):
                         few = own.iloc[a : a + RECORDS_AT_ONCE]
-                        payloads = []
-                        for offset, length in zip(few["offset"].tolist(), few["length"].tolist(), strict=True):
-                            f.seek(offset)
-                            payloads.append(unpack(unframe(f.read(length))))
-                        yield pd.DataFrame(
-                            {
-                                "part": few["part"].to_numpy(),
-                                "record": few["record"].to_numpy(),
-                                "doc_id": pd.array([p[0] for p in payloads], "Int64"),
-                                "ids": pd.Series([p[1].astype(np.int32) for p in payloads], dtype=object),
-                            }
-                        )
-
-    return index.mapInPandas(run, "part int, record bigint, doc_id bigint, ids array<int>")
+                        made, ids = [], []
+                        for record in _fetch(f, few):
+                            doc_id, tokens = unpack(unframe(record))
+                            ids.append(doc_id)
+                            made.append(take(tokens))
+                        values = {name: pd.Series([m[i] for m in made], index=few.index) for i, name in enumerate(names)}
+                        yield few[["part", "record"]].assign(doc_id=pd.array(ids, "Int64"), **values)
+
+    return index.mapInPandas(run, f"part int, record bigint, doc_id bigint, {shape}")
 
 
 def read_back(spark: SparkSession, parts: DataFrame, folder: str) -> DataFrame:
     """Per document of the files, in the order of their ids: doc_id, start, n_tokens, ids_crc32."""
 
-    @F.pandas_udf("bigint")
-    def crc(lists: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(x).astype("<u4").tobytes()) for x in lists], dtype="int64")
-
     files = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     before = parts.select("part", F.coalesce(F.sum("n_tokens").over(files), F.lit(0)).alias("before"))
-    records = read_records(index_of(parts, folder), folder)
-    few = records.select("part", "record", "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), crc("ids").alias("ids_crc32"))
+    few = read_records(index_of(parts, folder), folder, lambda ids: (len(ids), zlib.crc32(ids.tobytes())), "n_tokens bigint, ids_crc32 bigint")
     earlier = Window.partitionBy("part").orderBy("record").rowsBetween(Window.unboundedPreceding, -1)
     few = few.withColumn("start", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
     return few.join(F.broadcast(before), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
