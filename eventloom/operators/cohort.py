@@ -202,47 +202,38 @@ def combine_labels(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("su
     return joined.withColumn("boolean_value", F.col("boolean_value") | F.col("__other")).drop("__other").select(*left.columns)
 
 
-def compare_keys(labels: DataFrame, reference_task: str | None = None) -> DataFrame:
-    """How often each (split, shard, subject, time) occurs in the reference task and in every other task.
-
-    The keys are counted before any exchange of rows and written once; each task then meets the reference in a full
-    outer join.
-    """
-    keys = ["split", "shard", "subject_id", "prediction_time"]
-    counted = written(labels.groupBy("task", *keys).agg(F.count(F.lit(1)).alias("n")), "keys")
-    first = F.lit(reference_task) if reference_task else counted.agg(F.min("task")).scalar()
-    is_reference = F.col("task") == first
-    reference = counted.filter(is_reference).select(*keys, F.col("n").alias("n_reference"))
-    # every other task that exists is compared with every reference key, so absent shards show up as well
-    names = counted.filter(~is_reference).agg(F.sort_array(F.collect_set("task"))).scalar()
-    wanted = ["task", *keys]
-    expected = reference.withColumn("task", F.explode(names)).select(*(F.col(c).alias(f"r_{c}") for c in wanted), "n_reference")
-    others = counted.filter(~is_reference).select(*(F.col(c).alias(f"t_{c}") for c in wanted), F.col("n").alias("n_task"))
-    same = [F.col(f"r_{c}").eqNullSafe(F.col(f"t_{c}")) for c in wanted]
-    joined = expected.join(others, same, "full_outer")
-    return joined.select(
-        *(F.coalesce(f"r_{c}", f"t_{c}").alias(c) for c in wanted),
-        F.coalesce("n_reference", F.lit(0)).alias("n_reference"),
-        F.coalesce("n_task", F.lit(0)).alias("n_task"),
-    )
+LABEL_KEYS = ["split", "shard", "subject_id", "prediction_time"]
 
 
 def validate_labels(labels: DataFrame, reference_task: str | None = None) -> DataFrame:
-    """One verdict per other task and shard of the reference task (the first by name): ok, missing or mismatch."""
-    keys = compare_keys(labels, reference_task)
-    only = F.greatest(F.col("n_reference") - F.col("n_task"), F.lit(0))
-    per_shard = keys.groupBy("task", "split", "shard").agg(
-        F.sum("n_reference").alias("n_reference"),
-        F.sum("n_task").alias("n_task"),
-        F.sum(only).alias("n_only_in_reference"),
-    )
+    """One verdict per other task and shard of the reference task (the first by name): ok, missing or mismatch.
+
+    The tasks are few and become columns, so every key (split, shard, subject, time) is counted for all tasks in one
+    exchange and compared within its row; shards that a task lacks show up as counts of zero.
+    """
+    names = sorted(r.task for r in labels.select("task").distinct().collect() if r.task is not None)  # one name per task
+    first = reference_task or (names[0] if names else None)
+    others = [name for name in names if name != first]
+    in_task = [F.count_if(F.col("task") == name).alias(f"__task_{i}") for i, name in enumerate(others)]
+    per_key = labels.groupBy(*LABEL_KEYS).agg(F.count_if(F.col("task") == F.lit(first)).alias("n_reference"), *in_task)
+    reference = F.col("n_reference")
+    sums = []
+    for i in range(len(others)):
+        own = F.col(f"__task_{i}")
+        sums += [F.sum(own).alias(f"__n_{i}"), F.sum(F.greatest(reference - own, F.lit(0))).alias(f"__only_{i}")]
+    per_shard = per_key.groupBy("split", "shard").agg(F.sum(reference).alias("n_reference"), *sums).filter("n_reference > 0")
+    entries = [
+        F.struct(F.lit(name).alias("task"), F.col(f"__n_{i}").alias("n_task"), F.col(f"__only_{i}").alias("n_only_in_reference"))
+        for i, name in enumerate(others)
+    ]
+    empty = F.array().cast("array<struct<task:string,n_task:bigint,n_only_in_reference:bigint>>")
+    rows = per_shard.select("split", "shard", "n_reference", F.inline(F.array(*entries) if entries else empty))
     verdict = (
         F.when(F.col("n_task") == 0, "missing")
         .when((F.col("n_only_in_reference") == 0) & (F.col("n_task") == F.col("n_reference")), "ok")
         .otherwise("mismatch")
     )
-    known = per_shard.filter(F.col("n_reference") > 0)
-    return known.select("task", "split", "shard", verdict.alias("status"), "n_reference", "n_task", "n_only_in_reference")
+    return rows.select("task", "split", "shard", verdict.alias("status"), "n_reference", "n_task", "n_only_in_reference")
 
 
 def labels_are_valid(labels: DataFrame, reference_task: str | None = None) -> bool:
@@ -254,7 +245,7 @@ def labels_are_valid(labels: DataFrame, reference_task: str | None = None) -> bo
 
 def mismatched_keys(labels: DataFrame, task: str, reference_task: str, n: int | None = 5) -> DataFrame:
     """Reference keys that another task lacks, in key order; the report shows the first five."""
-    keys = ["split", "shard", "subject_id", "prediction_time"]
+    keys = LABEL_KEYS
     reference = labels.filter(F.col("task") == reference_task).select(*keys)
     missing = reference.join(labels.filter(F.col("task") == task).select(*keys), keys, "left_anti")
     return missing if n is None else missing.orderBy(*keys).limit(n)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import numbers, times
-from eventloom.plans.timeline import Run, lay_out, written
+from eventloom.plans.timeline import Run, join_measured, lay_out, written
 
 UNKNOWN = "UNK"
 SPECIAL_KEYS = {"code", "time", "time_format", "numeric_value", "text_value"}
@@ -176,11 +176,14 @@ def dataset_metadata(df: DataFrame, name: str, version: str) -> DataFrame:
 
 def vocabulary(df: DataFrame) -> DataFrame:
     """Integer ids by falling frequency, then code. Written once, it is the frozen vocabulary of later runs."""
-    counts = df.filter(F.col("code").isNotNull()).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(df.filter(F.col("code").isNotNull()).groupBy("code").agg(F.count(F.lit(1)).alias("n")), "codes")
     ranked = lay_out(counts, [], ["-n", "code"]).run(__id=Run("count")).rows()
     return ranked.select("code", (F.col("__id") - 1).alias("code_id"), "n")
 
 
 def map_codes(df: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Add `code_id`; codes outside the vocabulary get null."""
-    return df.join(vocab.select("code", "code_id"), "code", "left")
+    """Add `code_id`; codes outside the vocabulary get null.
+
+    The vocabulary is stored and measured, so that events are not dealt by their code unless it is very large.
+    """
+    return join_measured(df, vocab.select("code", "code_id"), "code")

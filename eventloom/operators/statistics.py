@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.text import first_part, starts_with_any
 from eventloom.operators.extract import union_by_name
-from eventloom.plans.timeline import Run, Timeline, lay_out, written
+from eventloom.plans.timeline import Run, Timeline, join_measured, lay_out, written
 
 MINUTE, HOUR, DAY = 60, 3600, 86400
 
@@ -102,7 +102,7 @@ def to_quantile_tokens(df: DataFrame, cuts: DataFrame) -> DataFrame:
     A code has at most `num_quantiles - 1` cuts, so the joined array is short whatever the data.
     """
     below = F.size(F.filter("cuts", lambda c: c < F.col("numeric_value"))) + 1
-    joined = df.join(cuts, "code", "left")
+    joined = join_measured(df, cuts, "code")
     usable = F.col("numeric_value").isNotNull() & F.col("cuts").isNotNull()
     return joined.withColumn("quantile", F.when(usable, below)).drop("cuts")
 

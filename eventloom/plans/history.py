@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from eventloom.operators import transforms as t
 from eventloom.operators.narrative import labelled_subjects, narratives
-from eventloom.plans.timeline import Timeline, slices_needed
+from eventloom.plans.timeline import Timeline, slices_needed, written
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -82,9 +82,10 @@ def clean_events(
         lambda d: t.clean_string_columns(d, **CODE_CLEANING),
         lambda d: t.drop_by_regex(d, dropped),
     ]
-    # the sizes of the unfiltered subjects bound the filtered ones, and need no regex to be run
-    slices = slices_needed(df, ["subject_id"])
-    return t.order_events(apply_stages(df, stages), order_prefixes, tie_breakers=tie_breakers, slices=slices)
+    # stored once: sizing and ordering would each run the whole extraction behind `df` otherwise
+    cleaned = written(apply_stages(df, stages), "clean-events")
+    slices = slices_needed(cleaned, ["subject_id"])
+    return t.order_events(cleaned, order_prefixes, tie_breakers=tie_breakers, slices=slices)
 
 
 def text_stages(

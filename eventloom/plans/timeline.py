@@ -14,7 +14,9 @@ table of carries has at most one row per slice. That bound is what makes broadca
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -28,6 +30,7 @@ MAX_ROWS_CONF = "spark.eventloom.maxRowsPerKey"
 SLICE_ROWS_CONF = "spark.eventloom.rowsPerSlice"
 DEFAULT_MAX_ROWS = 200_000
 DEFAULT_SLICE_ROWS = 4_000_000
+BROADCAST_ROWS = 500_000  # of a measured lookup with a key and a few values
 
 
 def max_rows_per_key(spark: SparkSession) -> int:
@@ -46,17 +49,35 @@ def scratch_dir(spark: SparkSession) -> str:
 
 @functools.cache
 def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="eventloom-")
+    folder = tempfile.mkdtemp(prefix="eventloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder in the shared one that holds this application's tables; delete it when the run is over."""
+    return f"{scratch_dir(spark)}/eventloom-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, survives executor loss, keeps column pruning."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_measured(df: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
+    """Left join with a lookup of one row per key, whose estimate the planner may get wrong.
+
+    The lookup is stored and its rows are counted. Up to BROADCAST_ROWS it is broadcast, so a skewed key of `df` is never
+    shuffled; beyond, both sides are shuffled and adaptive execution splits large partitions.
+    """
+    stored = written(lookup, "lookup")
+    small = stored.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(stored) if small else stored, on, "left")
+
+
 def slices_needed(df: DataFrame, by: Sequence[str]) -> int:
     """0 when every key fits one task, else the number of slices for the whole table.
 
