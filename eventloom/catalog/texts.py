@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from eventloom.catalog.cohorts import HOSPITALISATION, stored_labels
@@ -110,6 +112,26 @@ def limit_history(spark, folder):
     return limited.select("subject_id", "task", F.col("available_tokens").cast("bigint").alias("available_tokens"), "text")
 
 
+def word_tokenizer():
+    """Stands in for a model's tokenizer: a token is a word with the white space before it."""
+    return re.compile(r"\s*\S+").findall, "".join
+
+
+@query(f"""SELECT subject_id, task, 'User: ' || {prompt_sql('kept')} AS prompt FROM (SELECT *, CASE WHEN total + 1 <= 300 THEN text WHEN available > 1 THEN
+    array_to_string(regexp_extract_all(text, '\\s*\\S+')[-(available - 1):], '') END AS kept FROM (SELECT l.*, t.task_description
+    FROM {LIMITED.replace('{limit}', '300')} l JOIN ({TASK_ROWS}) t USING (task))) WHERE kept IS NOT NULL""")
+def prompts_with_tokenizer(spark, folder):
+    """Prompts of at most 300 tokens of a given tokenizer, a chat wrapper included."""
+    wrapped = prompts.with_prompts(described(spark, folder), 300, tokenizer=word_tokenizer, wrap=lambda p: F.concat(F.lit("User: "), p))
+    return wrapped.select("subject_id", "task", "prompt")
+
+
+@query(f"""SELECT task, 'unknown task' AS reason, count(*) AS n_rows FROM {{dataset}} WHERE task NOT IN (SELECT task FROM ({TASK_ROWS})) GROUP BY task
+    UNION ALL SELECT task, 'too long', count(*) FROM {LIMITED.replace('{limit}', '70')} WHERE total > 70 AND available <= 0 GROUP BY task""")
+def rows_left_out(spark, folder):
+    return prompts.left_out(view(spark, folder, "dataset"), prompts.task_table(spark, COHORTS), 70)
+
+
 @query(f"SELECT subject_id, task FROM {LIMITED.replace('{limit}', '70')} WHERE total > 70 AND available <= 0")
 def rejected_prompts(spark, folder):
     return prompts.rejected(prompts.limit_history(described(spark, folder), 70)).select("subject_id", "task")

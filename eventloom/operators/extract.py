@@ -149,8 +149,9 @@ def finalise_events(df: DataFrame) -> DataFrame:
 
 def merge_cohort(df: DataFrame, splits: DataFrame, order: Sequence[str] = ("time", "code")) -> DataFrame:
     """All events with split and shard, each subject's rows together and in order, ready to be written per shard."""
-    keys = [F.col(c).asc_nulls_last() for c in ("split", "shard", "subject_id", *order)]
-    return with_splits(df, splits).orderBy(*keys)
+    first = ["split", "shard", "subject_id", *order]
+    rest = [c for c in df.columns if c not in first]  # ties by all other columns, so that the order is total
+    return with_splits(df, splits).orderBy(*(F.col(c).asc_nulls_last() for c in [*first, *rest]))
 
 
 def code_metadata(df: DataFrame) -> DataFrame:

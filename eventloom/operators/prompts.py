@@ -77,19 +77,23 @@ def from_age_header(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?ms)\A.*?(?={AGE_HEADER})", "")
 
 
+Tokenizer = Callable[[], tuple[Callable[[str], list], Callable[[list], str]]]
+Wrap = Callable[[Column], Column]
+
+
 def limit_history(
-    dataset: DataFrame, max_prompt_length: int | None, template: str = TEMPLATE, text: str = "text"
+    dataset: DataFrame, max_prompt_length: int | None, template: str = TEMPLATE, text: str = "text", wrap: Wrap = lambda prompt: prompt
 ) -> DataFrame:
     """Shorten `text` so that the prompt has at most `max_prompt_length` words; adds `available_tokens`.
 
     A fitting history is unchanged and has a null `available_tokens`. Otherwise the last `available_tokens` words are
     kept and cut forward to the first age header. Rows with nothing left have `available_tokens <= 0` and a null text;
-    `rejected` selects them.
+    `rejected` selects them. The length is that of the prompt after `wrap` (a chat wrapper, say).
     """
     if max_prompt_length is None:
         return dataset.withColumn("available_tokens", F.lit(None).cast("int"))
     history, description = F.col(text), F.col("task_description")
-    total = token_count(format_prompt(history, description, template))
+    total = token_count(wrap(format_prompt(history, description, template)))
     counted = dataset.withColumn("__total", total)
     excess = F.col("__total") - max_prompt_length
     available = F.when(excess > 0, token_count(history) - excess)
@@ -102,9 +106,10 @@ def limit_history(
 def limit_history_with(
     dataset: DataFrame,
     max_prompt_length: int,
-    tokenizer: Callable[[], tuple[Callable[[str], list], Callable[[list], str]]],
+    tokenizer: Tokenizer,
     template: str = TEMPLATE,
     text: str = "text",
+    wrap: Wrap = lambda prompt: prompt,
 ) -> DataFrame:
     """`limit_history` for an external tokenizer. `tokenizer()` is called once per batch of rows on the executor and
     returns (encode, decode)."""
@@ -125,7 +130,7 @@ def limit_history_with(
                 rows.append((decode(tokens[-left:]) if left > 0 else None, left))
             yield pd.DataFrame(rows, columns=["text", "available_tokens"]).astype({"available_tokens": "Int32"})
 
-    prompt = format_prompt(F.col(text), F.col("task_description"), template)
+    prompt = wrap(format_prompt(F.col(text), F.col("task_description"), template))
     cut = dataset.withColumn("__cut", shorten(prompt, F.col(text)))
     left = F.col("__cut.available_tokens")
     shown = F.when(left.isNull(), F.col("__cut.text")).otherwise(from_age_header(F.col("__cut.text")))
@@ -137,14 +142,44 @@ def rejected(limited: DataFrame) -> DataFrame:
     return limited.filter(F.col("available_tokens") <= 0)
 
 
-def with_prompts(dataset: DataFrame, max_prompt_length: int | None = None, template: str = TEMPLATE) -> DataFrame:
-    """Add `prompt` and its length in characters; rows that cannot fit are left out (see `rejected`)."""
-    limited = limit_history(dataset, max_prompt_length, template)
+def with_prompts(
+    dataset: DataFrame,
+    max_prompt_length: int | None = None,
+    template: str = TEMPLATE,
+    tokenizer: Tokenizer | None = None,
+    wrap: Wrap = lambda prompt: prompt,
+) -> DataFrame:
+    """Add `prompt` and its length in characters; rows that cannot fit are left out (see `rejected` and `left_out`).
+
+    Lengths are in words, or in the tokens of `tokenizer`; `wrap` is applied to every prompt and counted.
+    """
+    limited = _limited(dataset, max_prompt_length, template, tokenizer, wrap)
     fitting = limited.filter(F.col("available_tokens").isNull() | (F.col("available_tokens") > 0))
-    prompt = format_prompt(F.col("text"), F.col("task_description"), template)
+    prompt = wrap(format_prompt(F.col("text"), F.col("task_description"), template))
     return fitting.drop("available_tokens").withColumn("prompt", prompt).withColumn("prompt_length", F.length("prompt"))
 
 
+def _limited(dataset: DataFrame, most: int | None, template: str, tokenizer: Tokenizer | None, wrap: Wrap) -> DataFrame:
+    if tokenizer is None or most is None:
+        return limit_history(dataset, most, template, wrap=wrap)
+    return limit_history_with(dataset, most, tokenizer, template, wrap=wrap)
+
+
+def left_out(
+    dataset: DataFrame,
+    tasks: DataFrame,
+    max_prompt_length: int | None = None,
+    template: str = TEMPLATE,
+    tokenizer: Tokenizer | None = None,
+    wrap: Wrap = lambda prompt: prompt,
+) -> DataFrame:
+    """How many rows `run_scoring` leaves out for each task: (task, reason, n_rows), for unknown tasks and prompts that cannot fit."""
+    unknown = unknown_tasks(dataset, tasks).select("task", F.lit("unknown task").alias("reason"), "n_rows")
+    limited = _limited(with_descriptions(dataset, tasks), max_prompt_length, template, tokenizer, wrap)
+    unfit = rejected(limited).groupBy("task").agg(F.count(F.lit(1)).alias("n_rows"))
+    return unknown.unionByName(unfit.select("task", F.lit("too long").alias("reason"), "n_rows"))
+
+
 def longest_first(dataset: DataFrame) -> DataFrame:
     """Longest prompts first within each partition, so that batches hold prompts of similar length.
 
@@ -215,8 +250,14 @@ def run_scoring(
     batch_size: int = 48,
     columns: str = "model_output string",
     post_process: Callable[[DataFrame], DataFrame] | None = parse_answers,
+    template: str = TEMPLATE,
+    tokenizer: Tokenizer | None = None,
+    wrap: Wrap = lambda prompt: prompt,
 ) -> DataFrame:
-    """Descriptions, prompts, batched scoring, then an optional DataFrame function on the result."""
-    prompts = with_prompts(with_descriptions(dataset, tasks), max_prompt_length)
+    """Descriptions, prompts, batched scoring, then an optional DataFrame function on the result.
+
+    `left_out` counts the rows of unknown tasks and those whose prompts cannot fit.
+    """
+    prompts = with_prompts(with_descriptions(dataset, tasks), max_prompt_length, template, tokenizer, wrap)
     scored = score(prompts, batch_fn, columns, batch_size)
     return scored.transform(post_process) if post_process else scored

@@ -11,6 +11,20 @@ def limited(spark, text, limit, template=SHORT):
     return prompts.limit_history(df, limit, template).first()
 
 
+def test_whole_batches_and_long_numbers(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(batch):
+        seen.add(1)
+        return {"model_output": [f"Probability: {'0' * 21}{len(batch)}" for _ in batch]}
+
+    rows = spark.range(250).selectExpr("id", "cast(id as string) AS prompt", "length(cast(id as string)) AS prompt_length").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    got = prompts.parse_answers(prompts.score(rows, model, batch_size=24)).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted({r.parsed_probability for r in got}) == [10, 24] and seen.value == 11
+
+
 def test_fits_and_cuts(spark):
     assert limited(spark, "a b c", 10).text == "a b c" and limited(spark, "a b c", 10).available_tokens is None
     assert limited(spark, "a b c", None).text == "a b c"
