@@ -137,6 +137,8 @@ def parse(page: str) -> Node:
             at = len(page) if end < 0 else page.find(">", end) + 1 or len(page)
             continue
         if name in BLOCKS:
+            if "head" in stack:  # an unclosed head ends with the first block
+                close(stack.index("head"))
             if name not in ("body", "html"):
                 _imply(name, stack, close)
             if not silent:

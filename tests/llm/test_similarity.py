@@ -237,6 +237,7 @@ def test_parser_and_decoding():
     order, rows = page_text.describe(tree)
     assert [p for n in order for p in n.parts] == ["a", "bc", "x", "y", "tail & <3", "in", "p", "end"]
     assert rows.shape == (len(order) - 1, page_text.FEATURES)
+    assert page_text.parse("<head><title>t</title><meta x><body><p>text").children[0].parts == ["text"]
     inner = {id(n): i for i, n in enumerate(order[1:])}
     odds = np.full(len(order) - 1, -1.0)
     items = [n for n in order if n.tag == "li"]
