@@ -106,9 +106,9 @@ def candidates(rows: DataFrame, key: str, text: Column, rules: tuple[Rule, ...]
     """(`key`, `rules`): for every row that some query finds, the numbers of the rules to verify."""
     clauses = [(number, clause, way) for number, rule in enumerate(rules) for clause, way in enumerate(query(rule.regex))]
     trigrams = sorted({t for _, _, way in clauses for t in way})
-    lower = F.lower(text)
+    lower = F.col("lower")
     held = F.filter(F.array(*[F.when(F.contains(lower, F.lit(t)), F.lit(t)) for t in trigrams]), lambda t: t.isNotNull())
-    postings = rows.select(F.col(key), F.explode(held).alias("trigram")).distinct()
+    postings = rows.select(F.col(key), F.lower(text).alias("lower")).select(key, F.explode(held).alias("trigram")).distinct()
     wanted = rows.sparkSession.createDataFrame(
         [(number, clause, t, len(way)) for number, clause, way in clauses for t in way], "rule int, clause int, trigram string, size int"
     )
