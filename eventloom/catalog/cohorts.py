@@ -76,7 +76,9 @@ def cohort_hospital_mortality(spark, folder):
 @query(f"SELECT * FROM {CRITICAL}")
 def cohort_critical_outcome(spark, folder):
     """Either of two outcomes at the same prediction time."""
-    icu, mortality = (labels(spark, folder, task) for task in CRITICAL_OUTCOME)
+    both = cohort.label_cohorts(view(spark, folder, "hospital"), {task: COHORTS[task] for task in CRITICAL_OUTCOME})
+    stored = written(both, "labels")
+    icu, mortality = (stored.filter(F.col("task") == task).drop("task") for task in CRITICAL_OUTCOME)
     return cohort.combine_labels(icu, mortality)
 
 

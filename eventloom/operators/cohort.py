@@ -124,77 +124,151 @@ def label_cohort(events: DataFrame, spec: Mapping) -> DataFrame:
     return _label(history, points, spec)
 
 
-def _label(history: History, points: DataFrame, spec: Mapping) -> DataFrame:
-    bounds: dict[tuple[str, str], str | None] = {}  # (window, side) -> time column, None for the record's start
-
-    def plain(reference: str | None) -> str | None:
-        if reference is None:
-            return None
-        if reference == "trigger":
-            return "trigger"
-        window, side = reference.split(".")
-        return bounds[window, side]
-
-    index = label = None
-    for window, rule in spec["windows"].items():
-        start = plain(rule.get("start"))
-        bounds[window, "start"] = start
-        end = rule["end"]
-        name = f"{window}_end"
-        if "->" in end:
-            if start is None:
-                raise ValueError(f"window {window}: an event-bounded end needs a start")
-            points = history.next_time(points, start, end.split("->")[1].strip(), name).filter(F.col(name).isNotNull())
-            bounds[window, "end"] = name
-        elif "+" in end:
-            seconds = duration_seconds(end.split("+")[1])
-            points = points.withColumn(name, F.col(start) + F.make_dt_interval(secs=F.lit(seconds)))
-            bounds[window, "end"] = name
-        else:
-            bounds[window, "end"] = plain(end)
-        if rule.get("index_timestamp"):
-            index = bounds[window, rule["index_timestamp"]]
-        if rule.get("label"):
-            inclusive = (rule.get("start_inclusive", True), rule.get("end_inclusive", True))
-            label = (bounds[window, "start"], bounds[window, "end"], rule["label"], inclusive)
-    if index is None:
-        raise ValueError("no window names an index_timestamp that is a time of the record")
-    if label is None:
-        raise ValueError("no window names a label")
-    start, end, predicate, inclusive = label
-    counted = history.count_between(points, start, end, predicate, "__label", inclusive)
-    return counted.select(
+@dataclass(frozen=True)
+class Windows:
+    """A specification's windows with all references resolved.
+
+    `steps` add time columns in order: (name, "next", start, predicate) or (name, "plus", start, seconds). The label counts
+    `predicate` from `start` (None: the record's start) to `end`.
+    """
+
+    steps: list[tuple[str, str, str, str | int]]
+    index: str
+    start: str | None
+    end: str
+    predicate: str
+    inclusive: tuple[bool, bool]
+
+    @classmethod
+    def of(cls, spec: Mapping) -> Windows:
+        bounds: dict[tuple[str, str], str | None] = {}  # (window, side) -> time column, None for the record's start
+
+        def plain(reference: str | None) -> str | None:
+            if reference is None or reference == "trigger":
+                return reference
+            window, side = reference.split(".")
+            return bounds[window, side]
+
+        steps, index, label = [], None, None
+        for window, rule in spec["windows"].items():
+            start, end, name = plain(rule.get("start")), rule["end"], f"{window}_end"
+            bounds[window, "start"], bounds[window, "end"] = start, name
+            if "->" in end:
+                if start is None:
+                    raise ValueError(f"window {window}: an event-bounded end needs a start")
+                steps.append((name, "next", start, end.split("->")[1].strip()))
+            elif "+" in end:
+                steps.append((name, "plus", start, duration_seconds(end.split("+")[1])))
+            else:
+                bounds[window, "end"] = plain(end)
+            if rule.get("index_timestamp"):
+                index = bounds[window, rule["index_timestamp"]]
+            if rule.get("label"):
+                inclusive = (rule.get("start_inclusive", True), rule.get("end_inclusive", True))
+                label = (bounds[window, "start"], bounds[window, "end"], rule["label"], inclusive)
+        if index is None:
+            raise ValueError("no window names an index_timestamp that is a time of the record")
+        if label is None:
+            raise ValueError("no window names a label")
+        return cls(steps, index, *label)
+
+    def sides(self, at: Mapping[str, Column]) -> list[tuple[Column, int, int]]:
+        """(time, kind, sign) of the probes whose signed running counts add up to the label's count.
+
+        A probe of kind -1 sorts before the events of its own time, one of kind 1 after them.
+        """
+        out = [(at[self.end], 1 if self.inclusive[1] else -1, 1)]
+        if self.start is not None:
+            out.append((at[self.start], -1 if self.inclusive[0] else 1, -1))
+        return out
+
+
+def _later(time: Column, seconds: int) -> Column:
+    return time + F.make_dt_interval(secs=F.lit(seconds))
+
+
+def _label_table(rows: DataFrame, index: Column, hits: Column, *first: Column) -> DataFrame:
+    return rows.select(
+        *first,
         "subject_id",
-        F.col(index).alias("prediction_time"),
-        (F.col("__label") > 0).alias("boolean_value"),
+        index.alias("prediction_time"),
+        (hits > 0).alias("boolean_value"),
         F.lit(None).cast("bigint").alias("integer_value"),
         F.lit(None).cast("double").alias("float_value"),
         F.lit(None).cast("string").alias("categorical_value"),
     )
 
 
+def _label(history: History, points: DataFrame, spec: Mapping) -> DataFrame:
+    windows = Windows.of(spec)
+    for name, kind, start, value in windows.steps:
+        if kind == "next":
+            points = history.next_time(points, start, value, name).filter(F.col(name).isNotNull())
+        else:
+            points = points.withColumn(name, _later(F.col(start), value))
+    counted = history.count_between(points, windows.start, windows.end, windows.predicate, "__label", windows.inclusive)
+    return _label_table(counted, F.col(windows.index), F.col("__label"))
+
+
 def label_cohorts(events: DataFrame, specs: Mapping[str, Mapping]) -> DataFrame:
     """Several cohorts in one table with a `task` column.
 
-    The predicates of all cohorts are evaluated in a single pass over the events; each cohort reads the resulting counts.
+    The predicates of all cohorts are evaluated in a single pass over the events. Cohorts whose event-bounded windows all
+    start at the trigger, as the shipped ones do, are labelled together in two exchanges on the subject: one gives every
+    time the next times of all predicates that end windows, the other counts all labels among the probes of all cohorts.
+    Other cohorts are labelled one by one from the same counts.
     """
     named: dict[str, Mapping] = {}
     for task, spec in specs.items():
         named |= {f"{task}.{name}": rule for name, rule in spec["predicates"].items()}
     flat = {name.replace(".", "__"): rule for name, rule in named.items()}
     shared = History.of(predicate_counts(events, flat))
-    tables = []
+    resolved = {task: Windows.of(spec) for task, spec in specs.items()}
+    together = [t for t, w in resolved.items() if all(start == "trigger" for _, kind, start, _ in w.steps if kind == "next")]
+    tables = [_label_together(shared, {t: resolved[t] for t in together}, {t: specs[t]["trigger"] for t in together})] if together else []
     for task, spec in specs.items():
-        columns = [F.col(f"{task}__{name}").alias(name) for name in spec["predicates"]]
-        history = History(shared.counts.select("subject_id", "time", *columns), shared.slices)
-        points = history.counts.filter(F.col(spec["trigger"]) > 0).select("subject_id", F.col("time").alias("trigger"))
-        tables.append(_label(history, points, spec).select(F.lit(task).alias("task"), "*"))
+        if task not in together:
+            columns = [F.col(f"{task}__{name}").alias(name) for name in spec["predicates"]]
+            history = History(shared.counts.select("subject_id", "time", *columns), shared.slices)
+            points = history.counts.filter(F.col(spec["trigger"]) > 0).select("subject_id", F.col("time").alias("trigger"))
+            tables.append(_label(history, points, spec).select(F.lit(task).alias("task"), "*"))
     out = tables[0]
     for table in tables[1:]:
         out = out.unionByName(table)
     return out
 
 
+def _label_together(history: History, windows: Mapping[str, Windows], triggers: Mapping[str, str]) -> DataFrame:
+    """Labels of cohorts whose event-bounded windows start at the trigger."""
+    tasks = list(windows)
+    ends = {f"{task}__{value}" for task in tasks for _, kind, _, value in windows[task].steps if kind == "next"}
+    runs = {f"__next_{p}": Run("min", F.when(F.col(p) > 0, F.col("time")), strict=True) for p in sorted(ends)}
+    line = lay_out(history.counts, ["subject_id"], ["time"], history.slices)
+    rows = (line.run(reverse=True, **runs) if runs else line).rows()
+    entries = []
+    for number, task in enumerate(tasks):
+        own, at, begun = windows[task], {"trigger": F.col("time")}, F.col(f"{task}__{triggers[task]}") > 0
+        for name, kind, start, value in own.steps:
+            at[name] = F.col(f"__next_{task}__{value}") if kind == "next" else _later(at[start], value)
+            begun = begun & at[name].isNotNull()
+        sides = [F.struct(time.alias("at"), F.lit(kind).alias("kind"), F.lit(sign).alias("sign")) for time, kind, sign in own.sides(at)]
+        entry = F.struct(F.lit(number).alias("task"), F.col("time").alias("trigger"), at[own.index].alias("index"), F.array(*sides).alias("sides"))
+        entries.append(F.when(begun, entry))
+    found = F.filter(F.array(*entries), lambda e: e.isNotNull())
+    points = rows.select("subject_id", F.explode(found).alias("p")).select("subject_id", "p.*")
+    probes = points.select("subject_id", F.struct("task", "trigger", "index").alias("__row"), F.explode("sides").alias("s")).select(
+        "subject_id", "__row", F.col("s.at").alias("__time"), F.col("s.kind").alias("__kind"), F.col("s.sign").alias("__sign")
+    )
+    counted = {task: f"{task}__{windows[task].predicate}" for task in tasks}
+    both = history._union({f"__n_{p}": F.col(p) for p in sorted(set(counted.values()))}, probes)
+    seen = both.run(**{f"__seen_{p}": Run("sum", F.col(f"__n_{p}")) for p in sorted(set(counted.values()))}).df
+    own_count = F.coalesce(*(F.when(F.col("__row.task") == i, F.col(f"__seen_{counted[task]}")) for i, task in enumerate(tasks)), F.lit(0))
+    sides_seen = seen.filter("__kind != 0").select("subject_id", "__row.*", (own_count * F.col("__sign")).alias("__signed"))
+    labels = sides_seen.groupBy("subject_id", "task", "trigger", "index").agg(F.sum("__signed").alias("__label"))
+    name = F.element_at(F.array(*map(F.lit, tasks)), F.col("task") + 1).alias("task")
+    return _label_table(labels, F.col("index"), F.col("__label"), name)
+
+
 def combine_labels(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("subject_id", "prediction_time")) -> DataFrame:
     """Labels present in both tables, true when either is. Three-valued: true or null is true, false or null is null."""
     other = right.select(*keys, F.col("boolean_value").alias("__other"))

@@ -85,3 +85,12 @@ def test_validation(spark):
     }
     assert not cohort.labels_are_valid(df) and cohort.labels_are_valid(df.filter("task < 'c'"))
     assert cohort.labels_are_valid(df.filter("task = 'a'")) and not cohort.labels_are_valid(df.limit(0))
+
+
+def test_cohorts_share_two_exchanges(spark):
+    rows = [(s, datetime(2020, 1, 1 + d), c, None) for s in range(5) for d, c in enumerate(["EMERGENCY_DEPARTMENT_REGISTRATION//ARRIVAL_TRANSPORT", "EMERGENCY_DEPARTMENT_DISCHARGE//DISCHARGE_LOCATION//ADMITTED"])]
+    events = spark.createDataFrame(rows, "subject_id long, time timestamp_ntz, code string, text_value string")
+    labels = cohort.label_cohorts(events, COHORTS)
+    plan = labels._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+    assert {(r.task, r.boolean_value) for r in labels.collect()} == {("hospitalisation", True), ("ed_reattendance", False), ("critical_outcome_icu_12h", False)}
