@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from eventloom.plans.timeline import written
 
-__all__ = ["absent", "complete_groups", "held_out", "read", "remainder", "spread", "text_of", "written"]
+__all__ = ["absent", "complete_groups", "held_out", "read", "remainder", "small_batches", "spread", "text_of", "written"]
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_AT_ONCE = 500
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -27,6 +30,17 @@ def held_out(fold: int, id_col: str = "doc_id") -> Column:
     return remainder(id_col) == fold
 
 
+def small_batches(df: DataFrame) -> None:
+    """Hand whole documents to Python a few hundred at a time, unless the session says otherwise.
+
+    Spark's default of 10,000 rows is meant for short rows; with documents, two workers of an executor would hold some
+    hundred megabytes of batches each.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_ROWS) == "10000":
+        conf.set(ARROW_ROWS, str(ROWS_AT_ONCE))
+
+
 def text_of(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 

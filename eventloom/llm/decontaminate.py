@@ -28,8 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import text_of
-from eventloom.llm.words import SHINGLE_WORDS, Words, groups, hash_words, mix, shingles
+from eventloom.llm.common import absent, small_batches, text_of
+from eventloom.llm.words import SHINGLE_WORDS, Words, groups, hash_words, shingles
 
 THRESHOLD = 0.8
 BITS = 64
@@ -266,6 +266,7 @@ def contaminated(
     Null texts are empty and match nothing; so do items without words. Items without id are left out. A window of exactly
     the threshold counts; among equally similar windows the first is told. Repeated documents give repeated rows.
     """
+    small_batches(docs)
     benchmark = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), text_of().alias("text")).filter("item_id IS NOT NULL")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
     numbered = benchmark.withColumn("block", F.pmod(F.hash("item_id"), F.lit(max(1, -(-benchmark.count() // ITEMS_AT_ONCE)))))
@@ -287,8 +288,9 @@ def contaminated(
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that hold no benchmark item, with their columns. Rows without id are judged by their own text as well."""
-    found = contaminated(docs, benchmark, id_col, text_col, **options)
-    bad = found.select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents that hold no benchmark item, with their columns. Every row is judged by its own text, whatever its id."""
+    key = absent(docs, "__text")
+    keyed = docs.withColumn(key, F.xxhash64(text_of(text_col)))
+    bad = contaminated(keyed, benchmark, key, text_col, **options).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(bad, key, "left_anti").drop(key)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import complete_groups, spread, text_of, written
+from eventloom.llm.common import complete_groups, small_batches, spread, text_of, written
 from eventloom.llm.words import SHINGLE_WORDS, groups, hash_words, shingles, sorted_sets
 
 THRESHOLD = 0.8
@@ -262,6 +262,7 @@ def link_classes(
     A text without words (null, empty, punctuation only) is similar to nothing, not even to another such text. A text of
     fewer words than `width` has all its words as its only shingle. Repeated ids and null ids are rows like any other.
     """
+    small_batches(docs)
     rows = _sketched(docs, text_col, width)
     classes = rows.filter(F.col(_SET).isNotNull()).groupBy(_SET).agg(F.min(_UID).alias("__rep"), F.count(F.lit(1)).alias("__copies"))
     classes = written(classes, "classes")

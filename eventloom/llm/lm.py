@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import held_out, text_of, written
+from eventloom.llm.common import held_out, small_batches, text_of, written
 from eventloom.llm.words import groups, hash_tokens, mix
 
 HELD_OUT = 1
@@ -185,6 +185,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     A null text is empty: it has one token, the end. Rows with equal id and text are scored each; a null id is in fold 0.
     Without training rows all scores are zero.
     """
+    small_batches(docs)
     out = held_out(HELD_OUT, id_col) if training is None else ~training
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"), out.alias("held_out"))
     chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import trees
-from eventloom.llm.common import text_of, written
+from eventloom.llm.common import small_batches, text_of, written
 
 SAMPLE_PAGES = 160  # pages to learn from, at most (chosen by a hash of the html)
 LAYOUTS = 4  # new layouts made of each of them
@@ -379,6 +379,7 @@ def _walk(root: Node) -> Iterator[Node]:
 
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES) -> trees.Ensemble:
     """Fit the trees on at most about `sample` pages (by a hash of the html); an empty table trains on two sentences."""
+    small_batches(pages)
     total = pages.count()
     rows = pages.select(text_of(html_col).alias("html")).filter("html <> ''")
     part = F.pmod(F.xxhash64("html"), F.lit(1_000_000))

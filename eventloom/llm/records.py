@@ -19,7 +19,6 @@ a name of its own attempt and renames at the end, so a repeated task leaves one
 from __future__ import annotations
 
 import functools
-import itertools
 import struct
 import uuid
 import zlib
@@ -31,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import text_of, written
+from eventloom.llm.common import small_batches, text_of, written
+from eventloom.llm.pieces import PieceCache
 from eventloom.llm.words import groups
 from eventloom.plans.timeline import scratch_dir
 
@@ -39,7 +39,7 @@ MASK = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<I")
 OWN = struct.Struct("<Bq")
-CACHED = 1_000_000  # words a worker remembers
+CACHED = 700_000  # words a worker remembers; some 150 MB
 MARK = "\u2e3b"  # any symbol; words that hold it are encoded one by one
 TOGETHER = 64
 RECORDS_AT_ONCE = 2_000
@@ -77,29 +77,24 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return doc_id if flags & 1 else None, np.frombuffer(payload, "<u2" if flags & 2 else "<u4", offset=OWN.size).astype("<u4")
 
 
-class WordCache(dict):
-    """Numbers words in the order they are first seen and encodes each of them once.
+class Words:
+    """Encodes lists of white-space separated words, many new words to a call of the tokenizer.
 
     The tokenizer drops white space between its pre-tokens, and none of its steps looks across white space, so a text's ids
-    are the ids of its white-space separated words one after another.
+    are the ids of its words one after another. The words of a call are told apart by the ids of a mark between them.
     """
 
     def __init__(self, tokenizer):
-        super().__init__()
         self.tokenizer = tokenizer
-        self.fresh: list[str] = []
         self.mark = self._ids([MARK])[0]
-        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.cache = PieceCache(self.encode_new)
 
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        self.fresh.append(word)
-        return number
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self) -> None:
-        """Encode the new words, many to a call; the words of a call are told apart by the ids of a mark between them."""
-        plain = [w for w in self.fresh if MARK not in w]
-        marked = {w: self._ids([w])[0] for w in self.fresh if MARK in w}
+    def encode_new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [w for w in words if MARK not in w]
+        marked = {w: self._ids([w])[0] for w in words if MARK in w}
         calls = [f" {MARK} ".join([*plain[i : i + TOGETHER], ""]) for i in range(0, len(plain), TOGETHER)]
         flat, lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if calls:
@@ -111,32 +106,20 @@ class WordCache(dict):
                 keep[at + k] = False
             flat = flat[keep]
         if marked:
-            numbers = np.array([i for i, w in enumerate(self.fresh) if w in marked])
+            numbers = np.array([i for i, w in enumerate(words) if w in marked])
             own = [marked[w] for w in marked]
             lengths = np.insert(lengths, numbers - np.arange(len(numbers)), [len(x) for x in own])
             pieces = np.split(flat, np.cumsum(np.delete(lengths, numbers))[:-1]) if len(plain) else []
             for i, ids in zip(numbers.tolist(), own, strict=True):
                 pieces.insert(i, ids)
             flat = np.concatenate(pieces)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths, self.ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, flat])
-        self.fresh = []
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return flat, lengths
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if len(self.cache) > CACHED:
+            self.cache = PieceCache(self.encode_new)
         for a, b in groups(texts):
-            words = [t.split() for t in texts[a:b]]
-            sizes = np.fromiter(map(len, words), np.int64, b - a)
-            codes = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(sizes.sum()))
-            if self.fresh:
-                self.learn()
-            lengths = self.lengths[codes]
-            before = np.cumsum(lengths) - lengths
-            flat = self.ids[np.repeat(self.starts[codes] - before, lengths) + np.arange(int(lengths.sum()))]
-            ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(sizes)]
-            yield from np.split(flat, ends[:-1])
+            yield from self.cache.encode([t.split() for t in texts[a:b]])
 
 
 # characters that Python takes for white space and the tokenizer for symbols
@@ -149,13 +132,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.cache = WordCache(self.tokenizer)
+        self.words = Words(self.tokenizer)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.cache) > CACHED:
-            self.cache = WordCache(self.tokenizer)
         odd = [any(c in t for c in _SYMBOLS) for t in texts]
-        made = self.cache.encode(["" if o else t for t, o in zip(texts, odd, strict=True)])
+        made = self.words.encode(["" if o else t for t, o in zip(texts, odd, strict=True)])
         for text, whole, ids in zip(texts, odd, made, strict=True):
             yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32) if whole else ids
 
@@ -203,6 +184,7 @@ def write_records(
     text is empty. `files` defaults to one for 64 million characters, and to the session's number of shuffle partitions at
     least. The tokenizer's definition is read on the driver and sent to the executors.
     """
+    small_batches(docs)
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()
     spark = docs.sparkSession

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import trees
-from eventloom.llm.common import held_out, text_of, written
+from eventloom.llm.common import held_out, small_batches, text_of, written
 
 TRAIN_ROWS = 24_000  # labelled rows to learn from, at most (chosen by a hash of the id)
 HELD_OUT = 0
@@ -163,7 +163,8 @@ def _lexicon(rows: DataFrame) -> Lexicon:
     ratio = toxic * F.log(toxic / expected) + F.when(clean > 0, clean * F.log(clean / (toxic + clean - expected))).otherwise(0.0)
     likely = frozenset(r.term for r in counted.filter((toxic >= LEAST) & (toxic > expected) & (ratio >= EVIDENCE * math.log(1 + sum(totals.values()))) & (toxic >= LEAST_SHARE * (toxic + clean))).select("term").collect())
     pairs = rows.filter("label = 1").mapInPandas(lambda frames: contexts(frames, likely), "term string, before string").distinct()
-    found = [r.term for r in pairs.groupBy("term").count().filter(F.col("count") >= LEAST).join(counted, "term").filter(F.col("count") >= 0.5 * F.col("toxic")).select("term").collect()]
+    contexts_of = pairs.groupBy("term").count().filter(F.col("count") >= LEAST).join(counted, "term")
+    found = [r.term for r in contexts_of.filter(F.col("count") >= 0.5 * F.col("toxic")).select("term").collect()]
     return Lexicon(frozenset(t for t in found if t[-1] != "*"), frozenset(t[:-1] for t in found if t[-1] == "*"))
 
 
@@ -173,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Labels other than 0 and 1, null labels and null ids are left out. If a part would have fewer than 25 toxic rows,
     all parts use all training rows. With one label only, every score is that label.
     """
+    small_batches(docs)
     labels = labels.filter("toxic IN (0, 1)").select(F.col("doc_id").alias("__id"), F.col("toxic").cast("double").alias("label"))
     labels = labels.filter(~held_out(HELD_OUT, "__id") if training is None else training)
     labels = labels.groupBy("__id").agg(F.max("label").alias("label"))
