@@ -1,9 +1,10 @@
 """Licence notices in texts: the Dice coefficient of word bigrams against templates, pruned by size.
 
 Units are the lines, the blank-line separated paragraphs and the whole of a text, normalised to words of ASCII letters and
-digits in lower case. With m and n different bigrams the coefficient is at most 2 min(m, n) / (m + n), so a template can
-only match units whose number of bigrams lies between t m / (2 - t) and (2 - t) m / t for threshold t; units meet templates by
-an equi-join on their number of bigrams, and all others go before any bigram is compared.
+digits in lower case. Bigrams count as often as they occur: with m and n bigrams, of which c are common, the coefficient is
+2 c / (m + n). As c is at most the lesser number, a template can only match units whose number of bigrams lies between
+t m / (2 - t) and (2 - t) m / t for threshold t. A unit's number of bigrams is its number of spaces, so all other units go
+before any word is looked at; the rest meet the templates by an equi-join on that number.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import text_of
@@ -69,9 +70,9 @@ TEMPLATES = (
 
 
 def bigrams(text: str) -> list[str]:
-    """The different word bigrams of a template, in order of their first place."""
+    """The word bigrams of a template in their order, repeated ones too."""
     words = re.sub("[^A-Za-z0-9]+", " ", text).strip().lower().split()
-    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
 def sizes(count: int, threshold: float = THRESHOLD) -> range:
@@ -80,15 +81,40 @@ def sizes(count: int, threshold: float = THRESHOLD) -> range:
     return range(max(1, math.ceil(low - 1e-9)), math.floor(high + 1e-9) + 1)
 
 
-def longest_unit(threshold: float = THRESHOLD) -> int:
-    """The most bigrams of a unit that can match any template."""
-    return max(sizes(max(len(bigrams(t)) for _, t in TEMPLATES), threshold))
+def admissible(threshold: float = THRESHOLD) -> list[int]:
+    """All numbers of bigrams with which a unit can match some template."""
+    return sorted({n for _, text in TEMPLATES for n in sizes(len(bigrams(text)), threshold)})
 
 
 def template_table(spark: SparkSession, threshold: float = THRESHOLD) -> DataFrame:
-    """(size, license, template, template_size): every template under every admissible size; bounded by the templates."""
-    rows = [(n, name, own, len(own)) for name, text in TEMPLATES for own in [bigrams(text)] for n in sizes(len(own), threshold)]
-    return spark.createDataFrame(rows, "size int, license string, template array<string>, template_size int")
+    """(size, license, template, repeats): every template under every admissible size; bounded by the templates.
+
+    `repeats` is how many of its bigrams are repetitions.
+    """
+    rows = []
+    for name, text in TEMPLATES:
+        own = bigrams(text)
+        rows += [(n, name, own, len(own) - len(set(own))) for n in sizes(len(own), threshold)]
+    return spark.createDataFrame(rows, "size int, license string, template array<string>, repeats int")
+
+
+def _spaces(unit: Column) -> Column:
+    return F.char_length(unit) - F.char_length(F.replace(unit, F.lit(" "), F.lit("")))
+
+
+def _one_line(unit: Column) -> Column:
+    return F.trim(F.regexp_replace(unit, "[ \n]+", " "))
+
+
+def _units(text: Column, threshold: float) -> Column:
+    """The different units of a normalised text that have an admissible number of bigrams."""
+    none = F.array().cast("array<string>")
+    wanted = admissible(threshold)
+    lines = F.transform(F.split(text, "\n"), lambda u: F.trim(u))
+    words = F.aggregate(lines, F.lit(0), lambda n, u: n + F.when(u == "", 0).otherwise(_spaces(u) + 1))
+    paragraphs = F.when(text.rlike("\n ?\n"), F.transform(F.split(text, "\n ?\n"), _one_line)).otherwise(none)
+    whole = F.when(words <= wanted[-1] + 1, F.array(_one_line(text))).otherwise(none)
+    return F.array_distinct(F.filter(F.concat(lines, paragraphs, whole), lambda u: _spaces(u).isin(wanted)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -97,15 +123,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     Null and empty texts match nothing; a coefficient of exactly the threshold counts. Rows of one id are one document.
     """
     text = F.lower(F.regexp_replace(text_of(text_col), "[^A-Za-z0-9\n]+", " "))
-    units = F.transform(F.concat(F.split(text, "\n"), F.split(text, "\n ?\n"), F.array(text)), lambda u: F.trim(F.translate(u, "\n", " ")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(units)).alias("unit"))
-    rows = rows.select("doc_id", "unit", F.split("unit", " +").alias("words")).filter(F.size("words") >= 2)
-    # a unit has no fewer bigrams than it has different words, less one
-    rows = rows.filter(F.size(F.array_distinct("words")) <= longest_unit(threshold) + 1)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select("doc_id", F.explode(_units(F.col("text"), threshold)).alias("unit"))
+    words = F.split("unit", " ")
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
-    rows = rows.select("doc_id", "unit", F.array_distinct(pairs).alias("own"))
-    met = rows.withColumn("size", F.size("own")).join(F.broadcast(template_table(docs.sparkSession, threshold)), "size")
-    dice = 2 * F.size(F.array_intersect("own", "template")) / (F.col("size") + F.col("template_size"))
+    rows = rows.select("doc_id", "unit", words.alias("words")).select("doc_id", "unit", pairs.alias("own"), (F.size("words") - 1).alias("size"))
+    met = rows.join(F.broadcast(template_table(docs.sparkSession, threshold)), "size")
+    total = F.col("size") + F.size("template")
+    # the different common bigrams and all repetitions bound the common bigrams
+    met = met.filter(2 * (F.size(F.array_intersect("own", "template")) + F.col("repeats")) >= threshold * total - 1e-9)
+
+    def common(n: Column, bigram: Column) -> Column:
+        return n + F.least(*(F.size(F.filter(c, lambda x: x == bigram)) for c in ("own", "template")))
+
+    dice = 2 * F.aggregate(F.array_distinct("template"), F.lit(0), common) / total
     met = met.withColumn("dice", dice).filter(F.col("dice") >= threshold)
     return met.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count_distinct("unit").alias("n_units"))
 
@@ -115,9 +145,12 @@ def scan_sql(threshold: float = THRESHOLD) -> str:
     return f"""WITH templates AS (SELECT * FROM (VALUES {listed}) AS t(license, template)),
         plain AS (SELECT doc_id, lower(regexp_replace(text, '[^A-Za-z0-9\n]+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL),
         parts AS (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '\n ?\n'), [text])) AS unit FROM plain),
-        units AS (SELECT DISTINCT doc_id, trim(replace(unit, chr(10), ' ')) AS unit FROM parts),
-        worded AS (SELECT doc_id, unit, string_split_regex(unit, ' +') AS words FROM units),
-        paired AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS own
+        units AS (SELECT DISTINCT doc_id, trim(regexp_replace(unit, '[ \n]+', ' ', 'g')) AS unit FROM parts),
+        worded AS (SELECT doc_id, unit, string_split(unit, ' ') AS words FROM units),
+        paired AS (SELECT doc_id, unit, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS own
             FROM worded WHERE len(words) >= 2),
-        scored AS (SELECT doc_id, license, unit, 2 * len(list_intersect(own, template)) / (len(own) + len(template)) AS dice FROM paired, templates)
+        likely AS (SELECT * FROM paired, templates WHERE 2 * least(len(own), len(template)) >= {threshold} * (len(own) + len(template)) - 0.000001
+            AND list_has_any(own, template)),
+        scored AS (SELECT doc_id, license, unit, 2 * list_sum(list_transform(list_distinct(template), lambda b:
+            least(len(list_filter(own, lambda x: x = b)), len(list_filter(template, lambda x: x = b))))) / (len(own) + len(template)) AS dice FROM likely)
         SELECT doc_id, license, max(dice) AS dice, count(DISTINCT unit) AS n_units FROM scored WHERE dice >= {threshold} GROUP BY doc_id, license"""
