@@ -7,6 +7,9 @@ boundary of one chunk is also a boundary of the next. Where the overlap has no c
 overlap), the text is scanned on from the last agreed boundary until it meets a boundary of the next chunk. Then the pieces
 are encoded; equal pieces are encoded once per worker. Decoding concatenates the tokens' bytes.
 
+A document of one chunk is cut at simpler boundaries: a space before a character that is no white space always begins a
+pre-token, so the text between such spaces is a piece, whose pre-tokens the tokenizer finds by itself.
+
 The vocabulary is a rank file; its content (bounded by the vocabulary, not by the data) is sent to the executors.
 """
 
@@ -14,6 +17,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +26,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import text_of
+from eventloom.llm.common import small_batches, text_of
+from eventloom.llm.pieces import PieceCache
+from eventloom.llm.words import groups
 
 CHUNK = 16_384
 OVERLAP = 512
-CACHED = 300_000
+CACHED = 300_000  # pieces a worker remembers; some 60 MB
+TOGETHER = 256
 
 
 class Codec:
@@ -38,19 +46,33 @@ class Codec:
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.pattern = regex.compile(pattern)
         self.bytes_of = {rank: token for token, rank in table.items()}
+        self.sizes = np.zeros(max(self.bytes_of) + 1, np.int64)
+        self.sizes[list(self.bytes_of)] = [len(token) for token in self.bytes_of.values()]
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, pieces: list[str]) -> list[int]:
-        known, out = self.known, []
-        if len(known) > CACHED:
-            known.clear()
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = known[piece] = self.encoding.encode_ordinary(piece)
-            out += ids
-        return out
+        self.cache = PieceCache(self.encode_new)
+
+    def encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces that begin with a space and a word are encoded many to a call; the tokens' bytes tell where each one ends."""
+        joint = np.array([len(p) > 1 and p[0] == " " and not p[1].isspace() for p in pieces], bool)
+        alone = [np.array(self.encoding.encode_ordinary(p), np.uint32) for p, j in zip(pieces, joint.tolist(), strict=True) if not j]
+        some = list(itertools.compress(pieces, joint.tolist()))
+        together = [self.encoding.encode_ordinary("".join(some[i : i + TOGETHER])) for i in range(0, len(some), TOGETHER)]
+        flat = np.fromiter(itertools.chain.from_iterable(together), np.uint32)
+        token_ends = np.cumsum(self.sizes[flat])
+        piece_ends = np.cumsum(np.fromiter((len(p.encode()) for p in some), np.int64, len(some)))
+        ends = np.searchsorted(token_ends, piece_ends, "left") + 1
+        lengths = np.zeros(len(pieces), np.int64)
+        lengths[joint], lengths[~joint] = np.diff(ends, prepend=0), [len(a) for a in alone]
+        which = np.repeat(joint, lengths)
+        out = np.zeros(int(lengths.sum()), np.uint32)
+        out[which], out[~which] = flat, np.concatenate([np.zeros(0, np.uint32), *alone])
+        return out, lengths
+
+    def encode(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
+        """The ids of texts given as pieces that begin and end at boundaries of pre-tokens."""
+        if len(self.cache) > CACHED:
+            self.cache = PieceCache(self.encode_new)
+        yield from self.cache.encode(texts)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -61,6 +83,16 @@ def _codec(ranks: bytes, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
+INSIDE = re.compile(r" (?!\S)")
+BEFORE_WORD = re.compile(r" (?=\S)")
+
+
+def spaced(text: str) -> list[str]:
+    """The pieces of a text between spaces that begin a pre-token; each but the first keeps its space."""
+    parts = BEFORE_WORD.split(text) if INSIDE.search(text) else text.split(" ")
+    return [parts[0], *[" " + p for p in parts[1:]]]
+
+
 class Vocabulary:
     """A rank file and its pattern, as the executors see them."""
 
@@ -112,7 +144,7 @@ def stitch(codec: Codec, text: str, scans: list[tuple[int, np.ndarray]]) -> np.n
     return np.concatenate(kept)
 
 
-def _long(docs: DataFrame, vocabulary: Vocabulary, chunk: int, overlap: int) -> DataFrame:
+def _long(docs: DataFrame, vocabulary: Vocabulary, chunk: int, overlap: int, raw: bool) -> DataFrame:
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
@@ -144,14 +176,15 @@ def _long(docs: DataFrame, vocabulary: Vocabulary, chunk: int, overlap: int) ->
             scans.append((row.start, np.asarray(row.ends, np.int64)))
         ends = stitch(codec, text, scans)
         begin = np.concatenate([[0], ends[:-1]]).tolist()
-        ids = codec.encode([text[a:b] for a, b in zip(begin, ends.tolist(), strict=True)])
+        (ids,) = codec.encode([[text[a:b] for a, b in zip(begin, ends.tolist(), strict=True)]])
         own = frame["doc_id"].iloc[0]
-        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(own) else int(own)] * copies, "Int64"), "ids": [ids] * copies})
+        made = {"doc_id": pd.array([None if pd.isna(own) else int(own)] * copies, "Int64"), "ids": [ids.astype(np.int32)] * copies}
+        return pd.DataFrame(made | ({"raw": [codec.decode(ids.tolist())] * copies} if raw else {}))
 
     shape = "doc_id bigint, content string, start int, last boolean, piece string"
     chunks = docs.withColumn("content", F.md5("text")).mapInPandas(cut, shape).repartition("doc_id", "content", "start")
     scanned = chunks.mapInPandas(scan, f"{shape}, ends array<bigint>")
-    return scanned.groupBy("doc_id", "content").applyInPandas(join, "doc_id bigint, ids array<int>")
+    return scanned.groupBy("doc_id", "content").applyInPandas(join, "doc_id bigint, ids array<int>" + ", raw binary" * raw)
 
 
 def encode(
@@ -161,18 +194,28 @@ def encode(
     text_col: str = "text",
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
+    raw: bool = False,
 ) -> DataFrame:
-    """(doc_id, ids) for every row of `docs`. A null text is empty and has no ids; rows repeated in every way stay."""
+    """(doc_id, ids) for every row of `docs`. A null text is empty and has no ids; rows repeated in every way stay.
+
+    With `raw`, a further column has the bytes that the ids decode to, from the same pass over them; `decoded` in a step of
+    its own would start a second Python worker for every task.
+    """
+    small_batches(docs)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
 
-    @F.pandas_udf("array<int>")
-    def whole(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ids array<int>" + ", raw binary" * raw)
+    def whole(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = vocabulary.codec()
         for texts in frames:
-            yield pd.Series([np.array(codec.encode(codec.pattern.findall(t)), np.int32) for t in texts], dtype=object)
+            rows, made = texts.tolist(), []
+            for a, b in groups(rows):
+                made += [ids.astype(np.int32) for ids in codec.encode([spaced(t) for t in rows[a:b]])]
+            out = {"ids": pd.Series(made, dtype=object)}
+            yield pd.DataFrame(out | ({"raw": pd.Series([codec.decode(ids.tolist()) for ids in made], dtype=object)} if raw else {}))
 
-    short = rows.filter(F.char_length("text") <= chunk).select("doc_id", whole("text").alias("ids"))
-    return short.unionByName(_long(rows.filter(F.char_length("text") > chunk), vocabulary, chunk, overlap))
+    short = rows.filter(F.char_length("text") <= chunk).select("doc_id", whole("text").alias("made")).select("doc_id", "made.*")
+    return short.unionByName(_long(rows.filter(F.char_length("text") > chunk), vocabulary, chunk, overlap, raw))
 
 
 def decoded(vocabulary: Vocabulary, ids: Column) -> Column:
@@ -187,12 +230,12 @@ def decoded(vocabulary: Vocabulary, ids: Column) -> Column:
     return run(ids)
 
 
-def digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Per document the number of ids, and the SHA-256 of the ids as text and of the decoded bytes."""
+def digests(encoded: DataFrame) -> DataFrame:
+    """Per document of `encode(..., raw=True)` the number of ids, and the SHA-256 of the ids as text and of the decoded bytes."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return encoded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(ids, 256).alias("ids_sha256"),
-        F.sha2(decoded(vocabulary, F.col("ids")), 256).alias("decoded_sha256"),
+        F.sha2("raw", 256).alias("decoded_sha256"),
     )

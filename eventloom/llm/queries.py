@@ -53,7 +53,7 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.digests(bpe.encode(read(spark, folder, "documents"), vocabulary), vocabulary)
+    return bpe.digests(bpe.encode(read(spark, folder, "documents"), vocabulary, raw=True))
 
 
 def join_ngrams(spark: SparkSession, folder: str) -> DataFrame:

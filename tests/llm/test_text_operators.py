@@ -134,15 +134,28 @@ def test_byte_bpe_round_trip(spark):
     rows = list(enumerate(texts)) + [(None, "null id " * 40), (3, "w " * 200), (3, "w " * 200)]
     known = vocabulary(spark)
     for chunk, overlap in ((64, 16), (50, 3), (100_000, 10)):
-        coded = bpe.encode(odd(spark, rows), known, chunk=chunk, overlap=overlap)
-        got = coded.withColumn("raw", bpe.decoded(known, coded["ids"])).collect()
+        got = bpe.encode(odd(spark, rows), known, chunk=chunk, overlap=overlap, raw=True).collect()
         want = collections.Counter((i, tuple(plain.encode_ordinary(t or "")), (t or "").encode()) for i, t in rows)
         assert collections.Counter((r.doc_id, tuple(r.ids), bytes(r.raw)) for r in got) == want
-    (row,) = bpe.digests(bpe.encode(docs(spark, [(1, "a b")]), known), known).collect()
+    (row,) = bpe.digests(bpe.encode(docs(spark, [(1, "a b")]), known, raw=True)).collect()
     ids = plain.encode_ordinary("a b")
     assert (row.n_tokens, row.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
     assert row.decoded_sha256 == hashlib.sha256(b"a b").hexdigest()
     assert bpe.encode(docs(spark, []), known).collect() == []
+    some = bpe.encode(docs(spark, SAMPLE), known)
+    assert {bytes(r.raw) for r in some.select(bpe.decoded(known, some["ids"]).alias("raw")).collect()} == {(t or "").encode() for _, t in SAMPLE}
+
+
+def test_pieces_keep_the_pretokens():
+    import random
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        codec = bpe.Codec(f.read(), public_tokenizers.PATTERN)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab1 é\n\t .'s\xa0\x1c\u2003  ") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    for text, ids in zip(texts, codec.encode([bpe.spaced(t) for t in texts]), strict=True):
+        assert ids.tolist() == codec.encoding.encode_ordinary(text)
+        assert "".join(bpe.spaced(text)) == text
 
 
 def test_records_round_trip(spark):
