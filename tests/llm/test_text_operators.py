@@ -66,6 +66,21 @@ def test_language_model_equals_brute_force(spark, group):
     assert collections.Counter(want) == collections.Counter((*r[:5], round(r[5], 9), round(r[6], 9)) for r in got)
 
 
+def test_language_model_deals_a_hot_context_over_owners(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"the w{k}" for k in rng.integers(0, 4000, 60))) for i in range(400)]
+    scores = lambda **k: collections.Counter((*r[:5], round(r[5], 9), round(r[6], 9), r[7]) for r in lm.score(docs(spark, rows), **k).collect())
+    assert scores(group=8_000, span=16_000) == scores(group=10**9, span=10**9)
+    groups = [lm.Pairs([t for i, t in rows if i % 20 == g], np.ones(20, bool)) for g in range(20)]
+    cuts = lm.cuts_of([g.points(8 * 10) for g in groups[:4]], 10)
+    sizes = collections.Counter()
+    for g in groups:
+        for r in g.requests(cuts):
+            sizes[r["part"]] += len(r["followers"]) // lm.FOLLOWER_BYTES
+    assert sum(sizes.values()) == sum(len(g.pairs) for g in groups)
+    assert len(sizes) == 10 and max(sizes.values()) < 2 * sum(sizes.values()) / 10  # "the" has half of all pairs
+
+
 def test_language_model_without_rows(spark):
     assert lm.score(docs(spark, [])).collect() == []
     (row,) = lm.score(docs(spark, [(9, "a")]), training=lm.F.lit(False)).collect()
