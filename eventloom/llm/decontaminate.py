@@ -9,6 +9,10 @@ at least, so tables that list, for every block value, the items with a block val
 within the radius. Then the weighted Jaccard similarity of window and item is computed exactly, with windows of
 the item's own size at all starts up to the neighbouring windows, and the best is kept.
 
+Fingerprints of edited copies can lie outside the radius. So each item also has a *core*: its heaviest shingles that
+together weigh more than the item may lack at the threshold. Every window that reaches the threshold holds a shingle of the
+core, so the windows around the core's shingles in a document are compared as well, and none that reaches it is missed.
+
 Shingles are five words; the weight of a shingle falls with the number of items that hold it (ln(1 + items / holders),
 rounded to sixteenths), so phrases that many items share count less. Items of fewer than five words are one shingle of
 all their words.
@@ -41,6 +45,8 @@ UNITS = 16  # weights are multiples of 1 / UNITS
 LEVELS = 4  # in fingerprints, weights are rounded to so many levels
 ITEMS_AT_ONCE = 20_000
 WORDS_AT_ONCE = 150_000
+MARKS = 22  # leading bits of shingles by which most that are in no core are told
+EPSILON = 1e-6
 RESULT = "doc_id bigint, item_id bigint, similarity double, first_word bigint, n_words bigint, distance int"
 
 
@@ -53,6 +59,8 @@ class Size:
     items: list[int] = field(default_factory=list)
     shingles: list[dict[int, int]] = field(default_factory=list)  # of each item: hash to number
     prints: list[int] = field(default_factory=list)
+    weights: list[dict[int, int]] = field(default_factory=list)  # of each item: shingle to weight
+    totals: list[int] = field(default_factory=list)  # weight of each item
 
     def index(self) -> None:
         """For every block and value, the items whose block differs in at most RADIUS // BLOCKS bits."""
@@ -91,10 +99,20 @@ class Items:
             size.items.append(item)
             size.counts.append(len(hashes))
             size.shingles.append(dict(zip(values.tolist(), counts.tolist(), strict=True)))
+            weights = self.weigh(values)
+            size.weights.append(dict(zip(values.tolist(), weights.tolist(), strict=True)))
+            size.totals.append(int((weights * counts).sum()))
             sums = running(hashes, self.levels(hashes), 64)
             size.prints.append(int(fingerprints(sums, np.array([0]), np.array([len(hashes)]))[0]))
         for size in self.sizes:
             size.index()
+        self.cores: dict[tuple[int, float], Cores] = {}
+
+    def core(self, width: int, threshold: float) -> Cores:
+        """The cores of all items whose shingles have `width` words; made once in a worker."""
+        if (width, threshold) not in self.cores:
+            self.cores[width, threshold] = Cores([(n, s) for n, s in enumerate(self.sizes) if s.width == width], threshold)
+        return self.cores[width, threshold]
 
     @staticmethod
     def _round(weight: float) -> int:
@@ -109,7 +127,49 @@ class Items:
         return out
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        return np.maximum(1, np.rint(self.weigh(hashes) * LEVELS / self.heaviest)).astype(np.int64)
+        return self.rounded(self.weigh(hashes))
+
+    def rounded(self, weights: np.ndarray) -> np.ndarray:
+        return np.maximum(1, np.rint(weights * LEVELS / self.heaviest)).astype(np.int64)
+
+
+class Cores:
+    """For shingles of items' cores, the (number of size, item) that have them."""
+
+    def __init__(self, sizes: list[tuple[int, Size]], threshold: float):
+        listed = []
+        for n, size in sizes:
+            for i, (weights, counts, total) in enumerate(zip(size.weights, size.shingles, size.totals, strict=True)):
+                chosen = 0
+                for h, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+                    listed.append((h, n, i))
+                    chosen += w * counts[h]
+                    if chosen > total - threshold * total + EPSILON:
+                        break
+        listed.sort()
+        every = np.array([h for h, _, _ in listed], np.uint64)
+        self.hashes, self.starts, self.counts = np.unique(every, return_index=True, return_counts=True)
+        self.size, self.item = (np.array([x[k] for x in listed], np.int64) for k in (1, 2))
+        self.marked = np.zeros(1 << MARKS, bool)
+        self.marked[(self.hashes >> np.uint64(64 - MARKS)).astype(np.int64)] = True
+
+    def spots(self, sizes: list[Size], hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(size, item, text, first, last): places of an item's core in a text that are less than an item apart from the next."""
+        place = np.flatnonzero(self.marked[(hashes >> np.uint64(64 - MARKS)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[place]), len(self.hashes) - 1)
+        met = self.hashes[at] == hashes[place]
+        place, at = place[met], at[met]
+        counts = self.counts[at]
+        row = np.repeat(self.starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        place, size, item = np.repeat(place, counts), self.size[row], self.item[row]
+        order = np.lexsort((place, item, size))
+        place, size, item = place[order], size[order], item[order]
+        text = np.searchsorted(offsets, place, "right") - 1
+        whole = np.array([max(s.counts, default=0) for s in sizes])[size]
+        new = (np.diff(size) != 0) | (np.diff(item) != 0) | (np.diff(text) != 0) | (np.diff(place) >= whole[1:])
+        edges = np.flatnonzero(np.concatenate([[True], new, [True]])) if len(place) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield int(size[a]), int(item[a]), int(text[a]), int(place[a]), int(place[b - 1])
 
 
 def running(hashes: np.ndarray, weights: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,15 +219,18 @@ def near(size: Size, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return window, item, np.bitwise_count(prints[window] ^ own[item])
 
 
-def _window_starts(size: Size, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first shingle, end) of every window of this size; shingle numbers are those of the whole group."""
+def _window_starts(size: Size, offsets: np.ndarray, weights: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first shingle, end) of every window of this size; shingle numbers are those of the whole group.
+
+    A shorter text is one window, if it weighs enough to reach the threshold with the lightest item (`weights` are running sums).
+    """
     have, whole = np.diff(offsets), size.count
     step = size.step
     regular = np.where(have >= whole, (have - whole) // step + 1, 0)
     text = np.repeat(np.arange(len(have)), regular)
     first = (np.arange(len(text)) - np.repeat(np.cumsum(regular) - regular, regular)) * step + offsets[:-1][text]
     tail = np.flatnonzero((have >= whole) & ((have - whole) % step != 0))
-    short = np.flatnonzero((have < whole) & (have >= THRESHOLD * whole * 0.5))
+    short = np.flatnonzero((have < whole) & (have > 0) & (np.diff(weights[offsets]) >= threshold * min(size.totals) - EPSILON))
     return (
         np.concatenate([text, tail, short]),
         np.concatenate([first, offsets[tail + 1] - whole, offsets[short]]),
@@ -214,36 +277,51 @@ def _find(items: Items, words: Words, threshold: float) -> dict[tuple[int, int],
     best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
     for width in sorted({s.width for s in items.sizes}):
         hashes, offsets = shingles(words, width)
-        levels = items.levels(hashes)
+        own_weights = items.weigh(hashes)
+        levels, weights = items.rounded(own_weights), np.concatenate([[0], np.cumsum(own_weights)])
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        tried: set[tuple[int, int, int]] = set()
+
+        def compare(size: Size, i: int, t: int, low: int, high: int, bits: int | None, hashes=hashes, offsets=offsets, tried=tried, width=width, levels=levels) -> None:
+            """Compare an item with the windows of its size that start from `low` to `high`, as far as the text goes."""
+            whole, begin, over = size.counts[i], int(offsets[t]), int(offsets[t + 1])
+            low = max(low, begin)
+            high = max(min(high, over - whole), low)
+            weights, needed = size.weights[i], threshold * size.totals[i] - EPSILON
+            shared = np.array([weights.get(h, 0) for h in hashes[low : min(high + whole, over)].tolist()], np.int64)
+            if shared.sum() < needed:  # cannot reach the threshold whatever the start
+                return
+            reached = np.concatenate([[0], np.cumsum(shared)])
+            starts = np.arange(low, high + 1)
+            most = reached[np.minimum(starts + whole, over) - low] - reached[starts - low]
+            for start in starts[most >= needed].tolist():
+                if (start, id(size), i) in tried:
+                    continue
+                tried.add((start, id(size), i))
+                stop = min(start + whole, over)
+                found = weighted_similarity(hashes[start:stop], size.shingles[i], items.weigh)
+                key = (t, size.items[i])
+                if found >= threshold and (key not in best or (-found, start - begin) < (-best[key][0], best[key][1])):
+                    far = bits
+                    if far is None:
+                        own = fingerprints(running(hashes[start:stop], levels[start:stop], 64), np.array([0]), np.array([stop - start]))
+                        far = int(np.bitwise_count(own ^ np.uint64(size.prints[i]))[0])
+                    best[key] = (found, start - begin, stop - start + width - 1, far)
+
         for size in items.sizes:
             if size.width != width or not len(hashes):
                 continue
             digits = next((d for d in (8, 16) if size.count * LEVELS < 1 << d), 64)
             if digits not in sums:
                 sums[digits] = running(hashes, levels, digits)
-            text, first, end = _window_starts(size, offsets)
+            text, first, end = _window_starts(size, offsets, weights, threshold)
             window, item, distance = near(size, fingerprints(sums[digits], first, end))
-            tried: set[tuple[int, int]] = set()
             for w, i, bits in zip(window.tolist(), item.tolist(), distance.tolist(), strict=True):
-                t, whole = int(text[w]), size.counts[i]
-                begin, over = int(offsets[t]), int(offsets[t + 1])
-                slack = size.step - 1 + abs(whole - size.count)
-                low = max(int(first[w]) - slack, begin)
-                high = max(min(int(first[w]) + slack, over - whole), low)
-                inside = sum(1 for h in hashes[low : min(high + whole, over)].tolist() if h in size.shingles[i])
-                if 2 * inside < whole * threshold:  # cannot reach the threshold whatever the start
-                    continue
-                for start in range(low, high + 1):
-                    if (start, i) in tried:
-                        continue
-                    tried.add((start, i))
-                    stop = min(start + whole, over)
-                    found = weighted_similarity(hashes[start:stop], size.shingles[i], items.weigh)
-                    value = (found, start - begin, stop - start + width - 1, bits)
-                    key = (t, size.items[i])
-                    if found >= threshold and (key not in best or (-found, value[1]) < (-best[key][0], best[key][1])):
-                        best[key] = value
+                slack = size.step - 1 + abs(size.counts[i] - size.count)
+                compare(size, i, int(text[w]), int(first[w]) - slack, int(first[w]) + slack, bits)
+        if len(hashes):
+            for n, i, t, low, high in items.core(width, threshold).spots(items.sizes, hashes, offsets):
+                compare(items.sizes[n], i, t, low - items.sizes[n].counts[i] + 1, high, None)
     return best
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from eventloom.llm import ann, decontaminate, jaccard, page_text
+from eventloom.llm.words import hash_words, shingles
 
 
 def words_of(text):
@@ -149,6 +150,26 @@ def test_near_passages_reach_the_threshold_and_others_do_not():
             assert abs(found[n, 1][0] - expected) < 1e-9
 
 
+def test_short_texts_and_edited_copies_are_judged_by_weights():
+    words = [f"c{k}" for k in range(65)] + [f"own{k}" for k in range(39)]
+    common = shingles(hash_words([" ".join(words[:65])]))[0].tolist()
+    items = decontaminate.Items([(1, " ".join(words))], dict.fromkeys(common, 200), 200)
+    held = items.sizes[0].shingles[0]
+    noise = [f"n{k}" for k in range(80)]
+    edited = list(words)
+    for k in (5, 15, 25, 35, 45, 55):
+        edited[k] = "changed"
+    texts = [" ".join(x) for x in (words[-43:], words[-40:], noise + words[-43:] + noise, noise + edited + noise, noise)]
+    want = {}
+    for n, text in enumerate(texts):
+        own = shingles(hash_words([text]))[0]
+        values = [decontaminate.weighted_similarity(own[k : k + 100], held, items.weigh) for k in range(max(0, len(own) - 100) + 1)]
+        if max(values) >= decontaminate.THRESHOLD:
+            want[n, 1] = (max(values), values.index(max(values)))
+    assert {k: v[:2] for k, v in decontaminate.find(items, texts).items()} == want
+    assert {(0, 1), (3, 1)} >= set(want) and (0, 1) in want
+
+
 def test_all_fingerprints_within_the_radius_are_found():
     rng = np.random.default_rng(2)
     size = decontaminate.Size(5, counts=[30] * 20, items=list(range(20)), prints=[int(x) for x in rng.integers(0, 1 << 63, 20)])
