@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -215,13 +216,15 @@ def describe(root: Node) -> tuple[list[Node], np.ndarray]:
             own = [max(a, b) if i == 5 else a + b for i, (a, b) in enumerate(zip(own, below, strict=True))]
         info[id(node)] = own
     rows, above = [], {id(root): (0, 0, 0, 0, 0)}
+    places = {id(child): place for node in order for place, child in enumerate(node.children)}
+    tags_of = {id(node): Counter(child.tag for child in node.children) for node in order if node.children}
     for node in order[1:]:
         chars, words, links, tags, blocks, longest, stops, paragraphs, only = info[id(node)]
         depth, good, bad, main, boiler = above[id(node.parent)]
         tokens = node.tokens()
         own_good, own_bad = len(tokens & GOOD), len(tokens & BAD)
         siblings = node.parent.children
-        place = next(i for i, x in enumerate(siblings) if x is node) if len(siblings) < 50 else 0
+        place = places[id(node)]
         of_parent = max(1, info[id(node.parent)][0])
         hidden = bool(HIDDEN.search(node.attrs)) if node.attrs else False
         is_main, is_boiler = node.tag in ("article", "main"), node.tag in BOILERPLATE_TAGS
@@ -232,7 +235,7 @@ def describe(root: Node) -> tuple[list[Node], np.ndarray]:
             [
                 np.log1p(chars), np.log1p(words), links / max(1, chars), tags / max(1, words), blocks, chars / max(1, blocks),
                 np.log1p(longest), stops / max(1, words), paragraphs, only / max(1, blocks), chars / page, starts[id(node)] / page,
-                chars / of_parent, depth, len(siblings), place / len(siblings), sum(x.tag == node.tag for x in siblings[:50]) / min(50, len(siblings)),
+                chars / of_parent, depth, len(siblings), place / len(siblings), tags_of[id(node.parent)][node.tag] / len(siblings),
                 own_good, own_bad, good, bad, main + is_main, boiler + is_boiler + header, is_main, is_boiler, header, heading,
                 node.tag in ("p", "blockquote", "pre"), node.tag in ("li", "ul", "ol", "dl", "dt", "dd"), node.tag in ("div", "section"),
                 node.tag in ("table", "tr", "td", "th", "tbody"), node.tag == "#text", hidden, len(node.children),

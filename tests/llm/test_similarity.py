@@ -269,3 +269,11 @@ def test_parser_and_decoding():
     assert page_text.decode(order, odds) == ["x", "y"]
     deep = page_text.parse("<div>" * 3000 + "text")
     assert page_text.decode(*[x if i == 0 else np.ones(len(x)) for i, x in enumerate(page_text.describe(deep))]) == ["text"]
+
+
+def test_places_among_many_siblings():
+    order, rows = page_text.describe(page_text.parse("".join(f"<p>{'a' * (k + 1)}</p>" for k in range(60)) + "".join(f"<div>{'b' * (k + 1)}</div>" for k in range(40))))
+    assert len(rows) == 100 and [n.tag for n in order[1:]] == ["p"] * 60 + ["div"] * 40
+    assert np.allclose(rows[:, 15], np.arange(100) / 100)
+    assert np.allclose(rows[:, 16], [0.6] * 60 + [0.4] * 40)
+    assert np.isclose(rows[70, 34], 12 / 11) and np.isclose(rows[70, 35], 10 / 11)
