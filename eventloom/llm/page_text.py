@@ -380,22 +380,28 @@ def _walk(root: Node) -> Iterator[Node]:
         todo.extend(reversed(node.children))
 
 
+def sample_pages(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES) -> DataFrame:
+    """(part, html): the `sample` different pages of least hash, or all, in eight arrays; copies of a page count once.
+
+    Pages are collected in sets within the tasks already, so a page of many rows is moved at most once a task.
+    """
+    rows = pages.select(text_of(html_col).alias("html")).filter("html <> ''").withColumn("key", F.xxhash64("html"))
+    chosen = [r.key for r in rows.select("key").distinct().orderBy("key").limit(sample).collect()]
+    part = F.pmod(F.xxhash64("html", F.lit(1)), F.lit(8)).alias("part")
+    return rows.filter(F.col("key").isin(chosen)).groupBy(part).agg(F.collect_set("html").alias("html"))
+
+
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES) -> trees.Ensemble:
-    """Fit the trees on at most about `sample` pages (by a hash of the html); an empty table trains on two sentences."""
+    """Fit the trees on at most `sample` different pages (by a hash of the html); an empty table trains on two sentences."""
     small_batches(pages)
-    total = pages.count()
-    rows = pages.select(text_of(html_col).alias("html")).filter("html <> ''")
-    part = F.pmod(F.xxhash64("html"), F.lit(1_000_000))
-    rows = rows.filter(part < 1_000_000 * sample // total) if total > sample else rows
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("html", F.lit(1)), F.lit(8)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        pages = sorted(frame["html"])
+        pages = sorted(page for listed in frame["html"] for page in listed)
         made, labels = training_rows(pages, int(frame["part"].iloc[0]))
         return pd.DataFrame({"features": list(made), "label": labels})
 
     shape = "features array<double>, label double"
-    table = rows.groupBy("part").applyInPandas(run, shape)
+    table = sample_pages(pages, html_col, sample).groupBy("part").applyInPandas(run, shape)
     table = written(table, "page-nodes")
     if table.isEmpty():
         made, labels = training_rows([], 0)

@@ -277,3 +277,13 @@ def test_places_among_many_siblings():
     assert np.allclose(rows[:, 15], np.arange(100) / 100)
     assert np.allclose(rows[:, 16], [0.6] * 60 + [0.4] * 40)
     assert np.isclose(rows[70, 34], 12 / 11) and np.isclose(rows[70, 35], 10 / 11)
+
+
+def test_pages_to_learn_from_are_different(spark):
+    hot = "<p>a page of very many rows</p>"
+    rows = [(hot,)] * 400 + [(f"<p>page {k}</p>",) for k in range(60)] * 2 + [(None,), ("",)]
+    table = spark.createDataFrame(rows, "html string")
+    for sample, most in ((20, 20), (1000, 61)):
+        listed = [page for r in page_text.sample_pages(table, sample=sample).collect() for page in r.html]
+        assert len(listed) == len(set(listed)) == most
+    assert page_text.sample_pages(table.limit(0)).collect() == []
