@@ -36,9 +36,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
+    """Token ids of each document, with their number and digests."""
     vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.digests(bpe.encode(docs, vocabulary, raw=True))
+    return bpe.digests(bpe.encode(docs, vocabulary, raw=True), "ids")
 
 
 STAGES = [

@@ -230,12 +230,16 @@ def decoded(vocabulary: Vocabulary, ids: Column) -> Column:
     return run(ids)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Per document of `encode(..., raw=True)` the number of ids, and the SHA-256 of the ids as text and of the decoded bytes."""
+def digests(encoded: DataFrame, *kept: str) -> DataFrame:
+    """Per document of `encode(..., raw=True)` the number of ids, and the SHA-256 of the ids as text and of the decoded bytes.
+
+    The columns named by `kept` come after them.
+    """
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return encoded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(ids, 256).alias("ids_sha256"),
         F.sha2("raw", 256).alias("decoded_sha256"),
+        *kept,
     )

@@ -6,8 +6,9 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 import __spark_entry__  # noqa: E402
 import oracle  # noqa: E402
+import public_tokenizers  # noqa: E402
 
-from eventloom.llm import decontaminate, jaccard, queries, secret_scan  # noqa: E402
+from eventloom.llm import bpe, decontaminate, jaccard, queries, secret_scan  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -31,6 +32,15 @@ def test_stages(spark):
     assert last.count() == before.count()
 
 
+def test_last_stage_holds_the_ids(spark):
+    texts = {1: "one two three", 2: "", 3: "é😀 " * 6000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = corpus_pipeline.token_ids(spark, docs, SMALL).collect()
+    assert {r.doc_id: vocabulary.codec().decode(r.ids).decode() for r in rows} == texts
+    assert all(len(r.ids) == r.n_tokens for r in rows)
+
+
 def test_every_operator_is_registered():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names
