@@ -10,8 +10,9 @@
    band in which it meets, so it counts once.
 4. What is left is verified on the exact shingle sets; the texts are sent only to the units that need them.
    Joins that move texts or bands are merge joins at every size: both sides grow with the table.
-5. Links are counted per class inside the units, and linked classes get one id by minimum-label propagation. Pairs are
-   never written one by one.
+5. Links are counted per class inside the units, and linked classes get one id by minimum-label propagation. Verified
+   links are never written pair by pair; pairs that survive pruning are, as lists of partner ids (8 bytes an id), so what
+   is written grows with the square of a group of near copies. A unit is bounded by rows, not by characters.
 """
 
 from __future__ import annotations
