@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import ann, bpe, decontaminate, jaccard, licenses, lm, page_text, records, secret_scan, toxicity
+from eventloom.llm import ann, bpe, decontaminate, hyperminhash, jaccard, licenses, lm, page_text, records, secret_scan, toxicity, treap, whitening
 from eventloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,18 @@ def join_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_join(read(spark, folder, "documents"))
 
 
+def rank_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return treap.rank(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return hyperminhash.near_duplicates(read(spark, folder, "documents"))
+
+
+def whiten_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": score_language_model,
     "op2_html_extraction": extract_main_text,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Query] = {
     "op8_license_scans": find_licenses,
     "op9_byte_bpe": byte_bpe,
     "op10_ngram_jaccard_join": join_ngrams,
+    "op11_ranked_search": rank_documents,
+    "op12_minhash_near_dedup": near_duplicates,
+    "op13_embedding_whitening": whiten_embeddings,
 }
 
 
@@ -98,4 +113,50 @@ def _secrets_sql() -> str:
         FROM docs LEFT JOIN told USING (rid)"""
 
 
-SQL: dict[str, str] = {"op4_secret_scans": _secrets_sql(), "op8_license_scans": licenses.scan_sql()}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _ranked_sql() -> str:
+    terms = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {terms} AS terms FROM documents),
+        sized AS (SELECT rid, doc_id, len(terms) AS n FROM docs WHERE len(terms) > 0),
+        stats AS (SELECT count(*) AS total, sum(n)::BIGINT AS length FROM sized),
+        tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(terms) AS term FROM docs) GROUP BY ALL),
+        asked AS (SELECT row_number() OVER () AS iid, item_id, {terms} AS terms FROM benchmark),
+        wanted AS (SELECT iid, term, count(*) AS times FROM (SELECT iid, unnest(terms) AS term FROM asked) GROUP BY ALL),
+        held AS (SELECT term, count(*) AS df FROM tf SEMI JOIN wanted USING (term) GROUP BY term),
+        weights AS (SELECT term, floor(1000 * ln((2 * total + 2) / (2 * df + 1)))::BIGINT AS w FROM held, stats),
+        lengths AS (SELECT rid, doc_id, 75 + (25 * n * total) // length AS m FROM sized, stats),
+        scored AS (SELECT iid, rid, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+            FROM wanted JOIN weights USING (term) JOIN tf USING (term) JOIN lengths USING (rid) GROUP BY iid, rid),
+        ranked AS (SELECT iid, doc_id, score, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank
+            FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked JOIN asked USING (iid) WHERE rank <= {treap.TOP}"""
+
+
+def _near_sql() -> str:
+    width = hyperminhash.WIDTH
+    words = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+    return f"""WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS words FROM documents),
+        sets AS (SELECT rid, doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(
+            range(greatest(len(words) - {width - 1}, 1)), lambda i: array_to_string(words[i + 1 : i + {width}], ' ')))) END AS shingles FROM docs),
+        classes AS (SELECT shingles, min(rid) AS id, len(shingles) AS n FROM sets WHERE len(shingles) > 0 GROUP BY shingles),
+        held AS (SELECT id, unnest(shingles) AS shingle FROM classes),
+        common AS (SELECT a.id AS a, b.id AS b, count(*) AS same FROM held a JOIN held b ON a.shingle = b.shingle AND a.id < b.id GROUP BY ALL),
+        links AS (SELECT a, b FROM common JOIN classes x ON x.id = a JOIN classes y ON y.id = b
+            WHERE 100 * same >= {hyperminhash.PERCENT} * (x.n + y.n - same)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT id AS a, id AS b FROM classes UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+        rows AS (SELECT sets.doc_id, sets.rid, len(sets.shingles) AS n, classes.id FROM sets LEFT JOIN classes USING (shingles)),
+        least AS (SELECT reach.a AS id, min(rows.doc_id) AS doc_id FROM reach JOIN rows ON rows.id = reach.b GROUP BY ALL),
+        told AS (SELECT rows.doc_id, n::BIGINT AS n_shingles, CASE WHEN n > 0 THEN least.doc_id ELSE rows.doc_id END AS component_id
+            FROM rows LEFT JOIN least USING (id))
+        SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM told"""
+
+
+SQL: dict[str, str] = {
+    "op4_secret_scans": _secrets_sql(),
+    "op8_license_scans": licenses.scan_sql(),
+    "op11_ranked_search": _ranked_sql(),
+    "op12_minhash_near_dedup": _near_sql(),
+}

@@ -126,3 +126,26 @@ def shingles(words: Words, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.n
 def sorted_sets(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Each text's distinct shingles in ascending order."""
     return [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+@functools.cache
+def _term_characters() -> np.ndarray:
+    """ASCII letters and digits and everything above ASCII."""
+    table = np.ones(0x110000, bool)
+    table[:0x80] = [chr(c).isalnum() for c in range(0x80)]
+    return table
+
+
+def ascii_lower(text: str) -> str:
+    """The text with A-Z, and nothing else, lower-cased."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def hash_terms(texts: Sequence[str]) -> Words:
+    """Runs of ASCII letters and digits and of anything above ASCII, A-Z lower-cased."""
+    return _hash_words([ascii_lower(t) for t in texts], _term_characters())
+
+
+def hash_folded_tokens(texts: Sequence[str]) -> Words:
+    """White-space separated tokens, A-Z lower-cased."""
+    return _hash_words([ascii_lower(t) for t in texts], _is_space())

@@ -44,7 +44,7 @@ def test_last_stage_holds_the_ids(spark):
 def test_every_operator_is_registered():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names
-    for number in range(1, 11):
+    for number in range(1, 14):
         assert sum(n.startswith(f"op{number}_") for n in names) == 1
 
 
