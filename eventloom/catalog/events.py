@@ -123,7 +123,7 @@ def calculate_age_without_birth_rows(spark, folder):
     WHERE code LIKE 'SIGNUP//%' GROUP BY 1) b USING (subject_id)""")
 def first_matching_time_over_subject(spark, folder):
     timeline = lay_out(prefixed(spark, folder), ["subject_id"], ["time"])
-    births = t.birth_times(timeline.df, "SIGNUP")
+    births = t.birth_times(timeline.rows(), "SIGNUP")
     return timeline.attach(births).rows().select("event_id", "birth_time")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import unicode_regex
-from eventloom.plans.timeline import Run, lay_out, slices_needed, written
+from eventloom.plans.timeline import Layout, Run, lay_out, layout_of, written
 
 UNITS = {"h": 3600, "hour": 3600, "hours": 3600, "d": 86400, "day": 86400, "days": 86400, "m": 60, "min": 60, "minutes": 60}
 
@@ -51,20 +51,20 @@ class History:
     """Predicate counts per subject and time, with the layout decided once for all lookups."""
 
     counts: DataFrame
-    slices: int
+    layout: Layout
 
     @classmethod
     def of(cls, counts: DataFrame) -> History:
         """The counts are read once per lookup, so they are written first: the events are scanned a single time."""
         counts = written(counts, "predicates")
-        return cls(counts, slices_needed(counts, ["subject_id"]))
+        return cls(counts, layout_of(counts, ["subject_id"]))
 
     def _union(self, values: dict[str, Column], probes: DataFrame):
         """Event rows (`__kind` 0) and probe rows of a subject in time order."""
         events = self.counts.select("subject_id", F.col("time").alias("__time"), F.lit(0).alias("__kind"), *(
             v.alias(k) for k, v in values.items()))
         both = events.unionByName(probes, allowMissingColumns=True)
-        return lay_out(both, ["subject_id"], ["__time", "__kind"], self.slices)
+        return lay_out(both, ["subject_id"], ["__time", "__kind"], self.layout)
 
     def next_time(self, points: DataFrame, start: str, predicate: str, name: str) -> DataFrame:
         """Add the first time strictly after `start` at which the predicate holds; null if there is none."""
@@ -72,7 +72,7 @@ class History:
         probes = points.select("subject_id", F.col(start).alias("__time"), F.lit(1).alias("__kind"), payload.alias("__row"))
         hit = F.when(F.col(predicate) > 0, F.col("time"))
         line = self._union({"__hit": hit}, probes).run(reverse=True, **{name: Run("min", F.col("__hit"))})
-        return line.df.filter("__kind = 1").select("__row.*", name)
+        return line.rows().filter("__kind = 1").select("__row.*", name)
 
     def count_between(
         self, points: DataFrame, start: str | None, end: str, predicate: str, name: str, inclusive=(True, True)
@@ -94,7 +94,7 @@ class History:
         )
         line = self._union({"__n": F.col(predicate)}, probes).run(__seen=Run("sum", F.col("__n")))
         signed = F.coalesce(F.col("__seen"), F.lit(0)) * F.col("__sign")
-        sides_seen = line.df.filter("__kind != 0").select("__row.*", signed.alias("__signed"))
+        sides_seen = line.rows().filter("__kind != 0").select("__row.*", signed.alias("__signed"))
         return sides_seen.groupBy(*points.columns).agg(F.sum("__signed").alias(name))
 
 
@@ -229,7 +229,7 @@ def label_cohorts(events: DataFrame, specs: Mapping[str, Mapping]) -> DataFrame:
     for task, spec in specs.items():
         if task not in together:
             columns = [F.col(f"{task}__{name}").alias(name) for name in spec["predicates"]]
-            history = History(shared.counts.select("subject_id", "time", *columns), shared.slices)
+            history = History(shared.counts.select("subject_id", "time", *columns), shared.layout)
             points = history.counts.filter(F.col(spec["trigger"]) > 0).select("subject_id", F.col("time").alias("trigger"))
             tables.append(_label(history, points, spec).select(F.lit(task).alias("task"), "*"))
     out = tables[0]
@@ -243,7 +243,7 @@ def _label_together(history: History, windows: Mapping[str, Windows], triggers:
     tasks = list(windows)
     ends = {f"{task}__{value}" for task in tasks for _, kind, _, value in windows[task].steps if kind == "next"}
     runs = {f"__next_{p}": Run("min", F.when(F.col(p) > 0, F.col("time")), strict=True) for p in sorted(ends)}
-    line = lay_out(history.counts, ["subject_id"], ["time"], history.slices)
+    line = lay_out(history.counts, ["subject_id"], ["time"], history.layout)
     rows = (line.run(reverse=True, **runs) if runs else line).rows()
     entries = []
     for number, task in enumerate(tasks):

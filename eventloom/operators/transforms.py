@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import numbers, text, times
-from eventloom.plans.timeline import Timeline, lay_out
+from eventloom.plans.timeline import Layout, Timeline, lay_out
 
 Pattern = str | Mapping[str, str]
 
@@ -162,12 +162,14 @@ def calculate_age(
         births = birth_times(events, birth_prefix, order)
         aged = with_ages(events.join(births, "subject_id", "left"))
         return aged.filter(F.col("prefix") != birth_prefix) if drop_birth_rows else aged
-    if events.sliced:
-        timed = events.attach(birth_times(events.df, birth_prefix, events.order))
-    else:
-        first = F.min_by("time", F.when(F.col("prefix") == birth_prefix, _rank(events.order)))
-        timed = events.pipe(lambda df: df.withColumn("birth_time", first.over(Window.partitionBy("subject_id"))))
-    aged = timed.pipe(with_ages)
+
+    def timed(part: Timeline) -> Timeline:
+        if part.sliced:
+            return part.attach(birth_times(part.df, birth_prefix, part.order))
+        first = F.min_by("time", F.when(F.col("prefix") == birth_prefix, _rank(part.order)))
+        return part.pipe(lambda df: df.withColumn("birth_time", first.over(Window.partitionBy("subject_id"))))
+
+    aged = events.each(timed).pipe(with_ages)
     return aged.pipe(lambda df: df.filter(F.col("prefix") != birth_prefix)) if drop_birth_rows else aged
 
 
@@ -185,18 +187,18 @@ def order_events(
     prefixes: Sequence[str],
     column: str = "code",
     tie_breakers: Sequence[str] = (),
-    slices: int | None = None,
+    layout: Layout | None = None,
 ) -> Timeline:
     """Order events per subject and number them in `event_seq`.
 
-    Keys: time, priority of the category, code, number, text; ascending, nulls last. `slices` is the layout when it is
+    Keys: time, priority of the category, code, number, text; ascending, nulls last. `layout` is given when it is
     known already.
     """
     if not prefixes:
         raise ValueError("prefixes must not be empty")
     ranked = df.withColumn("__priority", priority(F.col(column), prefixes))
-    timeline = lay_out(ranked, ["subject_id"], EVENT_ORDER, slices, tie_breakers).numbered("event_seq")
-    return Timeline(timeline.df.drop("__priority"), ("subject_id",), ("event_seq",), timeline.sliced)
+    timeline = lay_out(ranked, ["subject_id"], EVENT_ORDER, layout, tie_breakers).numbered("event_seq")
+    return timeline.pipe(lambda d: d.drop("__priority")).ordered_by("event_seq")
 
 
 def globally_sorted(df: DataFrame) -> DataFrame:

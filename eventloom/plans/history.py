@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from eventloom.operators import transforms as t
 from eventloom.operators.narrative import labelled_subjects, narratives
-from eventloom.plans.timeline import Timeline, slices_needed, written
+from eventloom.plans.timeline import Timeline, layout_of, written
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -84,8 +84,8 @@ def clean_events(
     ]
     # stored once: sizing and ordering would each run the whole extraction behind `df` otherwise
     cleaned = written(apply_stages(df, stages), "clean-events")
-    slices = slices_needed(cleaned, ["subject_id"])
-    return t.order_events(cleaned, order_prefixes, tie_breakers=tie_breakers, slices=slices)
+    layout = layout_of(cleaned, ["subject_id"])
+    return t.order_events(cleaned, order_prefixes, tie_breakers=tie_breakers, layout=layout)
 
 
 def text_stages(
@@ -124,5 +124,5 @@ def text_dataset(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Ordered events and labels to one text per label; subjects without labels are removed before any rendering."""
-    wanted = events.pipe(lambda df: labelled_subjects(df, labels)) if not events.sliced else events
+    wanted = events.pipe_whole(lambda df: labelled_subjects(df, labels))
     return narratives(text_events(wanted, stages, birth_prefix), labels, keep)

@@ -1,12 +1,16 @@
 """Ordered, per-key computation that survives keys of any size.
 
 A plain window over ``partitionBy(key)`` puts every row of a key in one task. That is the best plan while keys are
-small, and it fails when one key holds a large share of the table. A `Timeline` picks between two layouts:
+small, and it fails when one key holds a large share of the table. A `Timeline` keeps the two kinds of keys apart:
 
 * **whole keys**: nothing is added; windows partition by the key alone, one hash exchange.
-* **sliced**: the rows are range-partitioned on (key, order columns), written once to the shared scratch folder, and
-  every row remembers the number of its partition (`SLICE`). Windows then run per (key, slice), so a task never holds
-  more than one range partition of a key, and the running state is carried from slice to slice.
+* **sliced keys**, the few with more rows than `spark.eventloom.maxRowsPerKey`: their rows are range-partitioned on (key,
+  order columns), written once to the shared scratch folder, and every row remembers the number of its partition (`SLICE`).
+  Windows then run per (key, slice), so a task never holds more than one range partition of a key, and the running state is
+  carried from slice to slice.
+
+One hot key therefore changes nothing for all others: they are neither written nor range-partitioned, and the results of
+both parts are put together at the end. A computation without key (a global ranking) is sliced as a whole when it is large.
 
 The carry is small by construction: in range order a slice can continue at most one key from the slice before it, so the
 table of carries has at most one row per slice. That bound is what makes broadcasting it safe.
@@ -78,21 +82,40 @@ def join_measured(df: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(stored) if small else stored, on, "left")
 
 
-def slices_needed(df: DataFrame, by: Sequence[str]) -> int:
-    """0 when every key fits one task, else the number of slices for the whole table.
+@dataclass(frozen=True)
+class Layout:
+    """How rows are laid out: the number of slices, and the keys that are sliced (None: all rows)."""
+
+    slices: int = 0
+    hot: DataFrame | None = None
+
 
-    Reads only the key columns and counts before the shuffle; two numbers reach the driver.
+def layout_of(df: DataFrame, by: Sequence[str]) -> Layout:
+    """The layout that a table needs: no slices when every key fits one task.
+
+    Reads only the key columns and counts before the shuffle; two numbers reach the driver. Hot keys, of which there are
+    at most as many as the rows divided by the bound, are stored as a table.
     """
-    spark = df.sparkSession
+    spark, bound = df.sparkSession, max_rows_per_key(df.sparkSession)
     if by:
-        counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-        largest, total = counts.agg(F.max("n"), F.sum("n")).first()
+        counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+        rows = counts.agg(F.sum(F.when(F.col("__n") > bound, F.col("__n")))).first()[0] or 0
     else:
-        largest = total = df.count()
-    if (largest or 0) <= max_rows_per_key(spark):
-        return 0
-    rows = int(spark.conf.get(SLICE_ROWS_CONF, str(DEFAULT_SLICE_ROWS)))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-total // rows))
+        rows = df.count()
+        rows = rows if rows > bound else 0
+    if not rows:
+        return Layout()
+    size = int(spark.conf.get(SLICE_ROWS_CONF, str(DEFAULT_SLICE_ROWS)))
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // size))
+    return Layout(slices, written(counts.filter(F.col("__n") > bound).select(*by), "hot-keys") if by else None)
+
+
+def _hot_and_rest(df: DataFrame, by: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of hot keys and all other rows; a null key may be hot as well."""
+    keys = hot.select(*[F.col(c).alias(f"__hot_{c}") for c in by])
+    keys = F.broadcast(keys) if hot.count() <= BROADCAST_ROWS else keys
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__hot_{c}")) for c in by])
+    return df.join(keys, same, "left_semi"), df.join(keys, same, "left_anti")
 
 
 def sort_keys(order: Sequence[str], reverse: bool = False) -> list[Column]:
@@ -122,14 +145,39 @@ class Run:
 
 @dataclass(frozen=True)
 class Timeline:
+    """Rows in a layout. `hot` holds the rows of sliced keys when `df` holds those of whole keys."""
+
     df: DataFrame
     by: tuple[str, ...]
     order: tuple[str, ...]
     sliced: bool
+    hot: Timeline | None = None
+
+    def each(self, fn: Callable[[Timeline], Timeline]) -> Timeline:
+        """Apply `fn` to the whole keys and to the sliced keys, each a timeline of one layout."""
+        if self.hot is None:
+            return fn(self)
+        return replace(fn(replace(self, hot=None)), hot=fn(self.hot))
 
     def pipe(self, fn: Callable[[DataFrame], DataFrame]) -> Timeline:
         """Apply a row-wise step that keeps the key, order and slice columns."""
-        return replace(self, df=fn(self.df))
+        return self.each(lambda part: replace(part, df=fn(part.df)))
+
+    def pipe_whole(self, fn: Callable[[DataFrame], DataFrame]) -> Timeline:
+        """Apply a step that brings the rows of a key together, such as a join by key, to the whole keys only."""
+        return self if self.sliced else replace(self, df=fn(self.df))
+
+    def ordered_by(self, *order: str) -> Timeline:
+        """The same rows in the same order, which `order` now names."""
+        return self.each(lambda part: replace(part, order=order))
+
+    def parts(self) -> list[DataFrame]:
+        """The rows of whole keys and those of sliced keys, as far as there are any, without the bookkeeping column."""
+        return [self.df.drop(SLICE), *(self.hot.parts() if self.hot else [])]
+
+    def gather(self, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The union of `fn` over the parts; for aggregates whose groups lie within a key."""
+        return functools.reduce(DataFrame.unionByName, map(fn, self.parts()))
 
     @property
     def cluster(self) -> list[str]:
@@ -141,8 +189,8 @@ class Timeline:
         return spec.orderBy(*sort_keys(self.order, reverse))
 
     def rows(self) -> DataFrame:
-        """The data without the bookkeeping column."""
-        return self.df.drop(SLICE)
+        """All rows without the bookkeeping column."""
+        return self.gather(lambda df: df)
 
     def sizes(self) -> DataFrame:
         """Every (key, slice) that occurs; one row per key plus at most one per slice."""
@@ -150,6 +198,9 @@ class Timeline:
 
     def run(self, reverse: bool = False, **runs: Run) -> Timeline:
         """Add running columns."""
+        return self.each(lambda part: part._run(reverse, runs))
+
+    def _run(self, reverse: bool, runs: dict[str, Run]) -> Timeline:
         window = self.window(reverse)
         frame = window.rowsBetween(Window.unboundedPreceding, 0)
         before = window.rowsBetween(Window.unboundedPreceding, -1)
@@ -231,6 +282,9 @@ class Timeline:
         """Left-join a table with one row per key. Sliced keys are joined slice by slice, never in one task."""
         if not self.by:
             raise ValueError("attach needs a keyed timeline")
+        return self.each(lambda part: part._attach(per_key))
+
+    def _attach(self, per_key: DataFrame) -> Timeline:
         if not self.sliced:
             return replace(self, df=self.df.join(per_key, list(self.by), "left"))
         spread = self.sizes().join(per_key, list(self.by), "inner")
@@ -241,19 +295,22 @@ def lay_out(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
-    slices: int | None = None,
+    layout: Layout | None = None,
     tie_breakers: Sequence[str] = (),
 ) -> Timeline:
     """Arrange `df` for ordered computation per key.
 
-    `slices=None` decides from the size of the largest key, 0 asks for whole keys. `tie_breakers` are appended to the
-    order so that equal rows may be spread over slices as well.
+    `layout=None` decides from the sizes of the keys; a known layout of the same keys can be given. `tie_breakers` are
+    appended to the order so that equal rows may be spread over slices as well. With hot keys `df` is read for their rows
+    and for the others, so an expensive one should be stored before.
     """
     by, order = tuple(by), tuple(order) + tuple(tie_breakers)
-    if slices is None:
-        slices = slices_needed(df, by)
-    if not slices:
+    if layout is None:
+        layout = layout_of(df, by)
+    if not layout.slices:
         return Timeline(df, by, order, False)
+    few, rest = _hot_and_rest(df, by, layout.hot) if layout.hot is not None else (df, None)
     keys = [*(F.col(c).asc_nulls_last() for c in by), *sort_keys(order)]
-    placed = df.repartitionByRange(slices, *keys).withColumn(SLICE, F.spark_partition_id())
-    return Timeline(written(placed, "slices"), by, order, True)
+    placed = few.repartitionByRange(layout.slices, *keys).withColumn(SLICE, F.spark_partition_id())
+    sliced = Timeline(written(placed, "slices"), by, order, True)
+    return sliced if rest is None else Timeline(rest, by, order, False, sliced)

@@ -167,7 +167,7 @@ def test_ages(spark, layout):
     want = {f"c{i}": (y, d) for i, (_, _, _, y, d) in enumerate(BIRTHS)}
     assert {r.code: (r.age_year, r.age_day) for r in t.calculate_age(df).collect()} == want
     timeline = t.lay_out(df, ["subject_id"], ["time", "code"])
-    assert timeline.sliced == (layout == "sliced")
+    assert (timeline.hot is not None) == (layout == "sliced")
     assert {r.code: (r.age_year, r.age_day) for r in t.calculate_age(timeline).rows().collect()} == want
     kept = t.calculate_age(df, drop_birth_rows=True)
     assert kept.filter("prefix = 'Birth'").count() == 0 and kept.count() == len(BIRTHS) - 3
