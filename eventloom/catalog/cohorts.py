@@ -88,6 +88,34 @@ def all_cohorts(spark, folder):
     return cohort.label_cohorts(view(spark, folder, "hospital"), COHORTS)
 
 
+# A cohort whose windows hang on one another: departure after the arrival, ICU admission after that, and from six hours
+# later to the next arrival.
+CHAINED = {
+    "predicates": {
+        "arrival": {"code": "EMERGENCY_DEPARTMENT_REGISTRATION//ARRIVAL_TRANSPORT"},
+        "leaving": {"code": {"regex": "EMERGENCY_DEPARTMENT_DISCHARGE//DISCHARGE_LOCATION//.*"}},
+        "icu": {"code": {"regex": "ICU_ADMISSION//.*"}},
+        "discharge": {"code": {"regex": "HOSPITAL_DISCHARGE//.*"}},
+    },
+    "trigger": "arrival",
+    "windows": {
+        "stay": {"start": "trigger", "end": "start -> leaving"},
+        "ward": {"start": "stay.end", "end": "start -> icu", "index_timestamp": "end"},
+        "after": {"start": "ward.end", "end": "start + 6h"},
+        "target": {"start": "after.end", "end": "start -> arrival", "label": "discharge", "start_inclusive": False},
+    },
+}
+
+
+def next_after(rows: str, start: str, condition: str, name: str) -> str:
+    return f"""(SELECT r.*, (SELECT min(h.time) FROM {{hospital}} h WHERE h.subject_id = r.subject_id AND h.time > r.{start} AND {condition}) AS {name} FROM {rows} r)"""
+
+
+CHAIN = next_after(next_after(f"(SELECT DISTINCT subject_id, time AS t FROM {{hospital}} WHERE {ARRIVAL})", "t", LEAVING, "e"),
+                   "e", "regexp_matches(code, 'ICU_ADMISSION//.*')", "i")
+CHAIN = next_after(f"(SELECT *, i + INTERVAL 6 HOURS AS a FROM {CHAIN})", "a", ARRIVAL, "z")
+
+
 READMISSION_EVENTS = """(SELECT user_id AS subject_id, ts AS time, CASE event_type WHEN 'signup' THEN 'Hospital Admission' WHEN 'purchase' THEN 'Hospital Discharge' ELSE 'Other' END AS prefix,
     CASE event_type WHEN 'signup' THEN 'Gender F' WHEN 'purchase' THEN 'Location Home' ELSE 'Gender Location' END AS code FROM events)"""
 
@@ -103,6 +131,13 @@ def cohort_readmission_30d(spark, folder):
     return cohort.label_cohort(events, READMISSION_30D)
 
 
+@query(f"""SELECT * FROM ({ALL_LABELS}) UNION ALL SELECT 'chained', r.subject_id, i AS prediction_time, EXISTS (SELECT 1 FROM {{hospital}} h WHERE h.subject_id = r.subject_id
+    AND h.time > r.a AND h.time <= r.z AND regexp_matches(code, 'HOSPITAL_DISCHARGE//.*')) AS boolean_value, {EMPTY} FROM {CHAIN} r WHERE z IS NOT NULL""")
+def cohorts_with_chained_windows(spark, folder):
+    """The four cohorts and one whose windows start at one another's ends, labelled together level by level."""
+    return cohort.label_cohorts(view(spark, folder, "hospital"), {**COHORTS, "chained": CHAINED})
+
+
 @query("""SELECT subject_id, time, count(*) FILTER (code LIKE 'SIGNUP//%') AS signup, count(*) FILTER (regexp_matches(code, '^(ERROR|VIEW)//K1') AND text_value = '{"k": 12}') AS odd
     FROM {ev} WHERE code LIKE 'SIGNUP//%' OR (regexp_matches(code, '^(ERROR|VIEW)//K1') AND text_value = '{"k": 12}') GROUP BY 1, 2""")
 def predicate_counts(spark, folder):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.catalog.registry import query, table, view
+from eventloom.functions import draws
 from eventloom.operators import evaluate
 
 SCORED = """(SELECT CAST(boolean_value AS INT) AS label, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN (SELECT max(TRY_CAST(parsed_probability AS DOUBLE)) FROM {predictions}) > 1
@@ -91,15 +92,63 @@ def calibration_table(spark, folder):
     return rounded(rows, "prob_pred", "prob_true")
 
 
-@query()
+# --- resampling: the draws of functions/draws.py, for tables of one block and at most DIRECT_ROWS rows ---------------
+
+
+def _layer(rows: str, keep: str, expression: str, name: str) -> str:
+    return f"(SELECT {keep}{', ' if keep else ''}{expression} AS {name} FROM {rows})"
+
+
+def _mixed_sql(rows: str, keep: str, value: str, name: str) -> str:
+    for shift, by in zip(draws.SHIFTS, draws.MULTIPLIERS, strict=False):
+        rows, value = _layer(rows, keep, f"(xor({value}, {value} >> {shift}) * {by}) & {draws.MASK}", "h"), "h"
+    return _layer(rows, keep, f"xor(h, h >> {draws.SHIFTS[-1]})", name)
+
+
+def _chained_sql(rows: str, keep: str, key: str, value: str, name: str) -> str:
+    started = _layer(rows, keep, f"(xor({key}, {value}) + {draws.STEP}) & {draws.MASK}", "x")
+    return _mixed_sql(started, keep, "x", name)
+
+
+def drawn_sql(source: str, n_replicates: int, seed: int = 42) -> str:
+    """(replicate, prob, pos, neg): the cells that each replicate draws, with tp, fp, p and n of the replicate."""
+    totals = f"(SELECT sum(label)::BIGINT AS n_pos, sum(1 - label)::BIGINT AS n_neg, count(DISTINCT prob)::BIGINT AS n_cells FROM {source})"
+    seeded = _mixed_sql(f"(SELECT range AS r, {seed}::BIGINT AS s FROM range({n_replicates}))", "r", "s", "k")
+    replicate = _chained_sql(seeded, "r", "k", "r", "k")
+    classes = _chained_sql(_chained_sql(_chained_sql(replicate, "r", "k", "0", "k"), "r", "k", "0", "k"), "r", "k", "2", "k")
+    draws_of = f"(SELECT r, k, n_pos, n_neg, unnest(range(n_pos + n_neg)) AS j FROM {classes}, {totals})"
+    classed = _chained_sql(draws_of, "r, n_pos, n_neg", "k", "j", "h")
+    shares = f"(SELECT r, count(*) FILTER ((h * (n_pos + n_neg)) >> 32 < n_pos) AS pos, count(*) AS n FROM {classed} GROUP BY r)"
+    inside = _chained_sql(replicate, "r", "k", "1", "k")
+    parts = []
+    for number, (label, size, many) in enumerate([("1", "n_pos", "pos"), ("0", "n_neg", "n - pos")]):
+        keys = _chained_sql(_chained_sql(inside, "r", "k", str(number), "k"), "r", "k", "0", "k")
+        keys = _chained_sql(f"(SELECT r, k, n_cells FROM {keys}, {totals})", "r", "k", "n_cells", "k")
+        each = f"(SELECT r, k, {size} AS size, unnest(range({many})) AS j FROM {keys} JOIN {shares} USING (r), {totals})"
+        picked = f"(SELECT r, (h * size) >> 32 AS place FROM {_chained_sql(each, 'r, size', 'k', 'j', 'h')})"
+        ranked = f"(SELECT prob, row_number() OVER (ORDER BY prob DESC) - 1 AS place FROM {source} WHERE label = {label})"
+        parts.append(f"SELECT r AS replicate, prob, {label} AS label FROM {picked} JOIN {ranked} USING (place)")
+    cells = f"(SELECT replicate, prob, sum(label)::BIGINT AS pos, sum(1 - label)::BIGINT AS neg FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL)"
+    sums = f"(SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER a AS p, sum(neg) OVER a AS n FROM {cells} WINDOW w AS (PARTITION BY replicate ORDER BY prob DESC), a AS (PARTITION BY replicate))"
+    return f"(SELECT * FROM {sums} WHERE p > 0 AND n > 0)"
+
+
+def intervals_sql(source: str) -> str:
+    replicates = f"""(SELECT sum(neg * (tp - pos / 2.0::DOUBLE)) / (any_value(p)::DOUBLE * any_value(n)) AS AUROC, sum(pos * tp::DOUBLE / (tp + fp)) / any_value(p) AS AUPRC,
+        sum(pos * (1 - prob) ** 2 + neg * prob ** 2) / any_value(p + n) AS Brier FROM {drawn_sql(source, 1000)} GROUP BY replicate)"""
+    ends = f"(SELECT metric, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM (UNPIVOT {replicates} ON AUROC, AUPRC, Brier INTO NAME metric VALUE v) GROUP BY metric)"
+    return f"SELECT metric, value, round(lo, 9) AS lo, round(hi, 9) AS hi FROM ({metrics_sql(source)}) JOIN {ends} USING (metric)"
+
+
+@query(intervals_sql(SCORED))
 def bootstrap_intervals(spark, folder):
     """1,000 resamples of every metric."""
-    return evaluate.bootstrap_metrics(scored(spark, folder))
+    return rounded(evaluate.bootstrap_metrics(scored(spark, folder)), "value", "lo", "hi")
 
 
-@query()
+@query(intervals_sql(CONTINUOUS))
 def bootstrap_intervals_continuous(spark, folder):
-    return evaluate.bootstrap_metrics(continuous(spark, folder))
+    return rounded(evaluate.bootstrap_metrics(continuous(spark, folder)), "value", "lo", "hi")
 
 
 def bounds_sql(source: str) -> str:
@@ -111,7 +160,7 @@ def bounds_sql(source: str) -> str:
 def bootstrap_bounds(spark, folder):
     """Every interval holds its metric."""
     found = evaluate.bootstrap_metrics(scored(spark, folder))
-    held = (F.col("lo") <= F.col("value")) & (F.col("value") <= F.col("hi")) & (F.col("hi") - F.col("lo") < 0.5)
+    held = (F.col("lo") < F.col("value")) & (F.col("value") < F.col("hi")) & (F.col("hi") - F.col("lo") < 0.5)
     return found.select("metric", F.round("value", 6).alias("value"), held.alias("bounded"))
 
 
@@ -120,7 +169,7 @@ def bootstrap_replicates_continuous(spark, folder):
     """A thousand replicates, each of as many rows as the table, with metrics between 0 and 1."""
     rows = continuous(spark, folder)
     tables = evaluate.resampled_calibration(rows, 1000).groupBy("replicate").agg(F.sum("n").alias("n"))
-    within = F.greatest("AUROC", "AUPRC", "Brier") <= 1
+    within = F.greatest("AUROC", "AUPRC", "Brier").between(0, 1) & (F.least("AUROC", "AUPRC", "Brier") >= 0)
     return evaluate.bootstrap_replicates(rows).select("replicate", within.alias("within")).join(tables, "replicate")
 
 
@@ -129,7 +178,8 @@ def resampled_curve_shape(spark, folder):
     """Each resampled curve ends at recall 1, and sixty asked for are sixty; calibration tables hold every row."""
     rows = scored(spark, folder)
     curve = evaluate.resampled_precision_recall(rows, 60).groupBy("replicate").agg(
-        (F.abs(F.max("recall") - 1) < 1e-12).alias("full_recall"), (F.min("precision") >= 0).alias("rising")
+        (F.abs(F.max("recall") - 1) < 1e-12).alias("full_recall"),
+        (F.max_by("recall", "threshold") == F.min("recall")).alias("rising"),
     )
     drawn = evaluate.resampled_calibration(rows, 60).groupBy("replicate").agg(F.sum("n").alias("n_drawn"))
     return curve.join(drawn, "replicate")
@@ -143,16 +193,28 @@ def roc_band_shape(spark, folder):
     return band.select("fpr", inside.alias("ordered"))
 
 
-@query()
+CURVES = f"""(SELECT replicate, fp::DOUBLE / n AS fpr, tp::DOUBLE / p AS tpr FROM {drawn_sql(SCORED, 100)}
+    UNION ALL SELECT range, 0, 0 FROM range(100))"""
+
+
+@query(f"""WITH curves AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY fpr, tpr) AS place FROM {CURVES}),
+    steps AS (SELECT *, lead(fpr) OVER w AS next_fpr, lead(tpr) OVER w AS next_tpr FROM curves WINDOW w AS (PARTITION BY replicate ORDER BY place)),
+    grid AS (SELECT range / 100.0::DOUBLE AS g FROM range(101)),
+    found AS (SELECT replicate, g, arg_max(struct_pack(fpr, tpr, next_fpr, next_tpr), place) AS s FROM grid JOIN steps ON fpr <= g GROUP BY ALL),
+    at_grid AS (SELECT g, CASE WHEN g = 0 THEN 0 WHEN s.next_fpr IS NULL THEN s.tpr
+        ELSE s.tpr + (g - s.fpr) * (s.next_tpr - s.tpr) / (s.next_fpr - s.fpr) END AS v FROM found)
+    SELECT g AS fpr, round(avg(v), 9) AS mean_tpr, round(greatest(avg(v) - 2 * stddev_pop(v), 0), 9) AS lower,
+        round(least(avg(v) + 2 * stddev_pop(v), 1), 9) AS upper FROM at_grid GROUP BY g""")
 def roc_band(spark, folder):
-    return evaluate.roc_band(scored(spark, folder))
+    return rounded(evaluate.roc_band(scored(spark, folder)), "mean_tpr", "lower", "upper")
 
 
-@query()
+@query(f"SELECT replicate, prob AS threshold, round(tp::DOUBLE / (tp + fp), 9) AS precision, round(tp::DOUBLE / p, 9) AS recall FROM {drawn_sql(SCORED, 50)}")
 def resampled_precision_recall(spark, folder):
-    return evaluate.resampled_precision_recall(scored(spark, folder))
+    return rounded(evaluate.resampled_precision_recall(scored(spark, folder)), "precision", "recall")
 
 
-@query()
+@query(f"""SELECT replicate, len(list_filter([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[], lambda e: e < prob)) AS bin, sum(pos + neg)::BIGINT AS n,
+    round(sum((pos + neg) * prob) / sum(pos + neg), 9) AS prob_pred, round(sum(pos)::DOUBLE / sum(pos + neg), 9) AS prob_true FROM {drawn_sql(SCORED, 50)} GROUP BY ALL""")
 def resampled_calibration(spark, folder):
-    return evaluate.resampled_calibration(scored(spark, folder))
+    return rounded(evaluate.resampled_calibration(scored(spark, folder)), "prob_pred", "prob_true")

@@ -6,6 +6,7 @@ running an aggregate over it. There is no range join, so the cost is linear in t
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -118,10 +119,7 @@ def label_cohort(events: DataFrame, spec: Mapping) -> DataFrame:
     predicate occurs in its window, boundaries counted as the inclusivity flags say. The prediction time is the window
     side named by `index_timestamp`.
     """
-    history = History.of(predicate_counts(events, spec["predicates"]))
-    trigger = spec["trigger"]
-    points = history.counts.filter(F.col(trigger) > 0).select("subject_id", F.col("time").alias("trigger"))
-    return _label(history, points, spec)
+    return label_cohorts(events, {"cohort": spec}).drop("task")
 
 
 @dataclass(frozen=True)
@@ -199,74 +197,121 @@ def _label_table(rows: DataFrame, index: Column, hits: Column, *first: Column) -
     )
 
 
-def _label(history: History, points: DataFrame, spec: Mapping) -> DataFrame:
-    windows = Windows.of(spec)
-    for name, kind, start, value in windows.steps:
-        if kind == "next":
-            points = history.next_time(points, start, value, name).filter(F.col(name).isNotNull())
-        else:
-            points = points.withColumn(name, _later(F.col(start), value))
-    counted = history.count_between(points, windows.start, windows.end, windows.predicate, "__label", windows.inclusive)
-    return _label_table(counted, F.col(windows.index), F.col("__label"))
-
-
 def label_cohorts(events: DataFrame, specs: Mapping[str, Mapping]) -> DataFrame:
     """Several cohorts in one table with a `task` column.
 
-    The predicates of all cohorts are evaluated in a single pass over the events. Cohorts whose event-bounded windows all
-    start at the trigger, as the shipped ones do, are labelled together in two exchanges on the subject: one gives every
-    time the next times of all predicates that end windows, the other counts all labels among the probes of all cohorts.
-    Other cohorts are labelled one by one from the same counts.
+    The predicates of all cohorts are evaluated in a single pass over the events. A window that ends at an event depends on
+    the window that it starts at, and so on down to the trigger; the windows of all cohorts are answered level by level. The
+    first level gives every time of a subject the next times of all predicates that end windows there; each further level is
+    one ordered union of the events with the starts of all its windows. At the end the labels of all cohorts are counted
+    together. A level costs at most two exchanges on the subject, whatever the number of cohorts.
     """
-    named: dict[str, Mapping] = {}
-    for task, spec in specs.items():
-        named |= {f"{task}.{name}": rule for name, rule in spec["predicates"].items()}
-    flat = {name.replace(".", "__"): rule for name, rule in named.items()}
-    shared = History.of(predicate_counts(events, flat))
-    resolved = {task: Windows.of(spec) for task, spec in specs.items()}
-    together = [t for t, w in resolved.items() if all(start == "trigger" for _, kind, start, _ in w.steps if kind == "next")]
-    tables = [_label_together(shared, {t: resolved[t] for t in together}, {t: specs[t]["trigger"] for t in together})] if together else []
-    for task, spec in specs.items():
-        if task not in together:
-            columns = [F.col(f"{task}__{name}").alias(name) for name in spec["predicates"]]
-            history = History(shared.counts.select("subject_id", "time", *columns), shared.layout)
-            points = history.counts.filter(F.col(spec["trigger"]) > 0).select("subject_id", F.col("time").alias("trigger"))
-            tables.append(_label(history, points, spec).select(F.lit(task).alias("task"), "*"))
-    out = tables[0]
-    for table in tables[1:]:
-        out = out.unionByName(table)
-    return out
-
-
-def _label_together(history: History, windows: Mapping[str, Windows], triggers: Mapping[str, str]) -> DataFrame:
-    """Labels of cohorts whose event-bounded windows start at the trigger."""
-    tasks = list(windows)
-    ends = {f"{task}__{value}" for task in tasks for _, kind, _, value in windows[task].steps if kind == "next"}
-    runs = {f"__next_{p}": Run("min", F.when(F.col(p) > 0, F.col("time")), strict=True) for p in sorted(ends)}
+    flat = {f"{task}__{name}": rule for task, spec in specs.items() for name, rule in spec["predicates"].items()}
+    windows = [Windows.of(spec) for spec in specs.values()]
+    history = History.of(predicate_counts(events, flat))
+    triggers = [f"{task}__{spec['trigger']}" for task, spec in specs.items()]
+    return _label_levels(history, list(specs), windows, triggers)
+
+
+def _level_steps(tasks: Sequence[str], windows: Sequence[Windows]) -> list[list[tuple[int, int, str, int, str | int]]]:
+    """Per level (task number, place, kind, place of the start, predicate or seconds). Place 0 is the trigger."""
+    levels: list[list[tuple[int, int, str, int, str | int]]] = [[], []]
+    for number, (task, own) in enumerate(zip(tasks, windows, strict=True)):
+        place, level = {"trigger": 0}, {"trigger": 0}
+        for name, kind, start, value in own.steps:
+            if start is None:
+                raise ValueError(f"{task}: {name} is counted from the start of the record")
+            place[name] = len(place)
+            level[name] = level[start] + (kind == "next")
+            levels += [[] for _ in range(len(levels), level[name] + 1)]
+            levels[level[name]].append((number, place[name], kind, place[start], f"{task}__{value}" if kind == "next" else value))
+    return levels
+
+
+def _label_levels(history: History, tasks: list[str], windows: list[Windows], triggers: list[str]) -> DataFrame:
+    levels = _level_steps(tasks, windows)
+    width = 1 + max(len(own.steps) for own in windows)
+    ends = sorted({step[4] for step in levels[1] if step[2] == "next"})
+    runs = {f"__next_{p}": Run("min", F.when(F.col(p) > 0, F.col("time")), strict=True) for p in ends}
     line = lay_out(history.counts, ["subject_id"], ["time"], history.layout)
     rows = (line.run(reverse=True, **runs) if runs else line).rows()
     entries = []
-    for number, task in enumerate(tasks):
-        own, at, begun = windows[task], {"trigger": F.col("time")}, F.col(f"{task}__{triggers[task]}") > 0
-        for name, kind, start, value in own.steps:
-            at[name] = F.col(f"__next_{task}__{value}") if kind == "next" else _later(at[start], value)
-            begun = begun & at[name].isNotNull()
-        sides = [F.struct(time.alias("at"), F.lit(kind).alias("kind"), F.lit(sign).alias("sign")) for time, kind, sign in own.sides(at)]
-        entry = F.struct(F.lit(number).alias("task"), F.col("time").alias("trigger"), at[own.index].alias("index"), F.array(*sides).alias("sides"))
-        entries.append(F.when(begun, entry))
+    for number, trigger in enumerate(triggers):
+        at, begun = {0: F.col("time")}, F.col(trigger) > 0
+        for task, place, kind, start, value in levels[0] + levels[1]:
+            if task == number:
+                at[place] = F.col(f"__next_{value}") if kind == "next" else _later(at[start], value)
+                begun = begun & at[place].isNotNull()
+        times = F.array(*[at.get(place, F.lit(None)) for place in range(width)])
+        entries.append(F.when(begun, F.struct(F.lit(number).alias("task"), F.col("time").alias("trigger"), times.alias("at"))))
     found = F.filter(F.array(*entries), lambda e: e.isNotNull())
     points = rows.select("subject_id", F.explode(found).alias("p")).select("subject_id", "p.*")
-    probes = points.select("subject_id", F.struct("task", "trigger", "index").alias("__row"), F.explode("sides").alias("s")).select(
+    for steps in levels[2:]:
+        points = _answer_level(history, points, steps)
+
+    def sides(own: Windows) -> Column:
+        place = {"trigger": 0} | {name: i + 1 for i, (name, *_) in enumerate(own.steps)}
+        at = {name: F.get("at", F.lit(i)) for name, i in place.items()}
+        probes = [F.struct(t.alias("at"), F.lit(k).alias("kind"), F.lit(sign).alias("sign")) for t, k, sign in own.sides(at)]
+        return F.struct(at[own.index].alias("index"), F.array(*probes).alias("sides"))
+
+    told = points.select("subject_id", "task", "trigger", _own([sides(own) for own in windows]).alias("s"))
+    probes = told.select("subject_id", F.struct("task", "trigger", "s.index").alias("__row"), F.explode("s.sides").alias("s")).select(
         "subject_id", "__row", F.col("s.at").alias("__time"), F.col("s.kind").alias("__kind"), F.col("s.sign").alias("__sign")
     )
-    counted = {task: f"{task}__{windows[task].predicate}" for task in tasks}
-    both = history._union({f"__n_{p}": F.col(p) for p in sorted(set(counted.values()))}, probes)
-    seen = both.run(**{f"__seen_{p}": Run("sum", F.col(f"__n_{p}")) for p in sorted(set(counted.values()))}).df
-    own_count = F.coalesce(*(F.when(F.col("__row.task") == i, F.col(f"__seen_{counted[task]}")) for i, task in enumerate(tasks)), F.lit(0))
-    sides_seen = seen.filter("__kind != 0").select("subject_id", "__row.*", (own_count * F.col("__sign")).alias("__signed"))
-    labels = sides_seen.groupBy("subject_id", "task", "trigger", "index").agg(F.sum("__signed").alias("__label"))
+    counted = [f"{task}__{own.predicate}" for task, own in zip(tasks, windows, strict=True)]
+    both = history._union({f"__n_{p}": F.col(p) for p in sorted(set(counted))}, probes)
+    seen = both.run(**{f"__seen_{p}": Run("sum", F.col(f"__n_{p}")) for p in sorted(set(counted))})
+    own_count = F.coalesce(_own([F.col(f"__seen_{p}") for p in counted], "__row.task"), F.lit(0))
+
+    def total(part: DataFrame) -> DataFrame:
+        seen_there = part.filter("__kind != 0").select("subject_id", "__row.*", (own_count * F.col("__sign")).alias("__signed"))
+        return seen_there.groupBy("subject_id", "task", "trigger", "index").agg(F.sum("__signed").alias("__label"))
+
     name = F.element_at(F.array(*map(F.lit, tasks)), F.col("task") + 1).alias("task")
-    return _label_table(labels, F.col("index"), F.col("__label"), name)
+    return _label_table(seen.gather(total), F.col("index"), F.col("__label"), name)
+
+
+def _own(values: Sequence[Column], task: str = "task") -> Column:
+    """Of one value per task that of the row's task."""
+    return F.coalesce(*(F.when(F.col(task) == i, value) for i, value in enumerate(values)))
+
+
+def _answer_level(history: History, points: DataFrame, steps: Sequence[tuple[int, int, str, int, str | int]]) -> DataFrame:
+    """`points` (subject_id, task, trigger, at) with the times of one level; points that lack one of their times go."""
+    nexts = [step for step in steps if step[2] == "next"]
+    ends = sorted({step[4] for step in nexts})
+    entries = [
+        F.when(F.col("task") == task, F.struct(F.lit(place).alias("place"), F.get("at", F.lit(start)).alias("from"), F.lit(ends.index(end)).alias("end")))
+        for task, place, _, start, end in nexts
+    ]
+    # a point without a question here travels along with one that fills no place
+    asked = F.col("task").isin(sorted({step[0] for step in nexts}))
+    passing = F.when(~asked, F.struct(F.lit(-1).alias("place"), F.col("trigger").alias("from"), F.lit(0).alias("end")))
+    wanted = F.explode(F.filter(F.array(*entries, passing), lambda e: e.isNotNull())).alias("e")
+    probes = points.select("subject_id", F.struct("task", "trigger", "at").alias("__row"), wanted)
+    probes = probes.select(
+        "subject_id", "__row", F.col("e.from").alias("__time"), F.lit(1).alias("__kind"), F.col("e.place").alias("__place"), F.col("e.end").alias("__end")
+    )
+    line = history._union({f"__hit_{i}": F.when(F.col(p) > 0, F.col("time")) for i, p in enumerate(ends)}, probes)
+    line = line.run(reverse=True, **{f"__next_{i}": Run("min", F.col(f"__hit_{i}")) for i in range(len(ends))})
+    found = _own([F.col(f"__next_{i}") for i in range(len(ends))], "__end")
+
+    def together(part: DataFrame) -> DataFrame:
+        answers = part.filter("__kind = 1").select("subject_id", "__row.*", F.struct("__place", found.alias("time")).alias("answer"))
+        own = F.map_from_entries(F.collect_list("answer")).alias("answers")
+        return answers.groupBy("subject_id", "task", "trigger").agg(F.first("at").alias("at"), own)
+
+    def filled(at: Column, values: Column) -> Column:
+        return F.transform(at, lambda t, i: F.coalesce(t, F.element_at(values, i)))
+
+    answered = line.gather(together).withColumn("at", filled(F.col("at"), F.col("answers"))).drop("answers")
+    for task, place, kind, start, value in steps:
+        if kind == "plus":
+            later = F.create_map(F.lit(place), F.when(F.col("task") == task, _later(F.get("at", F.lit(start)), value)))
+            answered = answered.withColumn("at", filled(F.col("at"), later))
+    whole = [(F.col("task") != task) | F.get("at", F.lit(place)).isNotNull() for task, place, *_ in steps]
+    return answered.filter(functools.reduce(Column.__and__, whole))
 
 
 def combine_labels(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("subject_id", "prediction_time")) -> DataFrame:

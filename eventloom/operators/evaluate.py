@@ -4,9 +4,10 @@ Scores are first compressed to counts of positives and negatives per distinct pr
 Metrics and curves are running sums over those counts. With integer percentages there are at most 101 of them; with
 continuous scores there may be as many as rows, and the timeline then spreads them over slices.
 
-Resampling n rows with replacement is drawing multinomial counts for the cells. The draw is made in two exact steps:
-first how many rows fall in each slice and class, then within a slice how many fall in each cell. Every (slice, block of
-replicates) is an independent task, and no row is ever repeated a thousand times.
+Resampling n rows with replacement is drawing multinomial counts for the cells. Cells form blocks; how many rows fall in
+each block and class is drawn first, then within a block how many fall in each cell. Every (block, group of replicates) is
+an independent task, and no row is ever repeated a thousand times. The numbers come from no generator with a state: each is
+a hash of the seed, the replicate, the block and a counter (see `functions/draws.py`), so another engine can repeat a draw.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions.draws import chained, mixed, multinomial
 from eventloom.plans.timeline import Run, Timeline, lay_out, written
 
 METRICS = ("AUROC", "AUPRC", "Brier")
@@ -136,6 +138,11 @@ CELLS_PER_BLOCK = 50_000  # of equal probability; part of the definition of a dr
 SHARES = "replicate long, block long, pos_here long, neg_here long, pos_above long, neg_above long, n_pos long, n_neg long"
 
 
+def _key(seed: int, replicate: int, block: int) -> int:
+    """The key of a draw: block 0 is the draw among the blocks, block b + 1 the one inside block b."""
+    return int(chained(chained(mixed(seed), replicate), block))
+
+
 def _shares(table: DataFrame, n_replicates: int, seed: int) -> DataFrame:
     """How many positives and negatives each replicate draws from each block, and how many from the blocks above.
 
@@ -153,8 +160,7 @@ def _shares(table: DataFrame, n_replicates: int, seed: int) -> DataFrame:
                 total = counts.sum()
                 if total == 0:
                     continue
-                rng = np.random.default_rng([seed, int(replicate)])
-                drawn = rng.multinomial(total, counts.ravel() / total).reshape(-1, 2)
+                drawn = multinomial(int(total), counts.ravel(), _key(seed, int(replicate), 0)).reshape(-1, 2)
                 above = np.cumsum(drawn, axis=0) - drawn
                 both = drawn.sum(axis=0)
                 fixed = [np.full(len(ids), v) for v in (replicate, *both)]
@@ -189,9 +195,9 @@ def resample(scored: DataFrame, n_replicates: int, seed: int, schema: str, summa
         pos, neg = table["pos"].to_numpy(dtype=np.int64), table["neg"].to_numpy(dtype=np.int64)
         out = []
         for share in draws.sort_values("replicate").to_dict("records"):
-            rng = np.random.default_rng([seed, share["replicate"], share["block"] + 1])
-            drawn_pos = rng.multinomial(share["pos_here"], pos / pos.sum()) if share["pos_here"] else np.zeros_like(pos)
-            drawn_neg = rng.multinomial(share["neg_here"], neg / neg.sum()) if share["neg_here"] else np.zeros_like(neg)
+            key = _key(seed, share["replicate"], share["block"] + 1)
+            drawn_pos = multinomial(share["pos_here"], pos, int(chained(key, 0)))
+            drawn_neg = multinomial(share["neg_here"], neg, int(chained(key, 1)))
             part = {name: np.asarray(values) for name, values in summarise(prob, drawn_pos, drawn_neg, share).items()}
             out.append(part | {"replicate": np.full(len(part[names[0]]), share["replicate"])})
         columns = ["replicate", *names]
@@ -247,7 +253,7 @@ def _curve_at(grid: np.ndarray) -> Replicate:
 
 def roc_band(scored: DataFrame, n_replicates: int = 100, n_points: int = 101, seed: int = 42) -> DataFrame:
     """Mean of the resampled curves at evenly spaced rates, plus and minus two standard deviations, within [0, 1]."""
-    grid = np.linspace(0, 1, n_points)
+    grid = np.arange(n_points) / (n_points - 1)
     parts = resample(scored, n_replicates, seed, "point long, tpr double", _curve_at(grid))
     # two blocks may meet at a grid point: the later one has the final rate
     curves = parts.groupBy("replicate", "point").agg(F.max("tpr").alias("tpr"))

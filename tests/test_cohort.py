@@ -45,6 +45,78 @@ def test_cohorts_against_brute_force(spark, layout):
     assert labels_of(every.filter("task = 'ed_reattendance'")) == brute(rows, 72, ARRIVE.__eq__)
 
 
+CHAIN = {
+    "predicates": {"a": {"code": "A"}, "b": {"code": "B"}, "c": {"code": "C"}, "d": {"code": "D"}},
+    "trigger": "a",
+    "windows": {
+        "one": {"start": "trigger", "end": "start -> b"},
+        "two": {"start": "one.end", "end": "start + 3h"},
+        "three": {"start": "two.end", "end": "start -> c", "index_timestamp": "end"},
+        "four": {"start": "three.end", "end": "start -> b", "label": "d", "start_inclusive": False},
+    },
+}
+BRANCHES = {
+    "predicates": {"a": {"code": "A"}, "b": {"code": "B"}, "c": {"code": "C"}},
+    "trigger": "a",
+    "windows": {
+        "first": {"start": "trigger", "end": "start -> b"},
+        "left": {"start": "first.end", "end": "start -> c"},
+        "right": {"start": "first.end", "end": "start -> a", "index_timestamp": "end"},
+        "target": {"start": "left.start", "end": "left.end", "label": "b"},
+    },
+}
+
+
+def chained(rows):
+    """Both chains by looking through the rows."""
+
+    def after(s, h, code):
+        return min((h2 for s2, h2, c in rows if s2 == s and h2 > h and c == code), default=None)
+
+    chain, branches = {}, {}
+    for s, h in {(s, h) for s, h, c in rows if c == "A"}:
+        b = after(s, h, "B")
+        c = None if b is None else after(s, b + 3, "C")
+        end = None if c is None else after(s, c, "B")
+        if end is not None:
+            chain.setdefault((s, c), []).append(any(s2 == s and c < h2 <= end and code == "D" for s2, h2, code in rows))
+        left, right = (None, None) if b is None else (after(s, b, "C"), after(s, b, "A"))
+        if left is not None and right is not None:
+            branches.setdefault((s, right), []).append(any(s2 == s and b <= h2 <= left and code == "B" for s2, h2, code in rows))
+    return chain, branches
+
+
+def every_label(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault((r.subject_id, (r.prediction_time - START) / timedelta(hours=1)), []).append(r.boolean_value)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_chained_windows(spark, layout):
+    rng = random.Random(8)
+    rows = [(1 if i % 3 == 0 else rng.randrange(2, 7), rng.randrange(300), rng.choice("ABCD")) for i in range(260)]
+    df = events(spark, rows)
+    every = cohort.label_cohorts(df, {"chain": CHAIN, "branches": BRANCHES, "shipped": COHORTS["ed_reattendance"]})
+    chain, branches = chained(rows)
+    assert every_label(every.filter("task = 'chain'")) == {k: sorted(v) for k, v in chain.items()}
+    assert every_label(every.filter("task = 'branches'")) == {k: sorted(v) for k, v in branches.items()}
+    assert every_label(cohort.label_cohort(df, CHAIN)) == {k: sorted(v) for k, v in chain.items()}
+    assert chain and branches
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange hashpartitioning(subject_id" in line for line in plan.split("Initial Plan")[0].splitlines())
+
+
+def test_levels_cost_two_exchanges_each(spark):
+    df = events(spark, [(s, h, c) for s in range(3) for h, c in enumerate("ABCDABCD")])
+    one = exchanges(cohort.label_cohorts(df, COHORTS))
+    more = exchanges(cohort.label_cohorts(df, {**COHORTS, "chain": CHAIN, "branches": BRANCHES}))
+    assert one <= 4 and more - one <= 4  # two further levels
+
+
 def test_boundaries(spark):
     rows = [(1, 0, ARRIVE), (1, 5, LEAVE + "HOME"), (1, 17, ICU), (2, 0, ARRIVE), (2, 5, LEAVE + "HOME"), (2, 18, ICU),
             (3, 0, ARRIVE), (4, 0, ARRIVE), (4, 0, LEAVE + "ADMITTED"), (4, 2, LEAVE + "HOME")]

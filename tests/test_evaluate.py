@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from eventloom.functions import draws
 from eventloom.operators import evaluate
 from eventloom.plans.timeline import DEFAULT_MAX_ROWS, MAX_ROWS_CONF
 
@@ -88,6 +89,42 @@ def test_draws_depend_on_data_and_seed_only(spark, monkeypatch):
     assert evaluate.resampled_calibration(df, 70).select("replicate").distinct().count() == 70
 
 
+@pytest.mark.parametrize(("n", "p"), [(5, 0.3), (400, 0.01), (400, 0.97), (3000, 0.5), (10**7, 0.2), (10**9, 1e-8), (0, 0.5), (7, 0.0), (7, 1.0)])
+def test_binomial_counts(n, p):
+    keys = draws.chained(draws.mixed(7), np.arange(40_000))
+    got = draws.binomial(np.full(len(keys), n), np.full(len(keys), p), keys)
+    assert got.min() >= 0 and got.max() <= n
+    spread = np.sqrt(n * p * (1 - p))
+    assert abs(got.mean() - n * p) <= 4 * spread / 200 + 1e-9
+    assert abs(got.std() - spread) <= 0.03 * spread + 1e-9
+    want = np.random.default_rng(1).binomial(n, p, 200_000)
+    for q in (0.01, 0.25, 0.5, 0.9, 0.99):
+        assert abs(np.quantile(got, q) - np.quantile(want, q)) <= 0.06 * spread + 1
+
+
+@pytest.mark.parametrize("direct", [draws.DIRECT_ROWS, 50, 1])
+def test_multinomial_counts(monkeypatch, direct):
+    monkeypatch.setattr(draws, "DIRECT_ROWS", direct)
+    weights = np.array([3, 0, 40, 1, 1, 200, 7, 0, 30])
+    total = int(weights.sum())
+    made = np.array([draws.multinomial(total, weights, int(k)) for k in draws.chained(3, np.arange(3000))])
+    assert (made.sum(axis=1) == total).all() and (made[:, weights == 0] == 0).all()
+    assert np.abs(made.mean(axis=0) - weights).max() < 0.8
+    variance = weights * (1 - weights / total)
+    assert np.abs(made.var(axis=0) - variance).max() < 0.1 * variance.max()
+    covariance = np.cov(made[:, 2], made[:, 5])[0, 1]
+    assert abs(covariance + weights[2] * weights[5] / total) < 6
+    assert (draws.multinomial(total, weights, 5) == draws.multinomial(total, weights, 5)).all()
+
+
+def test_hash_numbers_are_even():
+    numbers = draws.chained(draws.chained(draws.mixed(42), 3), np.arange(200_000)).astype(float) / 2**32
+    assert abs(numbers.mean() - 0.5) < 0.003 and abs(numbers.var() - 1 / 12) < 0.001
+    assert abs(np.corrcoef(numbers[:-1], numbers[1:])[0, 1]) < 0.01
+    counts = np.bincount((numbers * 100).astype(int), minlength=100)
+    assert ((counts - 2000) ** 2 / 2000).sum() < 160
+
+
 def test_replicates_hold_every_row(spark, layout):
     rng = np.random.default_rng(3)
     df = table(spark, rng.integers(0, 2, 80), rng.random(80))
