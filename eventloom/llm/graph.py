@@ -19,12 +19,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("root", F.col("id"))
+    labels = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("root", F.col("id"))
     edges, rounds = edges.filter("a <> b"), []
     while not edges.isEmpty():
-        both = F.array(*[F.struct(F.col(x).alias("id"), F.col(y).alias("other")) for x in "ab" for y in "ab"])
-        ends = edges.select(F.explode(both).alias("e")).select("e.*")
-        pointers = written(ends.groupBy("id").agg(F.min_by("other", F.xxhash64("other")).alias("to")), "pointers")
+        ends = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a"))
+        first = ends.groupBy("id").agg(F.min_by("other", F.xxhash64("other")).alias("other"))
+        to = F.when(F.xxhash64("other") < F.xxhash64("id"), F.col("other")).otherwise(F.col("id")).alias("to")
+        pointers = written(first.select("id", to), "pointers")
         rounds.append(pointers)
         one = pointers.select(F.col("id").alias("a"), F.col("to").alias("one"))
         two = pointers.select(F.col("id").alias("b"), F.col("to").alias("two"))

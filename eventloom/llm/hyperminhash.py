@@ -8,11 +8,11 @@
    shingles than they have bands in use. A meeting place of any size is divided into blocks, and pairs of blocks are the units of work.
 3. In a unit two classes are *alike* when their sizes allow the similarity and the estimate allows it: the share of equal
    registers among those in use, less what differing minima are expected to share by chance (this depends on the sizes),
-   may fall short of the threshold by as much as happens with probability `TOLERANCE`. A unit gives only the edges of a
-   spanning forest of the classes that are alike, so what is written grows with the classes, not with their pairs.
+   may fall short of the threshold by as much as happens with probability `TOLERANCE`. A unit gives each class that has
+   alike ones an edge to the least of those it is connected with, so what is written grows with the classes, not their pairs.
 4. The texts of each group of classes that are connected by likeness are brought together once, in blocks of bounded rows and
    characters whose pairs are units again. There the sets are compared exactly. A pair that is connected already is not
-   compared, as its link cannot change a component; again only a spanning forest leaves the unit.
+   compared, as its link cannot change a component; again only edges to the least connected class leave the unit.
 5. The components of those links are the result.
 
 Nulls, ties, repeats: a null or empty text and one of white space only have no shingles and are linked with nothing. A text
@@ -75,15 +75,19 @@ def registers(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(texts: list[str], width: int = WIDTH) -> Iterator[tuple[int, bytes | None, bytes | None]]:
-    """For each text the size of its set, a 128-bit fingerprint of the set, and its registers."""
+def sketch(texts: list[str], width: int = WIDTH) -> Iterator[tuple[int, bytes | None, np.ndarray | None]]:
+    """For each text the size of its set, a 128-bit fingerprint of the set, and its registers, four in each of the bands."""
     for a, b in groups(texts):
         hashes, offsets = distinct_shingles(texts[a:b], width)
         values = registers(hashes, offsets)
         for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             own = hashes[x:y]
             folded = np.array([own.sum(dtype=_U), (own * (own >> _U(7) | _U(1))).sum(dtype=_U) + _U(len(own))])
-            yield (y - x, folded.tobytes(), values[i].tobytes()) if y > x else (0, None, None)
+            yield (y - x, folded.tobytes(), values[i].view(np.int64)) if y > x else (0, None, None)
+
+
+def registers_of(bands: pd.Series) -> np.ndarray:
+    return np.stack(bands.to_numpy()).astype(np.int64, copy=False).view(np.uint16)
 
 
 @functools.cache
@@ -134,11 +138,10 @@ def alike(one: np.ndarray, two: np.ndarray, sizes_one: np.ndarray, sizes_two: np
 
 
 class _Forest:
-    """Union-find over the rows of a unit, with the edges that joined something."""
+    """Union-find over the rows of a unit."""
 
     def __init__(self, n: int) -> None:
         self.root = np.arange(n)
-        self.edges: list[tuple[int, int]] = []
 
     def find(self, i: int) -> int:
         root = self.root
@@ -151,7 +154,6 @@ class _Forest:
             one, two = self.find(a), self.find(b)
             if one != two:
                 self.root[max(one, two)] = min(one, two)
-                self.edges.append((a, b))
 
     def flat(self) -> np.ndarray:
         while True:
@@ -161,8 +163,12 @@ class _Forest:
             self.root = up
 
     def frame(self, ids: np.ndarray) -> pd.DataFrame:
-        one, two = np.array(self.edges, np.int64).reshape(-1, 2).T
-        return pd.DataFrame({"a": ids[one], "b": ids[two]}, dtype="int64")
+        """An edge from each joined row to the one of least id that it is joined with; units that share rows share edges."""
+        root = self.flat()
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, ids)
+        joined = least[root] != ids
+        return pd.DataFrame({"a": least[root][joined], "b": ids[joined]}, dtype="int64")
 
 
 def blocked(rows: DataFrame, keys: list[str], blocks: Column) -> DataFrame:
@@ -177,17 +183,17 @@ def blocked(rows: DataFrame, keys: list[str], blocks: Column) -> DataFrame:
 
 
 def likeness(reps: DataFrame, percent: int, block: int) -> DataFrame:
-    """Edges (a, b) of spanning forests of the classes that are alike; `reps` has id, n, registers, bands."""
+    """Edges (a, b) that connect the classes that are alike; `reps` has id, n, bands."""
     members = reps.select("id", F.posexplode("bands").alias("band", "key")).filter("key <> 0")
     places = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     met = members.join(places.hint("merge"), ["band", "key"])
     unit = ["band", "key", "one", "two"]
     met = blocked(met, ["band", "key"], F.ceil(F.col("held") / block)).drop("held")
-    met = met.join(reps.select("id", "n", "registers").hint("merge"), "id")
+    met = met.join(reps.select("id", "n", "bands").hint("merge"), "id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in complete_groups(frames, unit):
-            values = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(-1, REGISTERS)
+            values = registers_of(frame["bands"])
             sizes, blocks = frame["n"].to_numpy(), frame["block"].to_numpy()
             cross, forest = (frame["one"] != frame["two"]).to_numpy(), _Forest(len(frame))
             edge = np.zeros(len(frame) + 1, bool)
@@ -207,14 +213,13 @@ def likeness(reps: DataFrame, percent: int, block: int) -> DataFrame:
                 good = alike(values[a], values[b], sizes[a], sizes[b], percent) if len(a) else np.zeros(0, bool)
                 forest.join(zip(a[good].tolist(), b[good].tolist(), strict=True))
                 start = stop
-            if forest.edges:
-                yield forest.frame(frame["id"].to_numpy())
+            yield forest.frame(frame["id"].to_numpy())
 
     return spread(met, *unit).mapInPandas(run, "a bigint, b bigint")
 
 
-def linked(texts: list[str], ids: np.ndarray, values: np.ndarray, cross: np.ndarray | None, percent: int, width: int) -> _Forest:
-    """A spanning forest of the exact links among texts; `cross` gives blocks, of which only different ones are compared."""
+def linked(texts: list[str], values: np.ndarray, cross: np.ndarray | None, percent: int, width: int) -> _Forest:
+    """What exact links connect among texts; `cross` gives blocks, of which only different ones are compared."""
     parts = [distinct_shingles(texts[a:b], width) for a, b in groups(texts)]
     sets = [h[x:y] for h, o in parts for x, y in zip(o[:-1], o[1:], strict=True)]
     sizes, forest = np.array([len(s) for s in sets]), _Forest(len(sets))
@@ -238,7 +243,7 @@ def linked(texts: list[str], ids: np.ndarray, values: np.ndarray, cross: np.ndar
 
 
 def links(like: DataFrame, texts: DataFrame, percent: int, width: int, block: int, block_chars: int) -> DataFrame:
-    """Edges (a, b) of spanning forests of the exact links inside each group of classes; `texts` has id, registers, text."""
+    """Edges (a, b) that connect what exact links connect, inside each group of classes; `texts` has id, bands, text."""
     like = like.select("id", F.col("root").alias("likeness"))
     rows = texts.join(like.hint("merge"), "id")
     sizes = rows.groupBy("likeness").agg(F.count(F.lit(1)).alias("held"), F.sum(F.length("text")).alias("chars"))
@@ -249,12 +254,11 @@ def links(like: DataFrame, texts: DataFrame, percent: int, width: int, block: in
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in complete_groups(frames, unit):
             for _, own in frame.groupby(unit, sort=False):
-                values = np.frombuffer(b"".join(own["registers"]), np.uint16).reshape(-1, REGISTERS)
+                values = registers_of(own["bands"])
                 cross = own["block"].to_numpy() if own["one"].iloc[0] != own["two"].iloc[0] else None
                 ids = own["id"].to_numpy()
-                forest = linked(own["text"].tolist(), ids, values, cross, percent, width)
-                if forest.edges:
-                    yield forest.frame(ids)
+                forest = linked(own["text"].tolist(), values, cross, percent, width)
+                yield forest.frame(ids)
 
     dealt = spread(blocked(rows, ["likeness"], F.col("needed")).drop("needed"), *unit)
     return dealt.mapInPandas(run, "a bigint, b bigint")
@@ -272,21 +276,20 @@ def near_duplicates(
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept."""
     small_batches(docs)
 
-    @F.pandas_udf("n bigint, set binary, registers binary, bands array<bigint>")
+    @F.pandas_udf("n bigint, set binary, bands array<bigint>")
     def sketched(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in frames:
             made = list(sketch(texts.tolist(), width))
-            bands = [r and np.frombuffer(r, np.int64) for _, _, r in made]
-            yield pd.DataFrame({"n": [m[0] for m in made], "set": [m[1] for m in made], "registers": [m[2] for m in made], "bands": bands}, dtype=object)
+            yield pd.DataFrame({"n": [m[0] for m in made], "set": [m[1] for m in made], "bands": [m[2] for m in made]}, dtype=object)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"), F.monotonically_increasing_id().alias("id"))
-    rows = rows.withColumn("s", sketched("text")).select("doc_id", "id", "text", "s.n", "s.set", "s.registers", "s.bands")
+    rows = rows.withColumn("s", sketched("text")).select("doc_id", "id", "text", "s.n", "s.set", "s.bands")
     rows = written(rows, "sketches")
     classes = rows.filter("n > 0").groupBy("set").agg(F.min("id").alias("id"), F.min("doc_id").alias("least"))
     classes = written(classes, "classes")
     reps = rows.join(classes.select("id").hint("merge"), "id", "left_semi")
-    like = components(likeness(reps.select("id", "n", "registers", "bands"), percent, block))
-    found = links(like, reps.select("id", "registers", "text"), percent, width, block, block_chars)
+    like = components(likeness(reps.select("id", "n", "bands"), percent, block))
+    found = links(like, reps.select("id", "bands", "text"), percent, width, block, block_chars)
     roots = components(found)
     joined = classes.join(roots, "id", "left").select("set", F.coalesce("root", "id").alias("root"), "least")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
