@@ -152,6 +152,48 @@ def narratives_cut_at_age_header(spark, folder):
     return limited.filter("available_tokens IS NULL OR available_tokens > 0").select("subject_id", "prediction_time", "text")
 
 
+def age_header_sql(limit: int) -> str:
+    return f"""SELECT subject_id, prediction_time, CASE WHEN total > {limit} THEN available END AS available_tokens, CASE WHEN total <= {limit} THEN text WHEN available <= 0 THEN NULL
+    WHEN header = '' THEN suffix ELSE substr(suffix, CASE WHEN starts_with(suffix, header) THEN 1 ELSE strpos(suffix, chr(10) || header) + 1 END) END AS text
+    FROM (SELECT *, regexp_extract(suffix, '(?m)^## Age \\d+ years \\d+ days$') AS header FROM {CUT.replace('- 120)', f'- {limit})')})"""
+
+
+def limited(spark, folder, limit: int):
+    described = stored_labels(spark, folder, "hospitalisation").withColumn("task_description", F.lit(COHORTS["hospitalisation"]["description"]))
+    events = history.text_events(clean_hospital(spark, folder))
+    texts = prompts.limited_narratives(events, described, limit)
+    return texts.select("subject_id", "prediction_time", F.col("available_tokens").cast("bigint").alias("available_tokens"), "text")
+
+
+@query(age_header_sql(120))
+def limited_narratives(spark, folder):
+    """Histories cut by running counts of their lines, never written out in full."""
+    return limited(spark, folder, 120)
+
+
+@query(age_header_sql(85))
+def limited_narratives_inside_lines(spark, folder):
+    """The same with so few words that most cuts fall behind the last header."""
+    return limited(spark, folder, 85)
+
+
+@query(f"""SELECT subject_id, (event_seq - 1) // 10 AS page, string_agg(line, '' ORDER BY event_seq) AS text FROM {LINES} GROUP BY ALL""")
+def history_pages(spark, folder):
+    """The pages of all subjects, each once."""
+    events = history.text_events(clean_hospital(spark, folder))
+    return narrative.paged_histories(events, stored_labels(spark, folder, "hospitalisation"), 10)[0]
+
+
+@query(f"""SELECT subject_id, prediction_time, page, text FROM (SELECT *, max(page) OVER (PARTITION BY subject_id, prediction_time) AS last FROM (
+    SELECT l.subject_id, l.prediction_time, (e.event_seq - 1) // 10 AS page, string_agg(e.line, '' ORDER BY e.event_seq) AS text
+    FROM {HOSPITALISATION} l JOIN {LINES} e ON e.subject_id = l.subject_id AND e.time <= l.prediction_time GROUP BY ALL)) WHERE page = last""")
+def history_page_cuts(spark, folder):
+    """Each label's last page, cut at its last line; with the pages before it this is the label's history."""
+    events = history.text_events(clean_hospital(spark, folder))
+    ends = narrative.paged_histories(events, stored_labels(spark, folder, "hospitalisation"), 10)[1]
+    return ends.select("subject_id", "prediction_time", "page", "text")
+
+
 THINKING = "CASE WHEN regexp_matches(model_output, '(?s)<think>(.*?)</think>') THEN trim(regexp_extract(model_output, '(?s)<think>(.*?)</think>', 1), chr(10) || ' ') END"
 EXPLANATION = """CASE WHEN regexp_matches(model_output, '(?i)Explanation:') THEN trim(regexp_extract(regexp_replace(
     regexp_extract(model_output, '(?is)Explanation:\\s*(.*)$', 1), '(?is)(Answer:|Probability:).*$', ''), '(?s)^(.*)$', 1), chr(10) || ' ') END"""

@@ -17,6 +17,7 @@ TITLE = "# Patient's Electronic Health Record\n\n"
 AGE_HEADER = "## Age {} years {} days\n"
 TIME_HEADER = "### {}\n"
 CATEGORY_HEADER = "#### {}\n"
+KNOWN_AGE = r"^## Age \d+ years \d+ days\n"  # a line that opens the section of a known age
 NO_TIME = "Time Unspecified"
 NO_AGE = -1
 
@@ -94,7 +95,7 @@ class Pages:
     """The lines of all subjects, stored once as pages of `size` numbers of `event_seq`, so of at most as many lines.
 
     A row holds subject_id, page, text, and per line of the page: `lines`, its `event_seq`, `times`, and `chars` and (when asked for) `tokens`, the
-    characters and tokens of the subject's lines up to and including it, and `heads`, whether it opens an age section.
+    characters and tokens of the subject's lines up to and including it, and `heads`, whether it opens the section of a known age.
     `chars_before` and `tokens_before` count those of the earlier pages. So any run of lines is a substring of a page's text,
     and its length in characters and tokens a difference, without another look at the text.
     """
@@ -109,7 +110,7 @@ class Pages:
         counted = {"__tokens": F.lit(0) if tokens is None else tokens(F.col("line")), "__chars": F.length("line")}
         lines = render_lines(as_timeline(events), on_null).pipe(lambda df: df.withColumns({n: c.cast("bigint") for n, c in counted.items()}))
         lines = lines.run(__chars_upto=Run("sum", F.col("__chars")), __tokens_upto=Run("sum", F.col("__tokens")))
-        head = F.col("line").startswith(AGE_HEADER.split("{")[0])
+        head = F.col("line").rlike(KNOWN_AGE)
         entry = F.struct(
             F.col("event_seq").alias("n"), "time", "line", F.col("__chars_upto").alias("chars"), F.col("__tokens_upto").alias("tokens"), head.alias("head")
         )

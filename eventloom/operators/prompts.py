@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from eventloom.functions.numbers import clamp
-from eventloom.functions.text import extract_or_null, strip_text
+from eventloom.functions.text import extract_or_null, strip_text, strip_text_end
+from eventloom.operators.narrative import TITLE, Pages, cut_texts, last_lines
+from eventloom.plans.timeline import Run, Timeline, lay_out, written
+from eventloom.sources.tables import LABEL_COLUMNS
 
 # The prompt and the header at which a history may be cut.
 TEMPLATE = """# Patient's Electronic Health Record
@@ -77,10 +80,56 @@ def from_age_header(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?ms)\A.*?(?={AGE_HEADER})", "")
 
 
-Tokenizer = Callable[[], tuple[Callable[[str], list], Callable[[list], str]]]
 Wrap = Callable[[Column], Column]
 
 
+def limited_narratives(
+    events: DataFrame | Timeline,
+    labels: DataFrame,
+    max_prompt_length: int,
+    template: str = TEMPLATE,
+    wrap: Wrap = lambda prompt: prompt,
+    keep: Sequence[str] = (),
+    on_null: str = "skip",
+) -> DataFrame:
+    """`limit_history` over `narratives`, without writing out or counting any full history.
+
+    `labels` need a `task_description`; `keep` names further columns of theirs. Words are counted once per line. The length of
+    a history is the running count at its last line; where it must be cut is found by placing the count among the running
+    counts of the subject's lines, in the same ordered pass as the next header of a known age. Only the lines that stay
+    are then taken from their pages, and only a cut inside a line looks at words again, at most `max_prompt_length` of them
+    and those of one line.
+    """
+    pages = Pages.of(events, on_null, tokens=token_count)
+    columns = ["subject_id", "prediction_time", *LABEL_COLUMNS, "task_description", *keep]
+    cuts = last_lines(pages, labels.select(*columns))
+    left = F.lit(max_prompt_length) - token_count(wrap(format_prompt(F.lit(""), F.col("task_description"), template)))
+    fits = len(TITLE.split()) + F.col("__last_tokens") <= left
+    cuts = cuts.withColumn("available_tokens", F.when(~fits, left).cast("int"))
+    lines = pages.line_rows().select(
+        "subject_id", F.col("before").alias("__at"), F.lit(0).alias("__kind"), "line", F.when(F.col("head"), F.col("line")).alias("__head_line")
+    )
+    dropped = (F.col("__last_tokens") - F.col("available_tokens")).alias("__at")
+    asked = cuts.filter("available_tokens > 0").select("subject_id", dropped, F.lit(-1).alias("__kind"), F.struct("*").alias("__row"))
+    line = lay_out(lines.unionByName(asked, allowMissingColumns=True), ["subject_id"], ["__at", "__kind"])
+    line = line.run(__before=Run("max", F.col("line"))).run(reverse=True, __next=Run("min", F.col("__head_line")))
+    header = F.when(F.col("__next") <= F.col("__row.__last"), F.col("__next"))
+    found = line.rows().filter("__kind = -1").select("__row.*", header.alias("__header"), "__before")
+    whole = cuts.filter("available_tokens IS NULL").withColumns({"__header": F.lit(None).cast("bigint"), "__before": F.lit(None).cast("bigint")})
+    spans = written(found.unionByName(whole), "spans")
+    texts = cut_texts(pages, spans, F.coalesce("__header", "__before", F.lit(1)))
+    kept = strip_text_end(F.col("__text"))
+    from_title = F.concat(F.lit(TITLE), kept)
+    part = last_tokens(F.when(F.col("__before").isNull(), from_title).otherwise(kept), F.col("available_tokens"))
+    text = F.when(F.col("available_tokens").isNull(), from_title).when(F.col("__header").isNotNull(), kept).otherwise(part)
+    out = [*columns, "available_tokens"]
+    none = cuts.filter("available_tokens <= 0").select(*out, F.lit(None).cast("string").alias("text"))
+    return texts.select(*out, text.alias("text")).unionByName(none)
+
+
+Tokenizer = Callable[[], tuple[Callable[[str], list], Callable[[list], str]]]
+
+
 def limit_history(
     dataset: DataFrame, max_prompt_length: int | None, template: str = TEMPLATE, text: str = "text", wrap: Wrap = lambda prompt: prompt
 ) -> DataFrame:
