@@ -237,7 +237,7 @@ def mismatch_report(spark, folder):
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def keys_without_partner(spark, folder):
     orders, lines = view(spark, folder, "admissions"), view(spark, folder, "diagnoses")
-    return orders.select("hadm_id").join(lines.select("hadm_id"), "hadm_id", "left_anti").withColumnRenamed("hadm_id", "o_orderkey")
+    return cohort.keys_without_partner(orders, lines, ["hadm_id"]).withColumnRenamed("hadm_id", "o_orderkey")
 
 
 @query(f"SELECT h.* FROM {{hospital}} h WHERE subject_id IN (SELECT subject_id FROM {HOSPITALISATION} WHERE boolean_value)")

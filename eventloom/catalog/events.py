@@ -190,10 +190,10 @@ def order_events(spark, folder):
     return t.order_events(view(spark, folder, "ord"), ["ORDER//5", "ORDER//1"], tie_breakers=["order_id"]).rows()
 
 
-@query(ORDERED)
+@query(f"SELECT *, row_number() OVER (ORDER BY subject_id, event_seq) AS position FROM ({ORDERED})")
 def order_events_globally(spark, folder):
     ordered = t.order_events(view(spark, folder, "ord"), ["ORDER//5", "ORDER//1"], tie_breakers=["order_id"])
-    return t.globally_sorted(ordered.rows())
+    return t.globally_sorted(ordered.rows(), "position")
 
 
 @query("""SELECT event_id, row_number() OVER (PARTITION BY subject_id ORDER BY time, CASE WHEN starts_with(code, 'DEATH') THEN 0

@@ -339,7 +339,8 @@ def split_and_shard_subjects(spark, folder):
     return splits(spark, folder)
 
 
-@query(f"SELECT e.*, s.split, s.shard FROM {{ev}} e JOIN ({SPLITS}) s USING (subject_id)")
+@query(f"""SELECT e.*, s.split, s.shard, row_number() OVER (PARTITION BY s.split, s.shard ORDER BY subject_id, time, code, numeric_value NULLS LAST, text_value NULLS LAST, event_id) AS row
+    FROM {{ev}} e JOIN ({SPLITS}) s USING (subject_id)""")
 def merge_cohort(spark, folder):
     return extract.merge_cohort(view(spark, folder, "ev"), splits(spark, folder))
 

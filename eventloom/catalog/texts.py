@@ -12,7 +12,7 @@ from eventloom.catalog.registry import query, table, view
 from eventloom.operators import narrative, prompts
 from eventloom.plans import history
 from eventloom.plans.cohorts import COHORTS
-from eventloom.plans.timeline import written
+from eventloom.plans.timeline import lay_out, written
 
 LINES = f"""(SELECT *, CASE WHEN a THEN '## Age ' || y || ' years ' || d || ' days\n' ELSE '' END || CASE WHEN a OR t THEN '### ' || tod || '\n' ELSE '' END
     || CASE WHEN a OR t OR p THEN '#### ' || prefix || '\n' ELSE '' END || code || '\n' AS line FROM (SELECT *,
@@ -223,7 +223,38 @@ def batched_scoring(spark, folder):
     return scored.select("subject_id", "task", "prompt_length", "parsed_answer", "parsed_probability")
 
 
-@query("SELECT doc_id, length(text) AS prompt_length FROM documents")
+@query("SELECT doc_id, prompt_length, row_number() OVER (ORDER BY prompt_length DESC, doc_id) AS position FROM (SELECT doc_id, length(text) AS prompt_length FROM documents)")
 def longest_prompts_first(spark, folder):
+    """All prompts in order of length, with their positions."""
     rows = table(spark, folder, "documents").select("doc_id", F.length("text").alias("prompt_length"))
-    return prompts.longest_first(rows)
+    return prompts.longest_first(rows, number="position", ties=["doc_id"])
+
+
+BUCKET = "(length(bin(n)) - 1) * 4 + CASE WHEN length(bin(n)) < 3 THEN 0 ELSE (n >> (length(bin(n)) - 3)) & 3 END"
+LARGEST = "CASE WHEN bucket < 8 THEN (2 << (bucket // 4)) - 1 ELSE ((bucket % 4 + 5) << (bucket // 4 - 2)) - 1 END"
+BATCHES = f"""(SELECT doc_id, n, bucket, (place // capacity)::BIGINT AS batch, (place % capacity)::BIGINT AS row FROM (SELECT *, greatest(least(48, 60000 // greatest({LARGEST}, 1)), 1) AS capacity,
+    row_number() OVER (PARTITION BY bucket ORDER BY n DESC, doc_id) - 1 AS place FROM (SELECT doc_id, n, ({BUCKET})::INT AS bucket FROM (SELECT doc_id, length(text) AS n FROM documents))))"""
+
+
+def batches_of_documents(spark, folder):
+    rows = table(spark, folder, "documents").select("doc_id", F.length("text").alias("prompt_length"))
+    return prompts.length_batches(rows, 48, 60_000, ties=["doc_id"])
+
+
+@query(f"SELECT doc_id, n AS prompt_length, bucket, batch, row FROM {BATCHES}")
+def length_batches(spark, folder):
+    """Batches of one length class, at most 48 documents and 60,000 padded characters."""
+    return batches_of_documents(spark, folder)
+
+
+@query(f"""SELECT 'by length' AS kind, round(1 - sum(used)::DOUBLE / sum(padded), 9) AS padding FROM (SELECT sum(n) AS used, count(*) * max(n) AS padded FROM {BATCHES} GROUP BY bucket, batch)
+    UNION ALL SELECT 'as they come', round(1 - sum(used)::DOUBLE / sum(padded), 9) FROM (SELECT sum(n) AS used, count(*) * max(n) AS padded
+      FROM (SELECT length(text) AS n, (row_number() OVER (ORDER BY doc_id) - 1) // 48 AS batch FROM documents) GROUP BY batch)""")
+def padding_share(spark, folder):
+    """How much of what a model reads is padding, with batches by length and with batches of 48 as they come."""
+    by_length = batches_of_documents(spark, folder).groupBy("bucket", "batch").agg(F.sum("prompt_length").alias("used"), (F.count(F.lit(1)) * F.max("prompt_length")).alias("padded"))
+    plain = table(spark, folder, "documents").select("doc_id", F.length("text").alias("n"))
+    plain = lay_out(plain, [], ["doc_id"]).numbered("at").rows().groupBy(F.floor((F.col("at") - 1) / 48).alias("batch"))
+    plain = plain.agg(F.sum("n").alias("used"), (F.count(F.lit(1)) * F.max("n")).alias("padded"))
+    share = F.round(1 - F.sum("used") / F.sum("padded"), 9).alias("padding")
+    return by_length.agg(share).select(F.lit("by length").alias("kind"), "padding").union(plain.agg(share).select(F.lit("as they come"), "padding"))

@@ -324,29 +324,62 @@ def combine_labels(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("su
 LABEL_KEYS = ["split", "shard", "subject_id", "prediction_time"]
 
 
+def _fingerprints(labels: DataFrame) -> DataFrame:
+    """Per task and shard the number of keys and sums of two hashes of them, whatever their order; stored, as it is small.
+
+    The halves of a hash are added up apart, so a sum stays within 64 bits for some four billion keys of a shard.
+    """
+    sums = []
+    for i in range(2):
+        number = F.xxhash64(F.lit(i), *LABEL_KEYS)
+        sums += [F.sum(number.bitwiseAND(0xFFFFFFFF)).alias(f"low_{i}"), F.sum(F.shiftrightunsigned(number, 32)).alias(f"high_{i}")]
+    counted = labels.filter("task IS NOT NULL").groupBy("task", "split", "shard").agg(F.count(F.lit(1)).alias("n"), *sums)
+    return written(counted, "fingerprints")
+
+
+def _missing_keys(labels: DataFrame, first: str, shards: DataFrame) -> DataFrame:
+    """How many keys of the reference each task lacks, in the given (task, split, shard) only."""
+    where = shards.select(*[F.col(c).alias(f"__{c}") for c in ("task", "split", "shard")])
+    there = F.col("split").eqNullSafe(F.col("__split")) & F.col("shard").eqNullSafe(F.col("__shard"))
+    own = labels.join(where, there & (F.col("task") == F.col("__task")))
+    reference = labels.filter(F.col("task") == first).join(where, there)
+    is_own = F.when(F.col("task") == F.col("__task"), 1).otherwise(0)
+    keys = own.unionByName(reference).groupBy("__task", *LABEL_KEYS).agg(F.sum(1 - is_own).alias("r"), F.sum(is_own).alias("t"))
+    return keys.groupBy("__task", "split", "shard").agg(F.sum(F.greatest(F.col("r") - F.col("t"), F.lit(0))).alias("only")).select(
+        F.col("__task").alias("task"), "split", "shard", "only"
+    )
+
+
 def validate_labels(labels: DataFrame, reference_task: str | None = None) -> DataFrame:
     """One verdict per other task and shard of the reference task (the first by name): ok, missing or mismatch.
 
-    The tasks are few and become columns, so every key (split, shard, subject, time) is counted for all tasks in one
-    exchange and compared within its row; shards that a task lacks show up as counts of zero.
+    Shards are compared by their fingerprints, one small aggregate. Keys are exchanged only for the shards of a task that
+    hold keys but not those of the reference, in order to count the ones that it lacks. Two shards with equal fingerprints
+    are taken for equal.
     """
-    names = sorted(r.task for r in labels.select("task").distinct().collect() if r.task is not None)  # one name per task
+    prints = _fingerprints(labels.select("task", *LABEL_KEYS))
+    names = sorted(r.task for r in prints.select("task").distinct().collect())  # one name per task
     first = reference_task or (names[0] if names else None)
-    others = [name for name in names if name != first]
-    in_task = [F.count_if(F.col("task") == name).alias(f"__task_{i}") for i, name in enumerate(others)]
-    per_key = labels.groupBy(*LABEL_KEYS).agg(F.count_if(F.col("task") == F.lit(first)).alias("n_reference"), *in_task)
-    reference = F.col("n_reference")
-    sums = []
-    for i in range(len(others)):
-        own = F.col(f"__task_{i}")
-        sums += [F.sum(own).alias(f"__n_{i}"), F.sum(F.greatest(reference - own, F.lit(0))).alias(f"__only_{i}")]
-    per_shard = per_key.groupBy("split", "shard").agg(F.sum(reference).alias("n_reference"), *sums).filter("n_reference > 0")
-    entries = [
-        F.struct(F.lit(name).alias("task"), F.col(f"__n_{i}").alias("n_task"), F.col(f"__only_{i}").alias("n_only_in_reference"))
-        for i, name in enumerate(others)
-    ]
-    empty = F.array().cast("array<struct<task:string,n_task:bigint,n_only_in_reference:bigint>>")
-    rows = per_shard.select("split", "shard", "n_reference", F.inline(F.array(*entries) if entries else empty))
+    others = F.array(*[F.lit(name) for name in names if name != first]).cast("array<string>")
+    values = [c for c in prints.columns if c not in ("task", "split", "shard")]
+    reference = prints.filter(F.col("task") == F.lit(first)).select("split", "shard", *[F.col(c).alias(f"ref_{c}") for c in values])
+    reference = reference.withColumn("task", F.explode(others))
+    own = prints.select(*[F.col(c).alias(f"own_{c}") for c in prints.columns])
+    same_shard = [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in ("task", "split", "shard")]
+    pairs = reference.join(own, functools.reduce(Column.__and__, same_shard), "left")
+    n_task = F.coalesce("own_n", F.lit(0)).cast("bigint")
+    equal = functools.reduce(Column.__and__, [F.col(f"ref_{c}").eqNullSafe(F.col(f"own_{c}")) for c in values])
+    pairs = pairs.select("task", "split", "shard", F.col("ref_n").alias("n_reference"), n_task.alias("n_task"), equal.alias("equal"))
+    unequal = pairs.filter("n_task > 0 AND NOT equal")
+    known = F.when(F.col("n_task") == 0, F.col("n_reference")).when(F.col("equal"), 0)
+    if not unequal.isEmpty():
+        counted = _missing_keys(labels.select("task", *LABEL_KEYS), first, unequal).select(
+            *[F.col(c).alias(f"of_{c}") for c in ("task", "split", "shard")], "only"
+        )
+        here = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in ("task", "split", "shard")]
+        pairs = pairs.join(counted, functools.reduce(Column.__and__, here), "left")
+        known = F.coalesce(known, "only")
+    rows = pairs.withColumn("n_only_in_reference", known.cast("bigint"))
     verdict = (
         F.when(F.col("n_task") == 0, "missing")
         .when((F.col("n_only_in_reference") == 0) & (F.col("n_task") == F.col("n_reference")), "ok")
@@ -362,9 +395,12 @@ def labels_are_valid(labels: DataFrame, reference_task: str | None = None) -> bo
     return validate_labels(labels, reference_task).filter("status != 'ok'").isEmpty()
 
 
+def keys_without_partner(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys of `left` that `right` lacks, one row for each row of `left`."""
+    return left.select(*keys).join(right.select(*keys), list(keys), "left_anti")
+
+
 def mismatched_keys(labels: DataFrame, task: str, reference_task: str, n: int | None = 5) -> DataFrame:
     """Reference keys that another task lacks, in key order; the report shows the first five."""
-    keys = LABEL_KEYS
-    reference = labels.filter(F.col("task") == reference_task).select(*keys)
-    missing = reference.join(labels.filter(F.col("task") == task).select(*keys), keys, "left_anti")
-    return missing if n is None else missing.orderBy(*keys).limit(n)
+    missing = keys_without_partner(labels.filter(F.col("task") == reference_task), labels.filter(F.col("task") == task), LABEL_KEYS)
+    return missing if n is None else missing.orderBy(*LABEL_KEYS).limit(n)

@@ -147,11 +147,17 @@ def finalise_events(df: DataFrame) -> DataFrame:
     return df.select(*known, *[c for c in df.columns if c not in EVENT_TYPES])
 
 
-def merge_cohort(df: DataFrame, splits: DataFrame, order: Sequence[str] = ("time", "code")) -> DataFrame:
-    """All events with split and shard, each subject's rows together and in order, ready to be written per shard."""
-    first = ["split", "shard", "subject_id", *order]
+def merge_cohort(df: DataFrame, splits: DataFrame, order: Sequence[str] = ("time", "code"), number: str = "row") -> DataFrame:
+    """All events with split and shard, each shard's rows together, in order and numbered, ready to be written per shard.
+
+    Rows are ordered within their shard only, by subject, `order` and then all other columns. A shard with too many rows
+    for a task is divided into ranges of that order.
+    """
+    first = ["subject_id", *order]
     rest = [c for c in df.columns if c not in first]  # ties by all other columns, so that the order is total
-    return with_splits(df, splits).orderBy(*(F.col(c).asc_nulls_last() for c in [*first, *rest]))
+    return lay_out(with_splits(df, splits), ["split", "shard"], [*first, *rest]).numbered(number).gather(
+        lambda part: part.sortWithinPartitions("split", "shard", number)
+    )
 
 
 def code_metadata(df: DataFrame) -> DataFrame:

@@ -229,14 +229,44 @@ def left_out(
     return unknown.unionByName(unfit.select("task", F.lit("too long").alias("reason"), "n_rows"))
 
 
-def longest_first(dataset: DataFrame) -> DataFrame:
+def longest_first(dataset: DataFrame, number: str | None = None, ties: Sequence[str] = ("prompt",)) -> DataFrame:
     """Longest prompts first within each partition, so that batches hold prompts of similar length.
 
-    Equal lengths are ordered by the prompt and then by a hash of the row, so that batches are the same in every run.
+    Equal lengths are ordered by `ties` and then by a hash of the row, so that batches are the same in every run. With
+    `number` all prompts are put into one order and numbered from 1 in that column; a large table is divided into ranges.
     """
-    ties = [c for c in ("prompt",) if c in dataset.columns]
+    ties = [c for c in ties if c in dataset.columns]
     plain = [f.name for f in dataset.schema if f.dataType.typeName() not in ("map", "variant")]
-    return dataset.sortWithinPartitions(F.desc("prompt_length"), *ties, F.xxhash64(*plain))
+    if number is None:
+        return dataset.sortWithinPartitions(F.desc("prompt_length"), *ties, F.xxhash64(*plain))
+    hashed = dataset.withColumn("__tie", F.xxhash64(*plain))
+    return lay_out(hashed, [], ["-prompt_length", *ties, "__tie"]).numbered(number).rows().drop("__tie").orderBy(number)
+
+
+def length_bucket(length: Column) -> Column:
+    """The length class: four classes between a power of two and the next, so lengths of a class differ by less than a fourth."""
+    bits = F.length(F.bin(length)) - 1
+    quarter = F.when(bits < 2, 0).otherwise(F.call_function("shiftright", length, F.greatest(bits - 2, F.lit(0))).bitwiseAND(3))
+    return (bits * 4 + quarter).cast("int")
+
+
+def length_batches(dataset: DataFrame, batch_size: int, token_budget: int, ties: Sequence[str] = ("prompt",)) -> DataFrame:
+    """Deal prompts into batches of one length class: at most `batch_size` prompts, and as many as the class's largest length
+    allows within `token_budget` once padded, but one at least. Adds `bucket`, `batch` and `row`, its place in the batch.
+
+    Batches do not depend on one another, so every length class is numbered apart, longest first, and a class that holds many
+    prompts is divided over tasks. Prompts without length have no batch and are left out.
+    """
+    sized = dataset.filter("prompt_length IS NOT NULL").withColumn("bucket", length_bucket(F.col("prompt_length")))
+    line = lay_out(sized, ["bucket"], ["-prompt_length", *ties]).numbered("__n")
+    bits, quarter = F.floor(F.col("bucket") / 4).cast("int"), F.col("bucket") % 4
+    largest = F.when(bits < 2, F.call_function("shiftleft", F.lit(2), bits) - 1).otherwise(
+        F.call_function("shiftleft", quarter + 5, F.greatest(bits - 2, F.lit(0))) - 1
+    )
+    capacity = F.greatest(F.least(F.lit(batch_size), F.floor(F.lit(token_budget) / F.greatest(largest, F.lit(1)))), F.lit(1))
+    place = F.col("__n") - 1
+    rows = line.rows().withColumns({"batch": F.floor(place / capacity).cast("bigint"), "row": (place % capacity).cast("bigint")})
+    return rows.drop("__n")
 
 
 def score(

@@ -201,6 +201,11 @@ def order_events(
     return timeline.pipe(lambda d: d.drop("__priority")).ordered_by("event_seq")
 
 
-def globally_sorted(df: DataFrame) -> DataFrame:
-    """One total order over all subjects, for output files; range-partitioned, so no subject is bound to one task."""
-    return df.orderBy("subject_id", "event_seq")
+def globally_sorted(df: DataFrame, number: str | None = None) -> DataFrame:
+    """One total order over all subjects, for output files; range-partitioned, so no subject is bound to one task.
+
+    `number` names a column for the position of each row, from 1.
+    """
+    if number is not None:
+        df = lay_out(df, [], ["subject_id", "event_seq"]).numbered(number).rows()
+    return df.orderBy(F.col("subject_id").asc_nulls_last(), F.col("event_seq").asc_nulls_last())
