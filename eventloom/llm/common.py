@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from eventloom.plans.timeline import written
 
-__all__ = ["absent", "complete_groups", "held_out", "read", "remainder", "small_batches", "spread", "text_of", "written"]
+__all__ = ["absent", "arrow_rows", "complete_groups", "held_out", "read", "remainder", "small_batches", "spread", "text_of", "written"]
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROWS_AT_ONCE = 500
@@ -41,6 +42,17 @@ def small_batches(df: DataFrame) -> None:
         conf.set(ARROW_ROWS, str(ROWS_AT_ONCE))
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Hand at most `rows` rows at a time to Python in the jobs that run inside the block; the setting is restored after it."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 def text_of(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 

@@ -3,7 +3,7 @@
 The documents are dealt into shards of bounded size, in the order in which they are read. A shard is a grid with a row for
 each of its terms (the most frequent first) and a column for each of its documents (the shortest first). The grid is a
 compressed quadtree: a level holds, for each cell that is not empty, four bits that tell which quadrants are not empty and
-the largest impact inside; children lie in Morton order, so a child is found by counting bits and no empty cell is stored.
+the largest impact inside, rounded up to 16 bits; children lie in Morton order, so a child is found by counting bits and no empty cell is stored.
 A cell of the last level is one term in one document and its impact is exact.
 
 An item descends with the paths of its terms' rows together: a state is a range of documents with the cell of every term
@@ -32,17 +32,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import small_batches, text_of, written
+from eventloom.llm.common import ROWS_AT_ONCE, arrow_rows, text_of, written
 from eventloom.llm.words import groups, hash_terms
 from eventloom.plans.timeline import run_folder
 
 SHARD_DOCUMENTS = 4_096
-SHARD_POSTINGS = 500_000
+SHARD_POSTINGS = 300_000
 ROW_GROUP_BYTES = 16 << 20
 ITEM_BLOCK = 10_000  # items that the driver and each task hold at once
 FIRST_SHARDS = 8
-STRETCH = 4  # rows lie 2**STRETCH apart, so cells of up to as many documents hold one term
-CHUNK = 128  # document ranges that are taken from the heap at once
+STEP_BITS = 4  # cells above the last level keep their impact in steps of 2**STEP_BITS, rounded up, in 16 bits
+CHUNK = 512  # document ranges that are taken from the heap at once
 TOP = 20
 
 _SHARD = (
@@ -121,7 +121,7 @@ class _Grid:
         by_length = np.argsort(length, kind="stable")
         column = np.empty(len(length), np.int64)
         column[by_length] = np.arange(len(length))
-        masks, largest = quadtree(lines[which].astype(np.int64) << STRETCH, column[own], impact(tf, length[own], documents, terms))
+        masks, largest = quadtree(lines[which].astype(np.int64), column[own], impact(tf, length[own], documents, terms))
         return {
             "shard": shard,
             "ids": np.array([i or 0 for i in self.ids], np.int64)[by_length].tobytes(),
@@ -130,7 +130,7 @@ class _Grid:
             "lines": lines.tobytes(),
             "counts": counts.astype(np.uint32).tobytes(),
             "masks": [m.tobytes() for m in masks],
-            "impacts": [v.tobytes() for v in largest],
+            "impacts": [(-(-v.astype(np.int64) >> STEP_BITS)).astype(np.uint16).tobytes() for v in largest[:-1]] + [largest[-1].tobytes()],
         }
 
 
@@ -147,7 +147,6 @@ def build(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_documents: int = SHARD_DOCUMENTS, shard_postings: int = SHARD_POSTINGS
 ) -> Index:
     """Index all documents: one pass counts documents and terms, one makes and stores the shards. Nothing is shuffled."""
-    small_batches(docs)
     spark = docs.sparkSession
     number = F.col(id_col).cast("bigint")
     rows = docs.select(F.coalesce(number, F.lit(0)).alias("id"), number.isNull().alias("unnamed"), text_of(text_col).alias("text"))
@@ -161,7 +160,8 @@ def build(
                 documents, terms = documents + int((lengths > 0).sum()), terms + int(lengths.sum())
         yield pd.DataFrame({"documents": [documents], "terms": [terms]})
 
-    sums = rows.select("text").mapInPandas(count, "documents bigint, terms bigint").agg(F.sum("documents"), F.sum("terms")).first()
+    with arrow_rows(spark, ROWS_AT_ONCE):
+        sums = rows.select("text").mapInPandas(count, "documents bigint, terms bigint").agg(F.sum("documents"), F.sum("terms")).first()
     documents, terms = int(sums[0] or 0), int(sums[1] or 0)
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,7 +178,8 @@ def build(
             yield pd.DataFrame([grid.row(f"{task}-{made}", documents, terms)])
 
     place = f"{run_folder(spark)}/k2-treap-{uuid.uuid4().hex}"
-    rows.mapInPandas(make, _SHARD).write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(place)
+    with arrow_rows(spark, ROWS_AT_ONCE):
+        rows.mapInPandas(make, _SHARD).write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(place)
     return Index(spark.read.schema(_SHARD).parquet(place), documents, terms)
 
 
@@ -189,9 +190,10 @@ class _Shard:
         self.ids = np.frombuffer(row.ids, np.int64)
         self.unnamed = np.frombuffer(row.unnamed, bool)
         self.known = np.frombuffer(row.terms, np.uint64)
-        self.lines = np.frombuffer(row.lines, np.uint32).astype(np.int64) << STRETCH
+        self.lines = np.frombuffer(row.lines, np.uint32).astype(np.int64)
         self.masks = [np.frombuffer(m, np.uint8) for m in row.masks]
-        self.impacts = [np.frombuffer(v, np.uint32) for v in row.impacts]
+        self.impacts = [np.frombuffer(v, np.uint16).astype(np.uint32) << STEP_BITS for v in row.impacts[:-1]]
+        self.impacts.append(np.frombuffer(row.impacts[-1], np.uint32))
         self.first = [np.cumsum(_BITS[m], dtype=np.int64) - _BITS[m] for m in self.masks]
 
     def lines_of(self, terms: np.ndarray) -> np.ndarray:
@@ -293,8 +295,9 @@ def _document_counts(index: Index, terms: np.ndarray) -> np.ndarray:
     out = np.zeros(len(terms), np.int64)
     if len(terms):
         found = index.shards.select("terms", "counts").mapInPandas(look_up, "term bigint, n bigint")
-        for r in found.groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most a row for each term of the items
-            out[r.term] = r.n
+        with arrow_rows(index.shards.sparkSession, 1):
+            for r in found.groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most a row for each term of the items
+                out[r.term] = r.n
     return out
 
 
@@ -319,7 +322,9 @@ def _answers(shards: DataFrame, asked: _Asked, floors: np.ndarray, top: int) ->
                     out += [(item, i, s) for i, s in zip(named, scores[best].tolist(), strict=True)]
                 yield pd.DataFrame(out, columns=["item", "doc_id", "score"], dtype=object)
 
-    return shards.select("ids", "unnamed", "terms", "lines", "masks", "impacts").mapInPandas(run, "item int, doc_id bigint, score bigint")
+    found = shards.select("ids", "unnamed", "terms", "lines", "masks", "impacts").mapInPandas(run, "item int, doc_id bigint, score bigint")
+    with arrow_rows(shards.sparkSession, 1):  # one shard at a time
+        return written(found, "found")
 
 
 def search(
