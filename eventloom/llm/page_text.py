@@ -85,6 +85,7 @@ def parse(page: str) -> Node:
     """The block elements of a page. Unclosed elements end where the next one needs it, or with the page."""
     root = current = Node("body", None)
     stack: list[str] = []  # open elements, inline ones too
+    open_at: dict[str, list[int]] = {}  # their places in the stack by name
     owners: list[Node] = []  # the current block at each of them
     run: list[str] = []
     links = silent = 0
@@ -105,12 +106,18 @@ def parse(page: str) -> Node:
         nonlocal current, links, silent
         while len(stack) > at:
             name, owner = stack.pop(), owners.pop()
+            open_at[name].pop()
             links -= name == "a"
             silent -= name in SILENT
             if name in BLOCKS:
                 flush()
                 current = owner
 
+    def opened(name: str, owner: Node) -> None:
+        open_at.setdefault(name, []).append(len(stack))
+        stack.append(name)
+        owners.append(owner)
+
     def add(text: str) -> None:
         if text and not silent:
             run.append(text)
@@ -130,18 +137,18 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if slash:
-            if name in stack:
-                close(len(stack) - 1 - stack[::-1].index(name))
+            if open_at.get(name):
+                close(open_at[name][-1])
             continue
         if name in RAW:
-            end = page.lower().find(f"</{name}", at) if name not in ("script", "style") else _end(page, name, at)
+            end = _end(page, name, at)
             at = len(page) if end < 0 else page.find(">", end) + 1 or len(page)
             continue
         if name in BLOCKS:
-            if "head" in stack:  # an unclosed head ends with the first block
-                close(stack.index("head"))
+            if open_at.get("head"):  # an unclosed head ends with the first block
+                close(open_at["head"][0])
             if name not in ("body", "html"):
-                _imply(name, stack, close)
+                _imply(name, open_at, close)
             if not silent:
                 flush()
                 if name not in ("body", "html", "hr"):
@@ -150,21 +157,18 @@ def parse(page: str) -> Node:
                         current.parts = []
                     node = Node(name, current, attrs)
                     current.children.append(node)
-                    stack.append(name)
-                    owners.append(current)
+                    opened(name, current)
                     current = node
                     continue
             if name not in ("body", "html", "hr"):
-                stack.append(name)
-                owners.append(current)
+                opened(name, current)
             continue
         current.tags += 1
         if name == "br":
             add("\n")
         if name in VOID or attrs.endswith("/"):
             continue
-        stack.append(name)
-        owners.append(current)
+        opened(name, current)
         links += name == "a"
         silent += name in SILENT
     close(0)
@@ -177,17 +181,15 @@ def _end(page: str, name: str, at: int) -> int:
     return match.start() if match else -1
 
 
-def _imply(name: str, stack: list[str], close) -> None:
-    """Close what a new block ends: a paragraph, an item by the next item, cells and rows."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i] == "p" or stack[i] in CLOSED_BY.get(name, ()):
-            close(i)
-            return
-        if stack[i] in HEADINGS and name in HEADINGS:
-            close(i)
-            return
-        if stack[i] in CONTAINERS or stack[i] in ("ul", "ol"):
-            return
+def _imply(name: str, open_at: dict[str, list[int]], close) -> None:
+    """Close what a new block ends: a paragraph, an item by the next item, cells and rows; nothing beyond the nearest container."""
+
+    def innermost(names) -> int:
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=-1)
+
+    ended = innermost({"p", *CLOSED_BY.get(name, ()), *(HEADINGS if name in HEADINGS else ())})
+    if ended >= 0 and ended >= innermost({*CONTAINERS, "ul", "ol"}):
+        close(ended)
 
 
 FEATURES = 36
