@@ -301,8 +301,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The row with the least id (nulls last, then an arbitrary row) of every group of linked documents, with its columns."""
-    rows = link_classes(docs, text_col, **options)
-    best = F.min(F.struct(F.col(f"`{id_col}`").isNull().alias("a"), F.col(f"`{id_col}`").alias("b"), F.col("__uid").alias("uid")))
+    """The row with the least id (nulls last, then an arbitrary row) of every group of linked documents, with its columns.
+
+    Columns may have any names: they go by their numbers in here.
+    """
+    names = [c.lower() for c in docs.columns]
+    own = [f"c{i}" for i in range(len(names))]
+    id_at, text_at = own[names.index(id_col.lower())], own[names.index(text_col.lower())]
+    rows = link_classes(docs.toDF(*own), text_at, **options)
+    best = F.min(F.struct(F.col(id_at).isNull().alias("a"), F.col(id_at).alias("b"), F.col("__uid").alias("uid")))
     kept = rows.groupBy("__root").agg(best.alias("best")).select(F.col("best.uid").alias("__uid"))
-    return rows.join(kept, "__uid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(kept, "__uid", "left_semi").select(*own).toDF(*docs.columns)

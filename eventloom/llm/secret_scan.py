@@ -191,10 +191,15 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def redacted(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
     """`docs` with every secret replaced by a mark, overlapping ones by one; `count_col`, if there is one, follows the new text.
 
-    Texts without secrets stay as they are, null texts null.
+    Texts without secrets stay as they are, null texts null. Other columns may have any names: they go by their numbers in
+    here.
     """
-    rows = with_spans(docs.withColumnRenamed("spans", "__own_spans") if "spans" in docs.columns else docs, text_col)
-    text = F.col(f"`{text_col}`")
+    names = [c.lower() for c in docs.columns]
+    own = [f"c{i}" for i in range(len(names))]
+    of_text = own[names.index(text_col.lower())]
+    counted = own[names.index(count_col.lower())] if count_col is not None and count_col.lower() in names else None
+    rows = with_spans(docs.toDF(*own), of_text)
+    text = F.col(of_text)
     state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -206,15 +211,10 @@ def redacted(docs: DataFrame, text_col: str = "text", count_col: str | None = "n
     def rest(acc: Column) -> Column:
         return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
 
-    whole = absent(rows, "__masked")
-    rows = rows.withColumn(whole, F.aggregate("spans", state, step, rest))
-    changed = F.size("spans") > 0
-    columns = []
-    for name in docs.columns:
-        own = F.col("`__own_spans`") if name == "spans" else F.col(f"`{name}`")
-        if name == text_col:
-            own = F.when(changed, F.col(whole)).otherwise(text)
-        elif name == count_col:
-            own = F.when(changed, F.char_length(F.col(whole)).cast(docs.schema[name].dataType)).otherwise(own)
-        columns.append(own.alias(name))
-    return rows.select(*columns)
+    rows = rows.withColumn("masked", F.aggregate("spans", state, step, rest))
+    changed, values = F.size("spans") > 0, {c: F.col(c) for c in own}
+    values[of_text] = F.when(changed, F.col("masked")).otherwise(text)
+    if counted is not None:
+        kind = docs.schema.fields[own.index(counted)].dataType
+        values[counted] = F.when(changed, F.char_length("masked").cast(kind)).otherwise(F.col(counted))
+    return rows.select(*[values[c].alias(c) for c in own]).toDF(*docs.columns)
