@@ -11,7 +11,7 @@ from eventloom.operators import extract
 from eventloom.operators import statistics as st
 from eventloom.operators import transforms as t
 from eventloom.plans import history
-from eventloom.plans.timeline import lay_out
+from eventloom.plans.timeline import lay_out, written
 
 PREFIX = "split_part(code, '//', 1)"
 REST = "array_to_string(string_split(code, '//')[2:], '//')"
@@ -317,6 +317,19 @@ def value_to_quantile_token(spark, folder):
     return rows.select("order_id", F.col("quantile").cast("bigint").alias("quantile"))
 
 
+ACCURACY = 100
+
+
+@query(f"SELECT code, p, count(*) AS n, true AS bounded FROM {{ord}}, (SELECT unnest({QUANTILES}) AS p) WHERE numeric_value IS NOT NULL GROUP BY code, p HAVING min(numeric_value) < max(numeric_value)")
+def sketched_cuts_within_bounds(spark, folder):
+    """Every cut of the sketch is a value whose rank is off by at most n / accuracy rows and the step of one row."""
+    rows = view(spark, folder, "ord")
+    cuts = written(st.sketched_cuts(rows, 10, accuracy=ACCURACY), "cuts")
+    errors = st.rank_errors(rows, cuts)
+    bounded = F.col("error") <= F.col("n") / ACCURACY + 1
+    return errors.select("code", F.round("p", 9).alias("p"), "n", bounded.alias("bounded"))
+
+
 @query("SELECT l_returnflag, p, round(q[i], 4) AS quantile FROM (SELECT l_returnflag, unnest([1, 2, 3]) AS i, unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS p, quantile_cont(l_extendedprice, [0.25, 0.5, 0.75]) AS q FROM lineitem GROUP BY 1)")
 def exact_quantiles(spark, folder):
     rows = st.exact_quantiles(table(spark, folder, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.25, 0.5, 0.75])

@@ -96,6 +96,41 @@ def quantile_cuts(df: DataFrame, num_quantiles: int = 10, code_prefixes: Sequenc
     return joined.select("code", F.when(F.col("__spread"), F.col("cuts")).otherwise(F.slice("cuts", 1, 0)).alias("cuts"))
 
 
+def sketched_cuts(
+    df: DataFrame, num_quantiles: int = 10, code_prefixes: Sequence[str] | None = None, accuracy: int = 1_000
+) -> DataFrame:
+    """Cut points per code from one pass with a mergeable sketch, instead of an order over all values.
+
+    Each cut is a value of its code whose rank lies within n / accuracy of the wanted rank among the code's n values. A task
+    keeps a sketch for each code, whose size depends on the accuracy and not on the number of values, and the sketches of all
+    tasks are merged. `quantile_cuts` gives the exact cuts, with interpolation.
+    """
+    values = df.filter(F.col("numeric_value").isNotNull())
+    if code_prefixes is not None:
+        values = values.filter(starts_with_any(F.col("code"), code_prefixes))
+    probabilities = [i / num_quantiles for i in range(1, num_quantiles)]
+    found = values.groupBy("code").agg(
+        F.percentile_approx("numeric_value", probabilities, accuracy).alias("cuts"), (F.min("numeric_value") < F.max("numeric_value")).alias("__spread")
+    )
+    return found.select("code", F.when(F.col("__spread"), F.col("cuts")).otherwise(F.slice("cuts", 1, 0)).alias("cuts"))
+
+
+def rank_errors(df: DataFrame, cuts: DataFrame, num_quantiles: int = 10) -> DataFrame:
+    """Per code and wanted quantile `p`, the rows `n` and how far (in rows) the cut's rank is from the wanted one.
+
+    A value that occurs several times has a range of ranks; the error is the distance to the nearest of them.
+    """
+    asked = cuts.select("code", F.posexplode("cuts").alias("at", "cut"))
+    values = df.filter(F.col("numeric_value").isNotNull()).select("code", "numeric_value")
+    counted = values.join(asked, "code").groupBy("code", "at").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("numeric_value") < F.col("cut")).alias("below"), F.count_if(F.col("numeric_value") <= F.col("cut")).alias("upto")
+    )
+    p = (F.col("at") + 1) / num_quantiles
+    wanted = p * F.col("n")
+    error = F.greatest(F.col("below") + 1 - wanted, wanted - F.col("upto"), F.lit(0.0))
+    return counted.select("code", p.alias("p"), "n", error.alias("error"))
+
+
 def to_quantile_tokens(df: DataFrame, cuts: DataFrame) -> DataFrame:
     """Add `quantile`: 1 plus the number of cuts below the value; null without a value or cuts.
 

@@ -75,11 +75,24 @@ def join_measured(df: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
     """Left join with a lookup of one row per key, whose estimate the planner may get wrong.
 
     The lookup is stored and its rows are counted. Up to BROADCAST_ROWS it is broadcast, so a skewed key of `df` is never
-    shuffled; beyond, both sides are shuffled and adaptive execution splits large partitions.
+    shuffled. A larger one is split by the keys of `df`: the lookup's rows for the frequent keys, those with more rows than
+    a task should hold, are broadcast to the rows of these keys, which stay where they are, and only the other rows are
+    shuffled by their key. Frequent keys are few, as each stands for many rows; rows without a key are not shuffled either.
     """
     stored = written(lookup, "lookup")
-    small = stored.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(stored) if small else stored, on, "left")
+    if stored.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(stored), on, "left")
+    bound = max_rows_per_key(df.sparkSession)
+    counts = df.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
+    frequent = written(counts.filter(F.col("__n") > bound).select(on, F.lit(True).alias("__frequent")), "frequent-keys")
+    if frequent.count() > BROADCAST_ROWS:  # so many that no key holds much of the table: adaptive execution splits partitions
+        return df.join(stored, on, "left")
+    told = df.join(F.broadcast(frequent), on, "left")
+    stays = F.col("__frequent").isNotNull() | F.col(on).isNull()
+    few = stored.join(F.broadcast(frequent.select(on)), on, "left_semi")
+    staying = told.filter(stays).drop("__frequent").join(F.broadcast(few), on, "left")
+    moving = told.filter(~stays).drop("__frequent").join(stored.hint("shuffle_merge"), on, "left")
+    return staying.unionByName(moving)
 
 
 @dataclass(frozen=True)

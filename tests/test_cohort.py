@@ -166,3 +166,21 @@ def test_cohorts_share_two_exchanges(spark):
     plan = labels._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2
     assert {(r.task, r.boolean_value) for r in labels.collect()} == {("hospitalisation", True), ("ed_reattendance", False), ("critical_outcome_icu_12h", False)}
+
+
+def test_equal_shards_exchange_no_keys(spark):
+    a = [("a", s, str(n), i, i * 2) for s in ("train", "test") for n in range(2) for i in range(20)]
+    same = spark.createDataFrame(a + [("b", *r[1:]) for r in reversed(a)], KEYS)
+    checked = cohort.validate_labels(same)
+    assert "subject_id" not in checked._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.status, r.n_reference, r.n_task, r.n_only_in_reference) for r in checked.collect()} == {("ok", 20, 20, 0)}
+    one_off = spark.createDataFrame(a + [("b", *r[1:]) for r in a[1:]] + [("b", "train", "0", 99, 1)] + [(None, "train", "0", 1, 1)], KEYS)
+    found = {(r.split, r.shard): (r.status, r.n_task, r.n_only_in_reference) for r in cohort.validate_labels(one_off).collect()}
+    assert found["train", "0"] == ("mismatch", 20, 1) and set(found.values()) == {("mismatch", 20, 1), ("ok", 20, 0)}
+
+
+def test_repeated_keys_and_null_shards(spark):
+    a = [("a", "train", None, 1, 1), ("a", "train", None, 1, 1), ("a", None, "0", 2, 2), ("a", "x", "y", 5, 5)]
+    b = [("b", "train", None, 1, 1), ("b", "train", None, 3, 3), ("b", None, "0", 2, 2)]
+    found = {(r.split, r.shard): (r.status, r.n_task, r.n_only_in_reference) for r in cohort.validate_labels(spark.createDataFrame(a + b, KEYS)).collect()}
+    assert found == {("train", None): ("mismatch", 2, 1), (None, "0"): ("ok", 1, 0), ("x", "y"): ("missing", 0, 1)}

@@ -4,7 +4,8 @@ from datetime import datetime, timedelta
 from eventloom.operators import statistics as st
 from eventloom.operators.extract import split_subjects, vocabulary
 from eventloom.operators.transforms import order_events
-from eventloom.plans.timeline import SLICE, Layout, Run, lay_out
+from eventloom.plans import timeline
+from eventloom.plans.timeline import DEFAULT_MAX_ROWS, MAX_ROWS_CONF, SLICE, Layout, Run, lay_out
 from eventloom.sources.tables import cap_rows
 from pyspark.sql import functions as F
 
@@ -107,3 +108,59 @@ def test_vocabulary_and_cap(spark, layout):
     assert [(r.code, r.code_id) for r in vocabulary(df).orderBy("code_id").collect()] == [("b", 0), ("a", 1), ("c", 2)]
     rows = spark.range(20).select(F.lit("t").alias("task"), F.lit("0").alias("shard"), F.col("id").alias("subject_id"), F.col("id").alias("prediction_time"))
     assert sorted(r.subject_id for r in cap_rows(rows, 3).collect()) == [0, 1, 2] and cap_rows(rows, None).count() == 20
+
+
+def test_large_lookup_with_a_frequent_key(spark, monkeypatch):
+    """Half of the rows have one key: they stay where they are, and only the others are shuffled."""
+    monkeypatch.setattr(timeline, "BROADCAST_ROWS", 100)
+    spark.conf.set(MAX_ROWS_CONF, "1000")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        key = F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 31 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 1500))
+        rows = spark.range(0, 20_000, 1, 8).select("id", key.alias("code"))
+        lookup = spark.range(1000).select(F.when(F.col("id") == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("code"), F.col("id").alias("v"))
+        joined = timeline.join_measured(rows, lookup, "code")
+        plain = rows.join(lookup, "code", "left")
+        assert joined.columns == plain.columns
+        assert sorted(map(str, joined.collect())) == sorted(map(str, plain.collect()))
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 3000  # 20,000 rows, 10,000 of them of one key
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan and "strategy=merge" in plan
+        small = timeline.join_measured(rows, lookup.limit(50), "code")
+        assert small.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS))
+
+
+def test_one_hot_key_leaves_the_others_alone(spark):
+    """Only the hot key's rows are written and range-partitioned; the plan of the rest is that of whole keys."""
+    rows = [(1, i % 50, i) for i in range(300)] + [(k, t, 1000 * k + t) for k in range(2, 30) for t in range(5)] + [(None, 1, 5)]
+    df = spark.createDataFrame(rows, "k long, t long, i long")
+    spark.conf.set(MAX_ROWS_CONF, "100")
+    try:
+        line = lay_out(df, ["k"], ["t", "i"])
+        assert not line.sliced and line.hot.sliced
+        assert {r.k for r in line.hot.df.select("k").distinct().collect()} == {1}
+        assert line.hot.df.select(SLICE).distinct().count() > 1
+        counted = line.run(n=Run("count"))
+        plan = counted.df._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and SLICE not in plan
+        assert plan.count("Exchange hashpartitioning(k") == 1
+        got = {(r.k, r.i): r.n for r in counted.rows().collect()}
+    finally:
+        spark.conf.set(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS))
+    whole = {(r.k, r.i): r.n for r in lay_out(df, ["k"], ["t", "i"]).run(n=Run("count")).rows().collect()}
+    assert got == whole and len(got) == len(rows)
+
+
+def test_a_hot_null_key(spark):
+    df = spark.createDataFrame([(None, i) for i in range(50)] + [(1, i) for i in range(5)], "k long, i long")
+    spark.conf.set(MAX_ROWS_CONF, "10")
+    try:
+        line = lay_out(df, ["k"], ["i"])
+        assert line.hot.df.count() == 50
+        assert sorted(r.n for r in line.numbered("n").rows().collect()) == sorted([*range(1, 51), *range(1, 6)])
+    finally:
+        spark.conf.set(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS))
