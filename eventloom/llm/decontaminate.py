@@ -9,9 +9,8 @@ at least, so tables that list, for every block value, the items with a block val
 within the radius. Then the weighted Jaccard similarity of window and item is computed exactly, with windows of
 the item's own size at all starts up to the neighbouring windows, and the best is kept.
 
-Fingerprints of edited copies can lie outside the radius. So each item also has a *core*: its heaviest shingles that
-together weigh more than the item may lack at the threshold. Every window that reaches the threshold holds a shingle of the
-core, so the windows around the core's shingles in a document are compared as well, and none that reaches it is missed.
+An edited copy is found when one of its windows lies within the radius; the radius is wide for what the threshold allows,
+and windows are dense enough that few are missed (the README has the measured share).
 
 Shingles are five words; the weight of a shingle falls with the number of items that hold it (ln(1 + items / holders),
 rounded to sixteenths), so phrases that many items share count less. Items of fewer than five words are one shingle of
@@ -45,7 +44,6 @@ UNITS = 16  # weights are multiples of 1 / UNITS
 LEVELS = 4  # in fingerprints, weights are rounded to so many levels
 ITEMS_AT_ONCE = 20_000
 WORDS_AT_ONCE = 150_000
-MARKS = 22  # leading bits of shingles by which most that are in no core are told
 EPSILON = 1e-6
 RESULT = "doc_id bigint, item_id bigint, similarity double, first_word bigint, n_words bigint, distance int"
 
@@ -62,20 +60,32 @@ class Size:
     weights: list[dict[int, int]] = field(default_factory=list)  # of each item: shingle to weight
     totals: list[int] = field(default_factory=list)  # weight of each item
 
-    def index(self) -> None:
-        """For every block and value, the items whose block differs in at most RADIUS // BLOCKS bits."""
-        self.count = (min(self.counts) + max(self.counts)) // 2
-        self.step = max(1, (self.count + self.width - 1) // STEPS)
-        flips = [sum(1 << b for b in c) for n in range(RADIUS // BLOCKS + 1) for c in itertools.combinations(range(16), n)]
-        own = np.array(self.prints, np.uint64)
-        self.tables = []
-        for block in range(BLOCKS):
-            values = (own >> np.uint64(16 * block)).astype(np.uint16)
-            reached = (values[:, None] ^ np.array(flips, np.uint16)[None, :]).ravel()
-            item = np.repeat(np.arange(len(own)), len(flips))
-            order = np.argsort(reached, kind="stable")
-            counts = np.bincount(reached, minlength=1 << 16)
-            self.tables.append(((np.cumsum(counts) - counts, counts, counts > 0), item[order]))
+    def __post_init__(self) -> None:
+        self.tables: list[tuple[np.ndarray, np.ndarray]] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": None}  # made again in each worker
+
+    @property
+    def count(self) -> int:
+        return (min(self.counts) + max(self.counts)) // 2
+
+    @property
+    def step(self) -> int:
+        return max(1, (self.count + self.width - 1) // STEPS)
+
+    def index(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For every block, where each value's items begin, and the items whose block differs from it in few enough bits."""
+        if self.tables is None:
+            flips = [sum(1 << b for b in c) for n in range(RADIUS // BLOCKS + 1) for c in itertools.combinations(range(16), n)]
+            own, self.tables = np.array(self.prints, np.uint64), []
+            for block in range(BLOCKS):
+                values = (own >> np.uint64(16 * block)).astype(np.uint16)
+                reached = (values[:, None] ^ np.array(flips, np.uint16)[None, :]).ravel()
+                starts = np.zeros((1 << 16) + 1, np.int32)
+                np.cumsum(np.bincount(reached, minlength=1 << 16), out=starts[1:])
+                self.tables.append((starts, (np.argsort(reached, kind="stable") // len(flips)).astype(np.int32)))
+        return self.tables
 
 
 class Items:
@@ -104,15 +114,6 @@ class Items:
             size.totals.append(int((weights * counts).sum()))
             sums = running(hashes, self.levels(hashes), 64)
             size.prints.append(int(fingerprints(sums, np.array([0]), np.array([len(hashes)]))[0]))
-        for size in self.sizes:
-            size.index()
-        self.cores: dict[tuple[int, float], Cores] = {}
-
-    def core(self, width: int, threshold: float) -> Cores:
-        """The cores of all items whose shingles have `width` words; made once in a worker."""
-        if (width, threshold) not in self.cores:
-            self.cores[width, threshold] = Cores([(n, s) for n, s in enumerate(self.sizes) if s.width == width], threshold)
-        return self.cores[width, threshold]
 
     @staticmethod
     def _round(weight: float) -> int:
@@ -133,45 +134,6 @@ class Items:
         return np.maximum(1, np.rint(weights * LEVELS / self.heaviest)).astype(np.int64)
 
 
-class Cores:
-    """For shingles of items' cores, the (number of size, item) that have them."""
-
-    def __init__(self, sizes: list[tuple[int, Size]], threshold: float):
-        listed = []
-        for n, size in sizes:
-            for i, (weights, counts, total) in enumerate(zip(size.weights, size.shingles, size.totals, strict=True)):
-                chosen = 0
-                for h, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
-                    listed.append((h, n, i))
-                    chosen += w * counts[h]
-                    if chosen > total - threshold * total + EPSILON:
-                        break
-        listed.sort()
-        every = np.array([h for h, _, _ in listed], np.uint64)
-        self.hashes, self.starts, self.counts = np.unique(every, return_index=True, return_counts=True)
-        self.size, self.item = (np.array([x[k] for x in listed], np.int64) for k in (1, 2))
-        self.marked = np.zeros(1 << MARKS, bool)
-        self.marked[(self.hashes >> np.uint64(64 - MARKS)).astype(np.int64)] = True
-
-    def spots(self, sizes: list[Size], hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(size, item, text, first, last): places of an item's core in a text that are less than an item apart from the next."""
-        place = np.flatnonzero(self.marked[(hashes >> np.uint64(64 - MARKS)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, hashes[place]), len(self.hashes) - 1)
-        met = self.hashes[at] == hashes[place]
-        place, at = place[met], at[met]
-        counts = self.counts[at]
-        row = np.repeat(self.starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        place, size, item = np.repeat(place, counts), self.size[row], self.item[row]
-        order = np.lexsort((place, item, size))
-        place, size, item = place[order], size[order], item[order]
-        text = np.searchsorted(offsets, place, "right") - 1
-        whole = np.array([max(s.counts, default=0) for s in sizes])[size]
-        new = (np.diff(size) != 0) | (np.diff(item) != 0) | (np.diff(text) != 0) | (np.diff(place) >= whole[1:])
-        edges = np.flatnonzero(np.concatenate([[True], new, [True]])) if len(place) else np.zeros(1, np.int64)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            yield int(size[a]), int(item[a]), int(text[a]), int(place[a]), int(place[b - 1])
-
-
 def running(hashes: np.ndarray, weights: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
     """Running sums, from zero, of the weight under each set bit, and of all weight.
 
@@ -203,13 +165,13 @@ def near(size: Size, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     """All (window, item, distance) within the radius."""
     own = np.array(size.prints, np.uint64)
     windows, items = [], []
-    for block, (offsets, listed) in enumerate(size.tables):
-        value = prints.view(np.uint16)[block::BLOCKS]
-        hit = np.flatnonzero(np.take(offsets[2], value))
-        value = value[hit]
-        counts = offsets[1][value]
+    for block, (starts, listed) in enumerate(size.index()):
+        value = prints.view(np.uint16)[block::BLOCKS].astype(np.int32)
+        counts = np.take(starts, value + 1) - np.take(starts, value)
+        hit = np.flatnonzero(counts)
+        counts = counts[hit].astype(np.int64)
         windows.append(np.repeat(hit, counts))
-        begin = np.repeat(offsets[0][value] - (np.cumsum(counts) - counts), counts)
+        begin = np.repeat(starts[value[hit]] - (np.cumsum(counts) - counts), counts)
         items.append(listed[begin + np.arange(len(begin))])
     window, item = np.concatenate(windows), np.concatenate(items)
     distance = np.bitwise_count(prints[window] ^ own[item])
@@ -282,7 +244,7 @@ def _find(items: Items, words: Words, threshold: float) -> dict[tuple[int, int],
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         tried: set[tuple[int, int, int]] = set()
 
-        def compare(size: Size, i: int, t: int, low: int, high: int, bits: int | None, hashes=hashes, offsets=offsets, tried=tried, width=width, levels=levels) -> None:
+        def compare(size: Size, i: int, t: int, low: int, high: int, bits: int, hashes=hashes, offsets=offsets, tried=tried, width=width) -> None:
             """Compare an item with the windows of its size that start from `low` to `high`, as far as the text goes."""
             whole, begin, over = size.counts[i], int(offsets[t]), int(offsets[t + 1])
             low = max(low, begin)
@@ -302,11 +264,7 @@ def _find(items: Items, words: Words, threshold: float) -> dict[tuple[int, int],
                 found = weighted_similarity(hashes[start:stop], size.shingles[i], items.weigh)
                 key = (t, size.items[i])
                 if found >= threshold and (key not in best or (-found, start - begin) < (-best[key][0], best[key][1])):
-                    far = bits
-                    if far is None:
-                        own = fingerprints(running(hashes[start:stop], levels[start:stop], 64), np.array([0]), np.array([stop - start]))
-                        far = int(np.bitwise_count(own ^ np.uint64(size.prints[i]))[0])
-                    best[key] = (found, start - begin, stop - start + width - 1, far)
+                    best[key] = (found, start - begin, stop - start + width - 1, bits)
 
         for size in items.sizes:
             if size.width != width or not len(hashes):
@@ -319,9 +277,6 @@ def _find(items: Items, words: Words, threshold: float) -> dict[tuple[int, int],
             for w, i, bits in zip(window.tolist(), item.tolist(), distance.tolist(), strict=True):
                 slack = size.step - 1 + abs(size.counts[i] - size.count)
                 compare(size, i, int(text[w]), int(first[w]) - slack, int(first[w]) + slack, bits)
-        if len(hashes):
-            for n, i, t, low, high in items.core(width, threshold).spots(items.sizes, hashes, offsets):
-                compare(items.sizes[n], i, t, low - items.sizes[n].counts[i] + 1, high, None)
     return best
 
 

@@ -1,8 +1,10 @@
 """Near duplicates, benchmark passages, page text and vectors against brute force."""
 
 import itertools
+import pickle
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -170,10 +172,46 @@ def test_short_texts_and_edited_copies_are_judged_by_weights():
     assert {(0, 1), (3, 1)} >= set(want) and (0, 1) in want
 
 
+def test_recall_of_edited_copies_by_fingerprints_alone():
+    """Edited copies whose best window has a similarity of 0.8 or more, by brute force over all windows around the copy."""
+    rng = random.Random(6)
+    phrase = [f"c{k}" for k in range(50)]
+    items = [[f"w{rng.randrange(900)}" for _ in range(rng.randrange(20, 150))] for _ in range(40)]
+    items += [phrase[: rng.randrange(10, 50)] + [f"o{rng.randrange(4000)}" for _ in range(rng.randrange(20, 60))] for _ in range(40)]
+    texts = [" ".join(i) for i in items]
+    holders = Counter(h for t in texts for h in set(shingles(hash_words([t]))[0].tolist()))
+    made = decontaminate.Items(list(enumerate(texts)), {h: n for h, n in holders.items() if n > 1}, len(texts))
+    found = Counter()
+    for n, item in enumerate(items):
+        for _ in range(6):
+            own = list(item)
+            for _ in range(rng.randrange(1, len(item) // 25 + 2)):
+                at, kind = rng.randrange(len(own)), rng.randrange(3)
+                own[at : at + (kind < 2)] = [] if kind == 1 else [f"z{rng.randrange(9999)}"]
+            before = [f"x{rng.randrange(500)}" for _ in range(rng.randrange(150))]
+            text = " ".join(before + own + [f"x{rng.randrange(500)}" for _ in range(rng.randrange(150))])
+            hashes = shingles(hash_words([text]))[0]
+            size = next(s for s in made.sizes if n in s.items)
+            i = size.items.index(n)
+            starts = range(max(0, len(before) - 12), max(1, min(len(before) + 12, len(hashes) - size.counts[i] + 1)))
+            best = max((decontaminate.weighted_similarity(hashes[s : s + size.counts[i]], size.shingles[i], made.weigh) for s in starts), default=0)
+            if best >= decontaminate.THRESHOLD:
+                found[best >= 0.9, (0, n) in decontaminate.find(made, [text])] += 1
+    assert found[False, True] >= 0.95 * (found[False, True] + found[False, False]) > 90
+    assert found[True, True] >= 0.99 * (found[True, True] + found[True, False])
+
+
+def test_items_travel_small():
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"v{rng.randrange(8000)}" for _ in range(rng.randrange(20, 90)))) for i in range(2000)]
+    items = decontaminate.Items(rows, {}, len(rows))
+    items.sizes[0].index()
+    assert len(pickle.dumps(items)) < 2000 * 2500
+
+
 def test_all_fingerprints_within_the_radius_are_found():
     rng = np.random.default_rng(2)
     size = decontaminate.Size(5, counts=[30] * 20, items=list(range(20)), prints=[int(x) for x in rng.integers(0, 1 << 63, 20)])
-    size.index()
     own = np.array(size.prints, np.uint64)
     prints = np.concatenate([rng.integers(0, 1 << 63, 300, dtype=np.uint64), own])
     for n in range(300):
