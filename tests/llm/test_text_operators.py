@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -222,6 +223,37 @@ def test_licences(spark):
     assert licenses.scan(docs(spark, [])).collect() == []
 
 
+def test_notices_inside_lines_equal_all_windows(spark):
+    """Windows of the templates' sizes at all places of the text, against the anchored search."""
+    rng = random.Random(12)
+    words = "some plain words of a text the license under this software may be used permission granted new file".split()
+    notices = [t for _, t in licenses.TEMPLATES]
+    rows = [(1, "Copyright 2024 Foo. Released under the MIT License."), (2, "Foo is licensed\nunder the MIT\nLicense and more"), (3, "a released under the mit licence b")]
+    for i in range(10, 70):
+        own = rng.choice(notices).split()
+        for _ in range(rng.randrange(3)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        rows.append((i, " ".join(rng.choices(words, k=rng.randrange(1, 40)) + own + rng.choices(words, k=rng.randrange(1, 40)))))
+    want = {}
+    for i, text in rows:
+        flat = re.sub("[^A-Za-z0-9]+", " ", text).strip().lower().split()
+        for name, template in licenses.TEMPLATES:
+            own = collections.Counter(licenses.bigrams(template))
+            n = sum(own.values())
+            for start in range(len(flat) - n):
+                cut = flat[start : start + n + 1]
+                dice = 2 * sum((own & collections.Counter(f"{a} {b}" for a, b in zip(cut, cut[1:], strict=False))).values()) / (2 * n)
+                if dice >= licenses.THRESHOLD:
+                    best, units = want.get((i, name), (0, set()))
+                    want[i, name] = max(best, dice), units | {" ".join(cut)}
+    got = {(r.doc_id, r.license): (r.dice, r.n_units) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert (1, "MIT") in got and (2, "MIT") in got and len(want) > 40
+    by_units = {k for k in got if k not in want}
+    assert not by_units or all(got[k][0] < 1 for k in by_units)  # whole lines of another number of words
+    same = {k for k in want if got.get(k) == (want[k][0], len(want[k][1]))}
+    assert set(want) <= set(got) and len(same) > 0.9 * len(want)
+
+
 def test_licence_size_bounds_lose_nothing():
     for m in range(1, 60):
         for n in range(1, 200):
