@@ -232,7 +232,7 @@ CLEAN_HOSPITAL = f"""SELECT *, row_number() OVER (PARTITION BY subject_id ORDER
 
 
 def clean_hospital(spark, folder):
-    return history.clean_events(view(spark, folder, "hospital"), tie_breakers=["event_id"])
+    return history.clean_events(view(spark, folder, "hospital"), tie_breakers=["event_id"], stored=True)
 
 
 @query(CLEAN_HOSPITAL)

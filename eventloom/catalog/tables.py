@@ -8,7 +8,7 @@ from eventloom.catalog.registry import query, table, view
 from eventloom.functions import numbers, times
 from eventloom.operators import extract, prepare
 from eventloom.plans.hospital import NARRATIVE_EVENTS
-from eventloom.plans.timeline import scratch_dir
+from eventloom.plans.timeline import run_folder
 from eventloom.sources import tables as io
 
 EOD = "+ INTERVAL 86399999999 MICROSECONDS"
@@ -17,7 +17,7 @@ EOD = "+ INTERVAL 86399999999 MICROSECONDS"
 def _scratch(spark, label: str) -> str:
     import uuid
 
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 # --- sources and sinks --------------------------------------------------------------------------------------------

@@ -75,16 +75,22 @@ def clean_events(
     dropped: Sequence = DROPPED_CODES,
     order_prefixes: Sequence[str] = ORDER_PREFIXES,
     tie_breakers: Sequence[str] = (),
+    stored: bool = False,
 ) -> Timeline:
-    """Drop measurements without a value, clean codes, drop unwanted groups, then order."""
+    """Drop measurements without a value, clean codes, drop unwanted groups, then order.
+
+    `stored` says that `df` is a table as it lies on disk, or row-wise expressions over one. The sizes of the subjects are
+    then counted from its key column alone and the cleaned rows go straight to the ordering; otherwise they are written
+    once, as sizing and ordering would each run the whole extraction behind `df`.
+    """
     stages: list[Stage] = [
         lambda d: t.filter_null_values(d, measured_prefixes),
         lambda d: t.clean_string_columns(d, **CODE_CLEANING),
         lambda d: t.drop_by_regex(d, dropped),
     ]
-    # stored once: sizing and ordering would each run the whole extraction behind `df` otherwise
-    cleaned = written(apply_stages(df, stages), "clean-events")
-    layout = layout_of(cleaned, ["subject_id"])
+    cleaned = apply_stages(df, stages)
+    cleaned = cleaned if stored else written(cleaned, "clean-events")
+    layout = layout_of(df if stored else cleaned, ["subject_id"])
     return t.order_events(cleaned, order_prefixes, tie_breakers=tie_breakers, layout=layout)
 
 

@@ -81,6 +81,8 @@ def test_configured_stages(spark, layout):
     ]
     df = spark.createDataFrame(rows, "subject_id long, time timestamp_ntz, code string, numeric_value double, text_value string")
     ordered = history.clean_events(df)
+    as_stored = history.clean_events(df, stored=True)
+    assert sorted(map(str, as_stored.rows().collect())) == sorted(map(str, ordered.rows().collect()))
     assert (ordered.hot is not None) == (layout == "sliced")
     labels = spark.createDataFrame([(1, at(0, 5), True, None, None, None)], LABELS)
     text = history.text_dataset(ordered, labels).first().text
