@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from eventloom.operators import prompts
@@ -83,3 +85,36 @@ def test_batches(spark):
 
     out = prompts.score(df.coalesce(2), model, "model_output string, size long", batch_size=7).collect()
     assert all(r.model_output == str(r.prompt_length) for r in out) and len(out) == 100 and max(r.size for r in out) == 7
+
+
+@pytest.mark.parametrize(("size", "budget"), [(3, 10**9), (48, 400), (1, 1), (5, 100)])
+def test_batches_of_one_length_class(spark, layout, size, budget):
+    rng = random.Random(3)
+    lengths = [rng.choice([1, 2, 3, 4, 7, 8, 31, 32, 33, 40, 63, 64, 100, 129]) for _ in range(120)] + [0, None, 100_000]
+    rows = [(i, n) for i, n in enumerate(lengths)]
+    table = spark.createDataFrame(rows, "id long, prompt_length int")
+    found = prompts.length_batches(table, size, budget, ties=["id"]).collect()
+    assert sorted(r.id for r in found) == [i for i, n in rows if n is not None]
+    batches = {}
+    for r in found:
+        batches.setdefault((r.bucket, r.batch), []).append(r)
+    last = {}
+    for (bucket, batch), own in batches.items():
+        last[bucket] = max(last.get(bucket, -1), batch)
+        own.sort(key=lambda r: r.row)
+        assert [r.row for r in own] == list(range(len(own)))
+        assert [(-r.prompt_length, r.id) for r in own] == sorted((-r.prompt_length, r.id) for r in own)
+        longest, shortest = own[0].prompt_length, own[-1].prompt_length
+        assert len(own) == 1 or (len(own) <= size and len(own) * longest <= budget)
+        assert longest <= shortest * 1.25 or longest < 8
+    for (bucket, batch), own in batches.items():  # only the last batch of a class may be smaller than the others
+        if batch < last[bucket]:
+            assert len(own) == len(batches[bucket, 0])
+
+
+def test_numbered_order(spark, layout):
+    rows = [(i, n, f"p{i % 3}") for i, n in enumerate([5, 3, 5, 9, 1, 3, 3])]
+    table = spark.createDataFrame(rows, "id long, prompt_length int, prompt string")
+    got = prompts.longest_first(table, number="position", ties=["prompt", "id"]).collect()
+    assert [r.position for r in got] == list(range(1, 8))
+    assert [r.id for r in got] == [i for i, n, p in sorted(rows, key=lambda r: (-r[1], r[2], r[0]))]

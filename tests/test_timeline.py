@@ -2,7 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 from eventloom.operators import statistics as st
-from eventloom.operators.extract import split_subjects, vocabulary
+from eventloom.operators.extract import merge_cohort, split_subjects, vocabulary
 from eventloom.operators.transforms import order_events
 from eventloom.plans import timeline
 from eventloom.plans.timeline import DEFAULT_MAX_ROWS, MAX_ROWS_CONF, SLICE, Layout, Run, lay_out
@@ -164,3 +164,39 @@ def test_a_hot_null_key(spark):
         assert sorted(r.n for r in line.numbered("n").rows().collect()) == sorted([*range(1, 51), *range(1, 6)])
     finally:
         spark.conf.set(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS))
+
+
+def test_sketched_cuts_are_near_the_exact_ranks(spark):
+    rng = random.Random(1)
+    values = {"a": [rng.gauss(0, 1) for _ in range(5000)], "b": [float(rng.randrange(7)) for _ in range(3000)], "c": [2.0] * 50, "d": [1.0, 2.0]}
+    rows = [(c, v) for c, vs in values.items() for v in vs] + [("a", None), (None, 1.0)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "code string, numeric_value double").repartition(6)
+    for accuracy in (50, 1000):
+        cuts = {r.code: r.cuts for r in st.sketched_cuts(df, 10, accuracy=accuracy).collect()}
+        assert cuts["c"] == [] and len(cuts["a"]) == 9
+        for code in "abd":
+            own = sorted(values[code])
+            for i, cut in enumerate(cuts[code]):
+                wanted = (i + 1) / 10 * len(own)
+                below, upto = sum(v < cut for v in own), sum(v <= cut for v in own)
+                assert cut in own and below + 1 - wanted <= len(own) / accuracy + 1 and wanted - upto <= len(own) / accuracy + 1
+        errors = st.rank_errors(df, st.sketched_cuts(df, 10, accuracy=accuracy)).filter("code = 'a'").collect()
+        assert len(errors) == 9 and all(r.n == 5000 and 0 <= r.error <= 5000 / accuracy + 1 for r in errors)
+
+
+def test_shards_are_ordered_and_numbered(spark, layout):
+    rng = random.Random(2)
+    rows = [(rng.randrange(12), rng.randrange(30), rng.choice("xyz"), i) for i in range(150)]
+    events = spark.createDataFrame(rows, "subject_id long, time long, code string, extra long")
+    splits = spark.createDataFrame([(s, "train" if s < 8 else "test", str(s % 2)) for s in range(11)], "subject_id long, split string, shard string")
+    got = merge_cohort(events, splits).collect()
+    assert len(got) == sum(r[0] < 11 for r in rows)
+    shards = {}
+    for r in got:
+        shards.setdefault((r.split, r.shard), []).append(r)
+    for own in shards.values():
+        by_number = sorted(own, key=lambda r: r.row)
+        assert [r.row for r in by_number] == list(range(1, len(own) + 1))
+        keys = [(r.subject_id, r.time, r.code, r.extra) for r in by_number]
+        assert keys == sorted(keys)
