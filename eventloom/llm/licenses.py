@@ -157,7 +157,8 @@ def _windows(rows: DataFrame, threshold: float) -> DataFrame:
     anchors = Anchors.of(threshold)
     likely = functools.reduce(Column.__or__, [F.contains("text", F.lit(w)) for w in anchors.words])
     listed = F.array(*[F.lit(a) for a in sorted({r[0] for r in anchors.rows})])
-    words = rows.filter(likely).select("doc_id", F.split(_one_line(F.col("text")), " ").alias("words")).filter(F.size("words") > 1)
+    flat = F.explode(F.array(F.split(_one_line(F.col("text")), " "))).alias("words")
+    words = rows.filter(likely).select("doc_id", flat).filter(F.size("words") > 1)
 
     def pair(words: Column, i: Column) -> Column:
         return F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))
@@ -172,12 +173,15 @@ def _windows(rows: DataFrame, threshold: float) -> DataFrame:
     starts = F.explode(F.sequence(F.lit(1), F.col("last") - F.col("first") + 1)).alias("start")
     found = spans.select("doc_id", "license", "template", "size", "own", "words", starts)
     found = found.select("doc_id", "license", "template", "size", "own", F.array_join(F.slice("words", F.col("start"), F.col("size") + 1), " ").alias("unit"))
-    found = found.dropDuplicates(["doc_id", "template", "unit"]).withColumn("words", F.split("unit", " "))
+    found = found.dropDuplicates(["doc_id", "template", "unit"])
+    # arrays that lambdas refer to are exploded from one element, or they would be made again for each element
+    found = found.select("doc_id", "license", "size", "own", "unit", F.explode(F.array(F.split("unit", " "))).alias("words"))
     held = F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: pair(F.col("words"), i))
     common = F.aggregate(
         F.array_distinct("own"), F.lit(0), lambda n, b: n + F.least(F.size(F.filter("own", lambda x: x == b)), F.size(F.filter("held", lambda x: x == b)))
     )
-    scored = found.withColumn("held", held).withColumn("dice", 2 * common / (2 * F.col("size")))
+    scored = found.select("doc_id", "license", "size", "own", "unit", F.explode(F.array(held)).alias("held"))
+    scored = scored.withColumn("dice", 2 * common / (2 * F.col("size")))
     return scored.filter(F.col("dice") >= threshold).select("doc_id", "license", "unit", "dice")
 
 
@@ -192,7 +196,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     rows without id are one document as well.
     """
     text = F.lower(F.regexp_replace(text_of(text_col), "[^A-Za-z0-9\n]+", " "))
-    plain = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    # one element exploded: the text is normalised once for each branch and not once for each condition on it
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(text)).alias("text"))
     by_unit = _matched(plain, threshold)
     windows = _windows(plain, threshold).groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count_distinct("unit").alias("n_units"))
     both = by_unit.withColumn("kind", F.lit(0)).unionByName(windows.withColumn("kind", F.lit(1)))
