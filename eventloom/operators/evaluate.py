@@ -132,8 +132,8 @@ def calibration_table(scored: DataFrame, n_bins: int = 10) -> DataFrame:
 
 # --- resampling ---------------------------------------------------------------------------------------------------
 
-Replicate = Callable[[np.ndarray, np.ndarray, np.ndarray, dict], dict[str, np.ndarray]]
-REPLICATES_PER_TASK = 64
+Replicate = Callable[[np.ndarray, np.ndarray, dict], dict[str, np.ndarray]]
+GROUPS = 256  # of (block, replicates), at least, as far as there are replicates; no part of the definition of a draw
 CELLS_PER_BLOCK = 50_000  # of equal probability; part of the definition of a draw, as seeds follow blocks
 SHARES = "replicate long, block long, pos_here long, neg_here long, pos_above long, neg_above long, n_pos long, n_neg long"
 
@@ -146,7 +146,8 @@ def _key(seed: int, replicate: int, block: int) -> int:
 def _shares(table: DataFrame, n_replicates: int, seed: int) -> DataFrame:
     """How many positives and negatives each replicate draws from each block, and how many from the blocks above.
 
-    The totals per block form one array with an entry for every CELLS_PER_BLOCK cells.
+    The totals per block form one array with an entry for every CELLS_PER_BLOCK cells. In a table of one block each row is
+    drawn here; among several blocks the counts are binomial, so that no task draws all rows of a large table.
     """
     per_block = table.groupBy("block").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     totals = per_block.agg(F.sort_array(F.collect_list(F.struct("block", "pos", "neg")))).scalar()
@@ -160,7 +161,8 @@ def _shares(table: DataFrame, n_replicates: int, seed: int) -> DataFrame:
                 total = counts.sum()
                 if total == 0:
                     continue
-                drawn = multinomial(int(total), counts.ravel(), _key(seed, int(replicate), 0)).reshape(-1, 2)
+                limit = None if len(ids) == 1 else 0
+                drawn = multinomial(int(total), counts.ravel(), _key(seed, int(replicate), 0), limit).reshape(-1, 2)
                 above = np.cumsum(drawn, axis=0) - drawn
                 both = drawn.sum(axis=0)
                 fixed = [np.full(len(ids), v) for v in (replicate, *both)]
@@ -172,8 +174,8 @@ def _shares(table: DataFrame, n_replicates: int, seed: int) -> DataFrame:
     return replicates.mapInPandas(draw, SHARES)
 
 
-def resample(scored: DataFrame, n_replicates: int, seed: int, schema: str, summarise: Replicate) -> DataFrame:
-    """Apply `summarise(prob, pos, neg, shares)` to every replicate of every block of cells.
+def resample(scored: DataFrame, n_replicates: int, seed: int, schema: str, summarise: Callable[[np.ndarray], Replicate]) -> DataFrame:
+    """Apply `summarise(prob)(pos, neg, shares)` to every replicate of every block of cells.
 
     Cells are numbered in falling order of probability and CELLS_PER_BLOCK of them form a block, so a draw depends on the
     data, the seed and the replicate, and on no setting of the cluster. The arrays are the drawn counts of one block in
@@ -183,42 +185,52 @@ def resample(scored: DataFrame, n_replicates: int, seed: int, schema: str, summa
     numbered = lay_out(cells(scored), [], ["-prob"]).numbered("__cell").rows()
     block = F.floor((F.col("__cell") - 1) / CELLS_PER_BLOCK).cast("long")
     table = written(numbered.select("prob", "pos", "neg", block.alias("block")), "cell-blocks")
-    tasks = -(-n_replicates // REPLICATES_PER_TASK)
-    spread = table.withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(tasks, 1) - 1).cast("long"))))
+    blocks = (table.agg(F.max("block")).first()[0] or 0) + 1
+    tasks = max(1, min(-(-GROUPS // blocks), n_replicates))
+    spread = table.withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))))
     shares = _shares(table, n_replicates, seed).filter("n_pos > 0 and n_neg > 0")
-    shares = shares.withColumn("task", (F.col("replicate") % max(tasks, 1)).cast("long"))
+    shares = shares.withColumn("task", (F.col("replicate") % tasks).cast("long"))
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(table: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("prob", ascending=False)
         prob = table["prob"].to_numpy()
         pos, neg = table["pos"].to_numpy(dtype=np.int64), table["neg"].to_numpy(dtype=np.int64)
-        out = []
+        summary, out = summarise(prob), []
         for share in draws.sort_values("replicate").to_dict("records"):
             key = _key(seed, share["replicate"], share["block"] + 1)
             drawn_pos = multinomial(share["pos_here"], pos, int(chained(key, 0)))
             drawn_neg = multinomial(share["neg_here"], neg, int(chained(key, 1)))
-            part = {name: np.asarray(values) for name, values in summarise(prob, drawn_pos, drawn_neg, share).items()}
+            part = {name: np.asarray(values) for name, values in summary(drawn_pos, drawn_neg, share).items()}
             out.append(part | {"replicate": np.full(len(part[names[0]]), share["replicate"])})
         columns = ["replicate", *names]
         if not out:
             return pd.DataFrame(columns=columns)
         return pd.DataFrame({c: np.concatenate([part[c] for part in out]) for c in columns})
 
+    # by number, as the groups are small in bytes and would be put together into few tasks, but each takes long
+    partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread, shares = (df.repartition(partitions, "block", "task") for df in (spread, shares))
     grouped = spread.groupBy("block", "task").cogroup(shares.groupBy("block", "task"))
     return grouped.applyInPandas(run, f"replicate long, {schema}")
 
 
-def _metric_parts(prob, pos, neg, share) -> dict[str, np.ndarray]:
-    tp, fp = share["pos_above"] + np.cumsum(pos), share["neg_above"] + np.cumsum(neg)
-    seen = np.maximum(tp + fp, 1)
-    return {
-        "area": [float(np.sum(neg * (tp - pos / 2)))],
-        "precision": [float(np.sum(pos * tp / seen))],
-        "squares": [float(np.sum(pos * (1 - prob) ** 2 + neg * prob**2))],
-        "n_pos": [share["n_pos"]],
-        "n_neg": [share["n_neg"]],
-    }
+def _metric_parts(prob: np.ndarray) -> Replicate:
+    square_pos, square_neg = (1 - prob) ** 2, prob**2
+
+    def parts(pos, neg, share) -> dict[str, np.ndarray]:
+        pos, neg = pos.astype(float), neg.astype(float)
+        tp, fp = share["pos_above"] + np.cumsum(pos), share["neg_above"] + np.cumsum(neg)
+        seen = np.maximum(tp + fp, 1)
+        return {
+            "area": [float(neg @ tp - neg @ pos / 2)],
+            "precision": [float(pos @ (tp / seen))],
+            "squares": [float(pos @ square_pos + neg @ square_neg)],
+            "n_pos": [share["n_pos"]],
+            "n_neg": [share["n_neg"]],
+        }
+
+    return parts
 
 
 def bootstrap_replicates(scored: DataFrame, n_replicates: int = 1000, seed: int = 42) -> DataFrame:
@@ -242,7 +254,7 @@ def bootstrap_metrics(scored: DataFrame, n_replicates: int = 1000, seed: int = 4
 
 
 def _curve_at(grid: np.ndarray) -> Replicate:
-    def at(prob, pos, neg, share) -> dict[str, np.ndarray]:
+    def at(pos, neg, share) -> dict[str, np.ndarray]:
         fp = np.concatenate([[share["neg_above"]], share["neg_above"] + np.cumsum(neg)]) / share["n_neg"]
         tp = np.concatenate([[share["pos_above"]], share["pos_above"] + np.cumsum(pos)]) / share["n_pos"]
         inside = (grid >= fp[0]) & (grid <= fp[-1])
@@ -254,7 +266,7 @@ def _curve_at(grid: np.ndarray) -> Replicate:
 def roc_band(scored: DataFrame, n_replicates: int = 100, n_points: int = 101, seed: int = 42) -> DataFrame:
     """Mean of the resampled curves at evenly spaced rates, plus and minus two standard deviations, within [0, 1]."""
     grid = np.arange(n_points) / (n_points - 1)
-    parts = resample(scored, n_replicates, seed, "point long, tpr double", _curve_at(grid))
+    parts = resample(scored, n_replicates, seed, "point long, tpr double", lambda prob: _curve_at(grid))
     # two blocks may meet at a grid point: the later one has the final rate
     curves = parts.groupBy("replicate", "point").agg(F.max("tpr").alias("tpr"))
     curves = curves.withColumn("tpr", F.when(F.col("point") == 0, 0.0).otherwise(F.col("tpr")))
@@ -266,10 +278,13 @@ def roc_band(scored: DataFrame, n_replicates: int = 100, n_points: int = 101, se
     ).select((F.col("point") / (n_points - 1)).alias("fpr"), "mean_tpr", "lower", "upper")
 
 
-def _recall_points(prob, pos, neg, share) -> dict[str, np.ndarray]:
-    tp, fp = share["pos_above"] + np.cumsum(pos), share["neg_above"] + np.cumsum(neg)
-    drawn = (pos + neg) > 0
-    return {"threshold": prob[drawn], "precision": tp[drawn] / (tp + fp)[drawn], "recall": tp[drawn] / share["n_pos"]}
+def _recall_points(prob: np.ndarray) -> Replicate:
+    def points(pos, neg, share) -> dict[str, np.ndarray]:
+        tp, fp = share["pos_above"] + np.cumsum(pos), share["neg_above"] + np.cumsum(neg)
+        drawn = (pos + neg) > 0
+        return {"threshold": prob[drawn], "precision": tp[drawn] / (tp + fp)[drawn], "recall": tp[drawn] / share["n_pos"]}
+
+    return points
 
 
 def resampled_precision_recall(scored: DataFrame, n_replicates: int = 50, seed: int = 42) -> DataFrame:
@@ -278,15 +293,19 @@ def resampled_precision_recall(scored: DataFrame, n_replicates: int = 50, seed:
     return resample(scored, n_replicates, seed, schema, _recall_points)
 
 
-def _bin_parts(prob, pos, neg, share) -> dict[str, np.ndarray]:
+def _bin_parts(prob: np.ndarray) -> Replicate:
     bins = np.searchsorted(np.arange(1, 10) / 10, prob)
-    n = pos + neg
-    return {
-        "bin": np.arange(10),
-        "n": np.bincount(bins, n, 10).astype(np.int64),
-        "prob_sum": np.bincount(bins, n * prob, 10),
-        "pos": np.bincount(bins, pos, 10).astype(np.int64),
-    }
+
+    def parts(pos, neg, share) -> dict[str, np.ndarray]:
+        n = pos + neg
+        return {
+            "bin": np.arange(10),
+            "n": np.bincount(bins, n, 10).astype(np.int64),
+            "prob_sum": np.bincount(bins, n * prob, 10),
+            "pos": np.bincount(bins, pos, 10).astype(np.int64),
+        }
+
+    return parts
 
 
 def resampled_calibration(scored: DataFrame, n_replicates: int = 50, seed: int = 42) -> DataFrame:
