@@ -179,7 +179,9 @@ def build(
 
     place = f"{run_folder(spark)}/k2-treap-{uuid.uuid4().hex}"
     with arrow_rows(spark, ROWS_AT_ONCE):
-        rows.mapInPandas(make, _SHARD).write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(place)
+        # a row has megabytes, so its size is looked at after each row; Parquet does so after a hundred otherwise
+        sizes = {"parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.size.row.check.min": "1"}
+        rows.mapInPandas(make, _SHARD).write.options(**sizes).parquet(place)
     return Index(spark.read.schema(_SHARD).parquet(place), documents, terms)
 
 

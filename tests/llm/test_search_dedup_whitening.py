@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from eventloom.llm import graph, hyperminhash, treap, whitening
@@ -74,6 +75,17 @@ def test_search_of_nothing(spark, library):
     assert treap.rank(docs.filter("text IS NULL"), items).isEmpty()
 
 
+def test_index_is_stored_in_small_row_groups(spark, library, monkeypatch):
+    monkeypatch.setattr(treap, "ROW_GROUP_BYTES", 20_000)
+    monkeypatch.setattr(treap, "ROWS_AT_ONCE", 5)
+    table = spark.createDataFrame(library[0][:300], "doc_id bigint, text string").coalesce(1)
+    index = treap.build(table, shard_documents=5)
+    (file,) = index.shards.inputFiles()
+    stored = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert stored.num_rows == index.shards.count() == 60
+    assert max(stored.row_group(i).num_rows for i in range(stored.num_row_groups)) <= 20
+
+
 def test_quadtree_holds_every_cell():
     rng = np.random.default_rng(2)
     cells = np.unique(rng.integers(0, 50, (300, 2)), axis=0)
