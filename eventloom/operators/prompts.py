@@ -14,6 +14,7 @@ from eventloom.functions.numbers import clamp
 from eventloom.functions.text import extract_or_null, strip_text, strip_text_end
 from eventloom.operators.narrative import TITLE, Pages, cut_texts, last_lines
 from eventloom.plans.timeline import Run, Timeline, lay_out, written
+from eventloom.session import small_batches
 from eventloom.sources.tables import LABEL_COLUMNS
 
 # The prompt and the header at which a history may be cut.
@@ -54,13 +55,16 @@ def task_table(spark, cohorts: Mapping[str, Mapping]) -> DataFrame:
 
 
 def with_descriptions(dataset: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Add the description of each row's task; rows of unknown tasks are left out."""
-    return dataset.join(tasks, "task", "inner")
+    """Add the description of each row's task; rows of unknown tasks are left out.
+
+    The descriptions are few and are broadcast: tasks are as few, and a shuffle would deal all texts of a task to one place.
+    """
+    return dataset.join(F.broadcast(tasks), "task", "inner")
 
 
 def unknown_tasks(dataset: DataFrame, tasks: DataFrame) -> DataFrame:
     """Row counts of the tasks that `with_descriptions` leaves out."""
-    return dataset.join(tasks, "task", "left_anti").groupBy("task").agg(F.count(F.lit(1)).alias("n_rows"))
+    return dataset.join(F.broadcast(tasks), "task", "left_anti").groupBy("task").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def token_count(text: Column) -> Column:
@@ -162,6 +166,7 @@ def limit_history_with(
 ) -> DataFrame:
     """`limit_history` for an external tokenizer. `tokenizer()` is called once per batch of rows on the executor and
     returns (encode, decode)."""
+    small_batches(dataset)
     kind = StructType([StructField("text", StringType()), StructField("available_tokens", IntegerType())])
 
     @F.pandas_udf(kind)
@@ -284,6 +289,7 @@ def score(
     Partitions stream through the function and exactly `batch_size` prompts are handed over at a time, save for the last
     batch of a partition. The function may be non-deterministic, so write the result before using it twice.
     """
+    small_batches(dataset)
     added = StructType.fromDDL(columns)
     schema = StructType([*dataset.schema.fields, *added.fields])
     names = added.fieldNames()

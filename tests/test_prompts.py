@@ -27,6 +27,23 @@ def test_whole_batches_and_long_numbers(spark):
     assert sorted({r.parsed_probability for r in got}) == [10, 24] and seen.value == 11
 
 
+def test_texts_are_not_shuffled_by_task(spark):
+    tasks = spark.createDataFrame([("a", "about a")], "task string, task_description string")
+    data = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "z")], "task string, text string")
+    described = prompts.with_descriptions(data, tasks)
+    assert "Exchange hashpartitioning" not in described._jdf.queryExecution().executedPlan().toString()
+    assert [(r.task, r.text, r.task_description) for r in described.collect()] == [("a", "x", "about a")]
+    assert sorted((str(r.task), r.n_rows) for r in prompts.unknown_tasks(data, tasks).collect()) == [("None", 1), ("b", 1)]
+
+
+def test_tokenizer_gets_few_texts_at_once(spark):
+    data = spark.range(1200).selectExpr("cast(id as string) AS text", "'d' AS task_description").coalesce(1)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = prompts.limit_history_with(data, 5, lambda: (str.split, " ".join), "{ehr} tail").collect()
+    assert len(got) == 1200
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "500"
+
+
 def test_fits_and_cuts(spark):
     assert limited(spark, "a b c", 10).text == "a b c" and limited(spark, "a b c", 10).available_tokens is None
     assert limited(spark, "a b c", None).text == "a b c"
