@@ -178,7 +178,8 @@ def events_sql(config: Mapping, tables: Mapping[str, str], text_times: set[str])
 @query(events_sql(NARRATIVE_EVENTS, PREPARED, {"year_of_birth"}))
 def extract_all_tables(spark, folder):
     """All forty events of the sixteen prepared tables."""
-    return extract.extract_events(prepare.prepare_tables(raw_tables(spark, folder)), NARRATIVE_EVENTS)
+    prepared = prepare.prepare_tables(raw_tables(spark, folder), extract.columns_read(NARRATIVE_EVENTS))
+    return extract.extract_events(prepared, NARRATIVE_EVENTS)
 
 
 @query(events_sql(STRUCTURED_EVENTS, TIMED, {"year_of_birth", "dod", "chartdate"}))

@@ -90,6 +90,20 @@ def extract_table(df: DataFrame, events: Mapping[str, Mapping], subject_id: str
     return rows.filter(F.col("time").isNotNull() | F.col("__static")).drop("__static")
 
 
+def columns_read(config: Mapping[str, Mapping[str, Mapping]]) -> dict[str, set[str]]:
+    """The columns of each configured table that its events read."""
+    read = {}
+    for name, events in config.items():
+        if name == "subject_id_col":
+            continue
+        read[name] = {config.get("subject_id_col", "subject_id")}
+        for spec in events.values():
+            parts = [spec["code"]] if isinstance(spec["code"], str) else spec["code"]
+            read[name] |= {found for part in parts if (found := column_name(part))}
+            read[name] |= {column_name(v) or v for k, v in spec.items() if k not in ("code", "time_format") and v is not None}
+    return read
+
+
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

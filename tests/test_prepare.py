@@ -130,3 +130,33 @@ def test_cap_follows_splits(spark):
     df = spark.createDataFrame(rows, "task string, split string, shard string, subject_id int")
     assert io.cap_rows(df, 4, order=("subject_id",)).count() == 12
     assert io.cap_rows(df, 1, order=("subject_id",)).count() == 3 and io.cap_rows(df, 0).count() == 12
+
+
+def _joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_unread_lookup_is_not_joined(spark):
+    tables = raw(spark)
+    spec = {"ed/vitalsign": {"temperature": {"code": "T", "time": "col(charttime)", "numeric_value": "temperature"}}}
+    vitals = spark.createDataFrame(
+        [(1, 7, 37.0, "2020-01-01 10:00:00"), (1, 8, 36.0, "2020-01-01 11:00:00"), (1, None, 35.0, "2020-01-01 12:00:00")],
+        "subject_id long, stay_id long, temperature double, charttime string")
+    needed = {"ed/vitalsign": vitals, "ed/edstays": tables["ed/edstays"]}
+    lean = extract.extract_events(prepare.prepare_tables(needed, extract.columns_read(spec)), spec)
+    assert _joins(lean) == 0
+    assert sorted(r.numeric_value for r in lean.collect()) == [35.0, 36.0, 37.0]
+    # repeated keys repeat rows, so the join stays; null keys match nothing
+    none = tables["ed/edstays"].withColumn("stay_id", F.lit(None).cast("long"))
+    needed["ed/edstays"] = tables["ed/edstays"].union(tables["ed/edstays"]).union(none).union(none)
+    twice = extract.extract_events(prepare.prepare_tables(needed, extract.columns_read(spec)), spec)
+    assert sorted(r.numeric_value for r in twice.collect()) == [35.0, 36.0, 37.0, 37.0]
+
+
+def test_dates_are_promoted_before_the_joins(spark):
+    rows = spark.createDataFrame([(10, "88", "9", "2020-01-01")], "hadm_id long, icd_code string, icd_version string, chartdate string")
+    titles = spark.createDataFrame([("88", "9", "x")], "icd_code string, icd_version string, long_title string")
+    got = prepare.coded_events(rows, raw(spark)["hosp/admissions"], titles)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("make_dt_interval" if "make_dt_interval" in plan else "INTERVAL") > plan.rindex("Join LeftOuter")
+    assert [r.chartdate for r in got.collect()] == [datetime(2020, 1, 1, *LAST)]
