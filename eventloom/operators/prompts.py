@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from eventloom.functions.numbers import clamp
+from eventloom.functions.rows import computed_once
 from eventloom.functions.text import extract_or_null, strip_text, strip_text_end
 from eventloom.operators.narrative import TITLE, Pages, cut_texts, last_lines
 from eventloom.plans.timeline import Run, Timeline, lay_out, written
@@ -40,6 +41,8 @@ ANSWER = r"(?iU)Answer:\s*(Yes|No)"
 PROBABILITY = r"(?U)Probability:\s*(\d+)"
 
 TOKEN = r"\s*\S+"
+BLANKS = " \t\n\x0b\f\r"  # what \s matches
+TAIL_CHARS = 16  # a word with its blanks is rarely longer
 
 
 def format_prompt(history: Column, task_description: Column, template: str = TEMPLATE) -> Column:
@@ -68,15 +71,24 @@ def unknown_tasks(dataset: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def token_count(text: Column) -> Column:
-    """Number of whitespace-separated words."""
-    return F.regexp_count(text, F.lit(r"\S+"))
+    """Number of whitespace-separated words. Each becomes one character, which is cheaper than a list of them."""
+    return F.length(F.rtrim(F.regexp_replace(text, TOKEN, "x"), F.lit(BLANKS)))
 
 
 def last_tokens(text: Column, n: Column) -> Column:
-    """The text from the n-th last word on; whitespace inside is kept."""
-    words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    kept = F.slice(words, F.greatest(F.size(words) - n, F.lit(0)) + 1, n)
-    return F.regexp_replace(F.array_join(kept, ""), r"^\s+", "")
+    """The text from the n-th last word on; whitespace inside is kept.
+
+    The end of the text is looked at first: with more than n words in it, of which the first may be cut, it has the last n whole.
+    """
+
+    def words(part: Column) -> Column:
+        return F.regexp_extract_all(part, F.lit(TOKEN), F.lit(0))
+
+    # bound to lambda variables, the words are found once for all expressions that read them
+    end = F.array(words(F.right(text, (n + 1) * TAIL_CHARS)))
+    found = F.transform(end, lambda w: F.when(F.size(w) > n, w).otherwise(words(text)))
+    kept = F.transform(found, lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - n, F.lit(0)) + 1, n), ""))
+    return F.regexp_replace(F.get(kept, F.lit(0)), r"^\s+", "")
 
 
 def from_age_header(text: Column) -> Column:
@@ -147,10 +159,9 @@ def limit_history(
         return dataset.withColumn("available_tokens", F.lit(None).cast("int"))
     history, description = F.col(text), F.col("task_description")
     total = token_count(wrap(format_prompt(history, description, template)))
-    counted = dataset.withColumn("__total", total)
+    counted = computed_once(dataset, {"__total": total})
     excess = F.col("__total") - max_prompt_length
-    available = F.when(excess > 0, token_count(history) - excess)
-    sized = counted.withColumn("available_tokens", available)
+    sized = computed_once(counted, {"available_tokens": F.when(excess > 0, token_count(history) - excess)})
     left = F.col("available_tokens")
     shortened = F.when(left.isNull(), history).when(left > 0, from_age_header(last_tokens(history, left)))
     return sized.withColumn(text, shortened).drop("__total")

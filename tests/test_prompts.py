@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -135,3 +136,24 @@ def test_numbered_order(spark, layout):
     got = prompts.longest_first(table, number="position", ties=["prompt", "id"]).collect()
     assert [r.position for r in got] == list(range(1, 8))
     assert [r.id for r in got] == [i for i, n, p in sorted(rows, key=lambda r: (-r[1], r[2], r[0]))]
+
+
+@pytest.mark.parametrize("words", [["a"] * 9, ["w" * 50] * 9, ["é\U0001f600", "b"] * 5, ["one"], []])
+@pytest.mark.parametrize("blank", [" ", "\n \t", "\x0b\f\r", " " * 40])
+def test_last_words_and_their_number(spark, words, blank):
+    for text in (blank.join(words), blank + blank.join(words) + blank):
+        row = spark.range(1).select(
+            prompts.token_count(F.lit(text)).alias("n"), *[prompts.last_tokens(F.lit(text), F.lit(n)).alias(f"k{n}") for n in (1, 3, 9, 20)]
+        ).first()
+        assert row.n == len(words)
+        pieces = re.findall(r"\s*\S+", text)
+        for n in (1, 3, 9, 20):
+            assert row[f"k{n}"] == "".join(pieces[-n:]).lstrip(), (text, n)
+
+
+def test_words_are_counted_once(spark):
+    df = spark.createDataFrame([("a b c " * 40, "t")], "text string, task_description string")
+    limited = prompts.limit_history(df, 60).filter("available_tokens IS NULL OR available_tokens > 0")
+    plan = limited._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", x, 1)") == 2  # the prompt's words and the history's
+    assert len(limited.first().text.split()) == limited.first().available_tokens
