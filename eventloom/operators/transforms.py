@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import numbers, text, times
+from eventloom.functions.rows import computed_once
 from eventloom.plans.timeline import Layout, Timeline, lay_out
 
 Pattern = str | Mapping[str, str]
@@ -34,8 +35,12 @@ def clean_string_columns(
     to_titlecase: bool = False,
     to_uppercase: bool = False,
     boundary: str = "nonalnum",
+    once: bool = False,
 ) -> DataFrame:
-    """Strip, replace patterns in order, then change case. `patterns` holds {pattern, replacement} entries."""
+    """Strip, replace patterns in order, then change case. `patterns` holds {pattern, replacement} entries.
+
+    `once` is for columns that a filter reads next: the optimizer does not repeat the cleaning in it then.
+    """
     if not (patterns or strip_whitespace or to_titlecase or to_uppercase):
         raise ValueError("ask for at least one of patterns, strip_whitespace, to_titlecase, to_uppercase")
 
@@ -46,7 +51,8 @@ def clean_string_columns(
         return F.upper(col) if to_uppercase else col
 
     names = [column] if isinstance(column, str) else list(column)
-    return df.withColumns({name: cleaned(name) for name in names})
+    columns = {name: cleaned(name) for name in names}
+    return computed_once(df, columns) if once else df.withColumns(columns)
 
 
 def replace_code_with_text_value_by_prefix(df: DataFrame, prefixes: Sequence[str]) -> DataFrame:

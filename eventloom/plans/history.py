@@ -85,7 +85,7 @@ def clean_events(
     """
     stages: list[Stage] = [
         lambda d: t.filter_null_values(d, measured_prefixes),
-        lambda d: t.clean_string_columns(d, **CODE_CLEANING),
+        lambda d: t.clean_string_columns(d, **CODE_CLEANING, once=True),
         lambda d: t.drop_by_regex(d, dropped),
     ]
     cleaned = apply_stages(df, stages)

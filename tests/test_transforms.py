@@ -4,6 +4,7 @@ import pytest
 
 from eventloom.functions import numbers
 from eventloom.operators import transforms as t
+from eventloom.plans import history
 from pyspark.sql import functions as F
 
 VALUE_FORM = "subject_id long, time long, code string, numeric_value double, text_value string"
@@ -202,3 +203,11 @@ def test_order_by_another_column(spark):
     assert [r.val for r in t.order_events(df, ["Z"], column="prefix").rows().orderBy("event_seq").collect()] == [1, 2]
     with pytest.raises(ValueError):
         t.order_events(df, [])
+
+
+def test_codes_are_cleaned_once(spark):
+    rows = [(1, None, " birth//born ", None, None), (1, None, "hospital_transfer//other", None, None)]
+    df = spark.createDataFrame(rows, "subject_id long, time timestamp_ntz, code string, numeric_value double, text_value string")
+    cleaned = history.clean_events(df, stored=True).rows()
+    assert cleaned._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [r.code for r in cleaned.collect()] == ["BIRTH//BORN"]
