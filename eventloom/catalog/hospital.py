@@ -97,15 +97,23 @@ def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: table(spark, folder, source).selectExpr(*columns) for name, (source, columns) in RAW.items()}
 
 
-# The departure and discharge times that the comparison schema expects in its tables.
-def timed_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    raw = raw_tables(spark, folder)
-    stays, admissions = raw["ed/edstays"], raw["hosp/admissions"]
-    for name, wanted in (("ed/triage", "intime"), ("ed/diagnosis", "outtime")):
-        raw[name] = prepare.look_up(raw[name], stays, ["stay_id"], [wanted])
-    for name in ("hosp/diagnoses_icd", "hosp/drgcodes"):
-        raw[name] = prepare.look_up(raw[name], admissions, ["hadm_id"], ["dischtime"])
-    return raw
+# The departure and discharge times that the comparison schema expects in its tables, added to the columns that its events read.
+TIMES = {
+    "ed/triage": ("ed/edstays", "stay_id", "intime"),
+    "ed/diagnosis": ("ed/edstays", "stay_id", "outtime"),
+    "hosp/diagnoses_icd": ("hosp/admissions", "hadm_id", "dischtime"),
+    "hosp/drgcodes": ("hosp/admissions", "hadm_id", "dischtime"),
+}
+
+
+def timed_tables(spark: SparkSession, folder: str, config: Mapping) -> dict[str, DataFrame]:
+    raw, read = raw_tables(spark, folder), extract.columns_read(config)
+    timed = {
+        name: prepare.look_up(prepare.only(raw[name], {key, *read[name]}), raw[source], [key], [wanted])
+        for name, (source, key, wanted) in TIMES.items()
+        if name in read
+    }
+    return raw | timed
 
 
 # --- the same in SQL ----------------------------------------------------------------------------------------------
@@ -185,10 +193,10 @@ def extract_all_tables(spark, folder):
 @query(events_sql(STRUCTURED_EVENTS, TIMED, {"year_of_birth", "dod", "chartdate"}))
 def extract_structured_events(spark, folder):
     """The comparison schema, with ids passed through and static rows."""
-    return extract.extract_events(timed_tables(spark, folder), STRUCTURED_EVENTS)
+    return extract.extract_events(timed_tables(spark, folder, STRUCTURED_EVENTS), STRUCTURED_EVENTS)
 
 
 @query(events_sql(STRUCTURED_EVENTS_WITHOUT_ED, TIMED, {"year_of_birth", "dod", "chartdate"}))
 def extract_structured_events_without_ed(spark, folder):
     """The comparison schema of hospitals without emergency tables."""
-    return extract.extract_events(timed_tables(spark, folder), STRUCTURED_EVENTS_WITHOUT_ED)
+    return extract.extract_events(timed_tables(spark, folder, STRUCTURED_EVENTS_WITHOUT_ED), STRUCTURED_EVENTS_WITHOUT_ED)

@@ -3,7 +3,9 @@ from datetime import datetime
 import pytest
 
 from eventloom.operators import extract, prepare
+from eventloom.plans import lookups
 from eventloom.plans.hospital import NARRATIVE_EVENTS, STRUCTURED_EVENTS, STRUCTURED_EVENTS_WITHOUT_ED
+from eventloom.plans.timeline import MAX_ROWS_CONF
 from eventloom.sources import tables as io
 from pyspark.sql import functions as F
 
@@ -160,3 +162,64 @@ def test_dates_are_promoted_before_the_joins(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("make_dt_interval" if "make_dt_interval" in plan else "INTERVAL") > plan.rindex("Join LeftOuter")
     assert [r.chartdate for r in got.collect()] == [datetime(2020, 1, 1, *LAST)]
+
+
+@pytest.fixture
+def stored_joins(spark, monkeypatch):
+    """Every table is long, every lookup too large to broadcast, and keys of over four rows are frequent."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", lookups.STORED_ROWS_CONF: "1", MAX_ROWS_CONF: "4"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    monkeypatch.setattr(lookups, "LEAST_BUCKET_ROWS", 3)
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("nulls", "same"), [(1, 1), (9, 1), (9, 9)])
+def test_stored_lookup_gives_the_rows_of_a_join(spark, stored_joins, nulls, same):
+    rows = [(i, f"c{i % 7}", i) for i in range(20)] + [(None, "c1", -1), (3, None, -2)] * nulls + [(5, "c5", 100)] * same
+    df = spark.createDataFrame(rows, "k long, c string, v long")
+    found = [(i, f"c{i % 5}", f"t{i}") for i in range(15)] + [(5, "c5", "again"), (5, "c5", None), (4, "c4", "twice"), (None, "c1", "no"), (None, None, "no")] * 2
+    lookup = spark.createDataFrame(found, "k long, c string, t string")
+    for on in (["k"], ["c"], ["k", "c"]):
+        wanted = [*on, "t"]
+        got = lookups.join_lookup(df, lookup.select(*wanted), on)
+        want = df.join(lookup.select(*wanted), on, "left")
+        assert got.columns == want.columns
+        key = lambda r: tuple(map(str, r))
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+        assert "Exchange hashpartitioning" in _plan(want) and "Exchange hashpartitioning" not in _plan(got)
+    assert not [t.name for t in spark.catalog.listTables() if "eventloom" in t.name]
+
+
+def test_frequent_keys_are_found(spark, stored_joins):
+    df = spark.createDataFrame([(i % 6 if i < 24 else 7, None if i % 9 == 0 else "x") for i in range(40)], "k long, c string")
+    assert lookups.frequent_keys(df, ["k"]) == (40, 0, [df.filter("k = 7").select(F.xxhash64("k")).first()[0]])
+    rows, absent, hashes = lookups.frequent_keys(df, ["k", "c"])
+    assert (rows, absent, len(hashes)) == (40, 5, 1)
+
+
+def test_stored_tables_hold_what_events_read_and_are_not_shuffled(spark, stored_joins):
+    tables = raw(spark)
+    spec = {"ed/triage": {name: {"code": name, "time": "col(intime)", "numeric_value": name} for name in ("temperature", "age")},
+            "ed/diagnosis": {"d": {"code": "D", "time": "col(outtime)", "text_value": "icd_title"}}}
+    triage = [(i % 4, 7 if i % 3 else 8, 36.0 + i, "unread") for i in range(9)] + [(1, None, 30.0, "unread")]
+    needed = {
+        "ed/triage": spark.createDataFrame(triage, "subject_id long, stay_id long, temperature double, other string"),
+        "ed/diagnosis": spark.createDataFrame([(1, 7, "x"), (2, 8, "y")], "subject_id long, stay_id long, icd_title string"),
+        "ed/edstays": tables["ed/edstays"], "hosp/patients": tables["hosp/patients"], "hosp/admissions": tables["hosp/admissions"],
+    }
+    prepared = prepare.prepare_tables(needed, extract.columns_read(spec))
+    assert "other" not in prepared["ed/triage"].columns and "other" in prepare.prepare_tables(needed)["ed/triage"].columns
+    events = extract.extract_events(prepared, spec)
+    assert "Exchange" not in _plan(events)
+    got = sorted((r.subject_id, r.code, r.numeric_value) for r in events.collect())
+    spark.conf.set(lookups.STORED_ROWS_CONF, "1000")
+    plain = extract.extract_events(prepare.prepare_tables(needed), spec)
+    assert got == sorted((r.subject_id, r.code, r.numeric_value) for r in plain.collect()) and len(got) == 13
